@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memspark.llm import binary_output, packing
+from memspark.llm import binary_output, packing, sentencepiece_bpe
 from memspark.llm.common import read
 from memspark.llm.tokens import Encoder
 
@@ -24,6 +24,12 @@ def op6_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sentencepiece_bpe.encode_documents(read(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"))
+    digest = [F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256), F.sha2("decoded", 256)]
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest[0].alias("ids_sha256"), digest[1].alias("decoded_sha256"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     encode = Encoder(_vocabulary("byte_bpe_50k.json"), 0)
     return packing.pack(packing.pieces_of(read(spark, sf_dir, "documents"), encode))
