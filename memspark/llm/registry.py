@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memspark.llm import binary_output, packing, sentencepiece_bpe
+from memspark.llm import binary_output, line_dedup, packing, sentencepiece_bpe
 from memspark.llm.common import read
 from memspark.llm.tokens import Encoder
 
@@ -18,6 +18,11 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.remove_lines(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.sha2("text", 256).alias("kept_sha256"), "lines_removed")
+
+
 def op6_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     encode = Encoder(_vocabulary("word_bpe_49k.json"), 1)
     found = binary_output.documents_as_records(spark, read(spark, sf_dir, "documents"), encode)
@@ -40,4 +45,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_line_dedup": line_dedup.ORACLE}
