@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memspark.llm import binary_output, line_dedup, packing, sentencepiece_bpe
+from memspark.llm import binary_output, language_id, line_dedup, packing, sentencepiece_bpe, toxicity
 from memspark.llm.common import read
 from memspark.llm.tokens import Encoder
 
@@ -18,11 +18,24 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    found = toxicity.score(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
+    return found.select("doc_id", "severity", "grade", "rejected")
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_dedup.remove_lines(read(spark, sf_dir, "documents"))
     return found.select("doc_id", F.sha2("text", 256).alias("kept_sha256"), "lines_removed")
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    found = language_id.identify(docs, language_id.train(docs.filter(~held_out)))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op6_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     encode = Encoder(_vocabulary("word_bpe_49k.json"), 1)
     found = binary_output.documents_as_records(spark, read(spark, sf_dir, "documents"), encode)
