@@ -113,7 +113,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     The pieces are range-partitioned by length and id, so that neither a common length nor a
     large document gathers in one task; the ranks follow from the partitions' counts.
     """
-    ordered = pieces.repartitionByRange("length", "doc_id", "piece").sortWithinPartitions("length", "doc_id", "piece")
+    # Drawing the ranges reads its input twice, so the pieces are made first.
+    ordered = cut(pieces, "lengths").repartitionByRange("length", "doc_id", "piece").sortWithinPartitions("length", "doc_id", "piece")
     placed = cut(ordered.withColumn("_at", F.monotonically_increasing_id()), "pieces")
     part = F.shiftright("_at", 33)
     runs = placed.groupBy(part.alias("part"), "length").agg(F.count("*").alias("n"), F.min("_at").alias("first")).toPandas()

@@ -16,6 +16,7 @@ import numpy as np
 #: White space besides space and line feed, as any of the engines sees it.
 _ODD = re.compile(r"[^\S \n]|[\x1c-\x1f]")
 _LONGEST = 64
+_PUNCTUATION = ".,;:!?#$%&*|()"
 
 
 class Encoder:
@@ -37,6 +38,14 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(self.path)
         self.words: dict[str, bytes] = {}
+        # What the model itself is given for an ASCII word behind a space: a mark in front, and lower case or not.
+        probe = " Ab"
+        if self.tokenizer.normalizer:
+            probe = self.tokenizer.normalizer.normalize_str(probe)
+        parts = [p for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(probe)]
+        self.plain = len(parts) == 1 and parts[0][-2:] in ("Ab", "ab") and len(parts[0]) < 4
+        self.mark, self.lower = parts[0][:-2], parts[0][-2:] == "ab"
+        self.tails: dict[str, bytes] = {}
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.end = b"" if self.end_id is None else np.array([self.end_id], "<u4").tobytes()
 
@@ -44,6 +53,35 @@ class Encoder:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
+    def _fresh(self, new: set[str]) -> dict[str, bytes]:
+        """Ids of words that follow a space, or begin with a line feed.
+
+        Letters and ASCII punctuation are always cut apart, so "word," is "word" and ",".
+        """
+        out, rest, cores = {}, [], {}
+        for w in new:
+            core = w.rstrip(_PUNCTUATION)
+            if core.isalpha() and core.isascii() and self.plain:
+                cores[w] = core
+            else:
+                rest.append(w)
+        tokenize, known = self.tokenizer.model.tokenize, self.words
+        for core in set(cores.values()):
+            ids = known.get(core)
+            if ids is None:
+                ids = np.array([t.id for t in tokenize(self.mark + (core.lower() if self.lower else core))], "<u4").tobytes()
+            out[core] = ids
+        for w, core in cores.items():
+            if len(w) > len(core):
+                tail = w[len(core) :]
+                if tail not in self.tails:
+                    if len(self.tails) > 10_000:
+                        self.tails.clear()
+                    self.tails[tail] = self._library([tail])[0]
+                out[w] = out[core] + self.tails[tail]
+        out.update(zip(rest, self._library([w if w[:1] == "\n" else " " + w for w in rest])))
+        return out
+
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         if not hasattr(self, "tokenizer"):
             self._load()
@@ -65,7 +103,7 @@ class Encoder:
                 waiting.append((i, first, words))
             else:
                 waiting.append((i, first, ids))
-        fresh = dict(zip(new, self._library([w if w[:1] == "\n" else " " + w for w in new]))) if new else {}
+        fresh = self._fresh(new) if new else {}
         heads = [first for _, first, _ in waiting]
         for (i, _, parts), head in zip(waiting, self._library(heads) if heads else []):
             if parts and isinstance(next((p for p in parts if p is not None), None), str):
