@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memspark.llm import binary_output, language_id, line_dedup, ngram_join, packing, sentencepiece_bpe, substring_dedup, toxicity
+from memspark.llm import binary_output, embedding_dedup, language_id, line_dedup, nearest, ngram_join, packing, sentencepiece_bpe, substring_dedup, toxicity
 from memspark.llm.common import read
 from memspark.llm.tokens import Encoder
 
@@ -62,6 +62,14 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces_of(read(spark, sf_dir, "documents"), encode))
 
 
+def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.search(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.link(read(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
