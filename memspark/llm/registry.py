@@ -8,16 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memspark.llm import binary_output, embedding_dedup, language_id, line_dedup, nearest, ngram_join, packing, sentencepiece_bpe, substring_dedup, toxicity
-from memspark.llm.common import read
+from memspark.llm.common import read, vocabulary
 from memspark.llm.tokens import Encoder
 
 
-def _vocabulary(name: str) -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
-
-
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     found = toxicity.score(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
@@ -46,19 +40,19 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encode = Encoder(_vocabulary("word_bpe_49k.json"), 1)
+    encode = Encoder(vocabulary("word_bpe_49k.json"), 1)
     found = binary_output.documents_as_records(spark, read(spark, sf_dir, "documents"), encode)
     return found.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = sentencepiece_bpe.encode_documents(read(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"))
+    found = sentencepiece_bpe.encode_documents(read(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
     digest = [F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256), F.sha2("decoded", 256)]
     return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest[0].alias("ids_sha256"), digest[1].alias("decoded_sha256"))
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encode = Encoder(_vocabulary("byte_bpe_50k.json"), 0)
+    encode = Encoder(vocabulary("byte_bpe_50k.json"), 0)
     return packing.pack(packing.pieces_of(read(spark, sf_dir, "documents"), encode))
 
 
