@@ -7,9 +7,8 @@ Two documents link if their sets of ``N`` -word shingles have a Jaccard similari
 2. A counter table of fixed size, summed over all documents, orders shingles rare first.
 3. A set that links has a shingle in common with the other in its prefix, the first
    ``size - ceil(t * size) + 1`` in that order. Prefix shingles that occur in one document go.
-4. On each prefix shingle that is left, documents are paired with one leader, then with
-   another one, as far as they are not in one component yet; then every pair that is still
-   apart. So a group of near copies makes as many pairs as it has members, and no link
+4. On each prefix shingle that is left, documents are paired with LEADERS leaders; then every
+   pair that is in different components still. So a group of near copies makes as many pairs as it has members, and no link
    between components is lost. Pairs pass a length, a positional and a suffix filter (counts of
    both sets in fixed parts bound what they share), and are verified once on whole sets.
 5. Links join to components.
@@ -38,8 +37,8 @@ from memspark.llm.shingles import WordHashes, shingle_set, words_of
 
 N, PERCENT = 5, 75
 COUNTER_BITS, CHUNK = 18, 4096
-PARTS = 64
-LEADER_ROUNDS = 3
+PARTS = 128
+LEADERS = 3
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -95,7 +94,7 @@ def prefix_length(size: int, percent: int = PERCENT) -> int:
 
 
 def _prefixes(docs: DataFrame, classes: np.ndarray, n: int, percent: int) -> DataFrame:
-    """doc, size and the prefix of each document's set, rare shingles first."""
+    """doc, size and the prefix of each document's set, rare shingles first, and parts: how many shingles are in each of PARTS parts of the hash range."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
@@ -107,23 +106,20 @@ def _prefixes(docs: DataFrame, classes: np.ndarray, n: int, percent: int) -> Dat
                     prefixes.append(s[order[: prefix_length(len(s), percent)]] if len(s) else s)
                 ends = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
                 tokens = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(prefixes).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array([len(s) for s in sets], pa.int64()), tokens], ["doc", "size", "tokens"])
+                parts = [np.bincount((s >> np.uint64(57)).astype(np.int64), minlength=PARTS).tolist() for s in sets]
+                yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array([len(s) for s in sets], pa.int64()), tokens, pa.array(parts, pa.list_(pa.int32()))], ["doc", "size", "tokens", "parts"])
 
-    return _texts(docs).mapInArrow(run, "doc long, size long, tokens array<long>")
+    return _texts(docs).mapInArrow(run, "doc long, size long, tokens array<long>, parts array<int>")
 
 
 def _whole_sets(texts: DataFrame, n: int) -> DataFrame:
-    """doc, size, parts (how many shingles are in each of PARTS parts of the hash range) and the whole set."""
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
         for batch in batches:
             for part in slices(batch, "text"):
-                sets = _sets(part, memo, n)
-                parts = [np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=PARTS).tolist() for s in sets]
-                yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array([len(s) for s in sets], pa.int64()), pa.array(parts, pa.list_(pa.int32())), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc", "size", "parts", "shingles"])
+                yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array([s.tobytes() for s in _sets(part, memo, n)], pa.binary())], ["doc", "shingles"])
 
-    return texts.mapInArrow(run, "doc long, size long, parts array<int>, shingles binary")
+    return texts.mapInArrow(run, "doc long, shingles binary")
 
 
 def _least_shared(a: str, b: str, percent: int):
@@ -131,12 +127,21 @@ def _least_shared(a: str, b: str, percent: int):
     return F.ceil((F.col(a) + F.col(b)) * percent / (100 + percent) - 1e-9)
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of ``pairs`` (x, y, distinct) that link, as u and v. The suffix filter runs on the counts alone, before sets are fetched."""
-    light = sets.select("doc", "size", "parts")
+def _hopeful(pairs: DataFrame, light: DataFrame, percent: int) -> DataFrame:
+    """Those of ``pairs`` (x, y) that pass the suffix filter, with apart: by how many shingles the sets differ at least. From ``light`` (doc, size, parts) alone."""
     x, y = (light.select(F.col("doc").alias(c), F.col("size").alias(f"size_{c}"), F.col("parts").alias(f"parts_{c}")) for c in "xy")
     apart = F.aggregate(F.zip_with("parts_x", "parts_y", lambda p, q: F.abs(p - q)), F.lit(0), lambda t, d: t + d)
-    hopeful = pairs.join(x, "x").join(y, "y").filter((F.col("size_x") + F.col("size_y") - apart) / 2 >= _least_shared("size_x", "size_y", percent)).select("x", "y")
+    both = pairs.join(x, "x").join(y, "y").withColumn("apart", apart)
+    both = both.filter((F.col("size_x") + F.col("size_y") - F.col("apart")) / 2 >= _least_shared("size_x", "size_y", percent))
+    # Rows that share a doc_id have several sets, and one link is enough.
+    return cut(both.groupBy("x", "y").agg(F.min("apart").alias("apart")), "hopeful")
+
+
+def _verify(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """Those of ``pairs`` (x, y, distinct) that link, as u and v. Only their documents have their sets made."""
+    pairs = cut(pairs.select("x", "y"), "pairs")
+    wanted = pairs.select(F.explode(F.array("x", "y")).alias("doc")).distinct()
+    sets = cut(_whole_sets(_texts(docs).join(wanted, "doc", "left_semi"), n), "sets")
     x, y = (sets.select(F.col("doc").alias(c), F.col("shingles").alias(f"set_{c}")) for c in "xy")
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,8 +155,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             found = batch.filter(pa.array(keep, pa.bool_()))
             yield pa.RecordBatch.from_arrays([found.column("x"), found.column("y")], ["u", "v"])
 
-    # Distinct first: rows that share a doc_id have several sets, and one link is enough.
-    return cut(hopeful.distinct().join(x, "x").join(y, "y").select("x", "y", "set_x", "set_y").mapInArrow(shared, "u long, v long").distinct(), "links")
+    return cut(pairs.join(x, "x").join(y, "y").select("x", "y", "set_x", "set_y").mapInArrow(shared, "u long, v long").distinct(), "links")
 
 
 def link(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
@@ -173,8 +177,7 @@ def link(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     spots = F.explode(F.when(F.col("alone").isNull(), spots).otherwise(F.array_except(spots, "alone")))
     left = prefixes.filter(F.size("tokens") > 0).join(alone, "doc", "left").select("doc", "size", "tokens", spots.alias("pos"))
     spread = cut(left.select(F.element_at("tokens", F.col("pos") + 1).alias("h"), "doc", "size", "pos"), "spread")
-    wanted = spread.select("doc").distinct()
-    sets = cut(_whole_sets(_texts(docs).join(wanted, "doc", "left_semi"), n), "sets")
+    light = prefixes.select("doc", "size", "parts")
 
     def candidates(left: DataFrame, right: DataFrame) -> DataFrame:
         """Pairs on a shingle by the length and the positional filter. Both in order of x < y, distinct."""
@@ -184,30 +187,42 @@ def link(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
         fits = both.filter((F.least("size", "size_other") >= need) & (rest >= need))
         return fits.select(F.least("doc", "other").alias("x"), F.greatest("doc", "other").alias("y")).distinct()
 
-    tried = links = None
-    labels = None
-    for k in range(LEADER_ROUNDS + 1):
+    other = {"other": "doc", "size_other": "size", "pos_other": "pos", "label_other": "label"}
+
+    def apart(labels: DataFrame | None) -> DataFrame:
+        """The rows of prefix shingles whose documents are in several components."""
         own = spread.withColumn("label", F.col("doc")) if labels is None else spread.join(labels, spread["doc"] == labels["node"], "left").select(*spread.columns, F.coalesce("label", "doc").alias("label"))
         mixed = own.groupBy("h").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("h")
-        own = cut(own.join(cut(mixed, "mixed"), "h", "left_semi"), "apart")
-        other = {"other": "doc", "size_other": "size", "pos_other": "pos", "label_other": "label"}
-        if k < LEADER_ROUNDS:
-            lot = F.xxhash64(F.lit(k), "doc") if k else F.col("doc")
-            first = own.groupBy("h").agg(*(F.min_by(c, lot).alias(name) for name, c in other.items()))
-            pairs = candidates(own, cut(first, "leaders"))
-        else:
-            # What most of a group has in common need not be paired with itself.
-            counted = own.groupBy("h", "label").count().groupBy("h").agg(F.max_by("label", "count").alias("most"))
-            few = own.join(cut(counted, "most"), "h").filter("label <> most").drop("most")
-            pairs = candidates(cut(few, "few"), own.select("h", *(F.col(c).alias(name) for name, c in other.items())))
-        pairs = cut(pairs if tried is None else pairs.join(tried, ["x", "y"], "left_anti"), "pairs")
-        found = _verify(pairs, sets, percent)
-        tried = pairs if tried is None else tried.union(pairs)
-        links = found if links is None else links.union(found)
-        labels = components(links.union(ties) if k == LEADER_ROUNDS else links)
+        return cut(own.join(cut(mixed, "mixed"), "h", "left_semi"), "apart")
+
+    own = apart(None)
+    lots = [F.col("doc"), *(F.xxhash64(F.lit(k), "doc") for k in range(1, LEADERS))]
+    leaders = own.groupBy("h").agg(*(F.min_by(c, lot).alias(f"{name}_{k}") for k, lot in enumerate(lots) for name, c in other.items()))
+    leaders = leaders.select("h", F.explode(F.array_distinct(F.array(*(F.struct(*(F.col(f"{name}_{k}").alias(name) for name in other)) for k in range(LEADERS))))).alias("l")).select("h", "l.*")
+    tried = cut(candidates(own, cut(leaders, "leaders")), "pairs")
+    hopeful = _hopeful(tried, light, percent)
+    # Each document's closest partner first; of the rest only what this has not brought together.
+    closest = [hopeful.groupBy(own_end).agg(F.min_by(other_end, F.struct("apart", other_end)).alias(other_end)).select("x", "y") for own_end, other_end in (("x", "y"), ("y", "x"))]
+    closest = cut(closest[0].union(closest[1]).distinct(), "closest")
+    links = _verify(closest, docs, n, percent)
+
+    def still_apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+        ends = {c: labels.select(F.col("node").alias(c), F.col("label").alias(f"label_{c}")) for c in "xy"}
+        joined = pairs.join(ends["x"], "x", "left").join(ends["y"], "y", "left")
+        return joined.filter(F.coalesce("label_x", "x") != F.coalesce("label_y", "y")).select("x", "y")
+
+    links = links.union(_verify(still_apart(hopeful.join(closest, ["x", "y"], "left_anti"), components(links)), docs, n, percent))
+
+    # What most of a group has in common need not be paired with itself.
+    own = apart(components(links))
+    counted = own.groupBy("h", "label").count().groupBy("h").agg(F.max_by("label", "count").alias("most"))
+    few = cut(own.join(cut(counted, "most"), "h").filter("label <> most").drop("most"), "few")
+    pairs = candidates(few, own.select("h", *(F.col(c).alias(name) for name, c in other.items())))
+    pairs = cut(pairs.join(tried, ["x", "y"], "left_anti"), "pairs")
+    labels = components(links.union(_verify(_hopeful(pairs, light, percent), docs, n, percent)).union(ties))
 
     joined = rows.join(classes, ["a", "b", "size"], "left").join(labels, F.col("rep") == F.col("node"), "left")
-    return joined.select(F.col("doc").alias("doc_id"), F.col("size").alias("n_shingles"), F.coalesce("label", "rep", "doc").alias("component_id"))
+    return joined.select(F.col("doc").alias("doc_id"), F.col("size").alias("n_shingles"), F.when(F.col("doc").isNotNull(), F.coalesce("label", "rep", "doc")).alias("component_id"))
 
 
 def keep_first(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
