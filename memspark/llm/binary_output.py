@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -66,50 +67,78 @@ def _level(k: int) -> tuple[np.ndarray, np.ndarray]:
     return _levels[k]
 
 
-def crc32c(data: bytes) -> int:
-    """CRC-32C of at least four bytes, by joining halves: the map is linear, and zeros in front are neutral."""
-    words = 1
-    while words * 4 < len(data):
-        words *= 2
-    padded = np.zeros(words * 4, np.uint8)
-    at = words * 4 - len(data)
-    padded[at:] = np.frombuffer(data, np.uint8)
-    padded[at : at + 4] ^= 0xFF
-    low, high = _level(0)
-    v = padded.view("<u4")
-    v = low[v & 0xFFFF] ^ high[v >> 16]
-    k = 0
-    while len(v) > 1:
-        low, high = _level(k)
-        left = v[0::2]
-        v = low[left & 0xFFFF] ^ high[left >> 16] ^ v[1::2]
-        k += 1
-    return int(v[0]) ^ 0xFFFFFFFF
+def crc32c_of(many: list[bytes]) -> list[int]:
+    """CRC-32C of each, of four bytes at least. The map is linear and zeros in front are neutral: halves are joined, for all of about one length at once."""
+    out, classes = [0] * len(many), {}
+    for i, data in enumerate(many):
+        classes.setdefault(max(4, 1 << (len(data) - 1).bit_length()), []).append(i)
+    for size, members in classes.items():
+        for s in range(0, len(members), max(1, (1 << 22) // size)):
+            own = members[s : s + max(1, (1 << 22) // size)]
+            padded = np.zeros((len(own), size), np.uint8)
+            for row, i in enumerate(own):
+                at = size - len(many[i])
+                padded[row, at:] = np.frombuffer(many[i], np.uint8)
+                padded[row, at : at + 4] ^= 0xFF
+            low, high = _level(0)
+            v = padded.view("<u4")
+            v = low[v & 0xFFFF] ^ high[v >> 16]
+            k = 0
+            while v.shape[1] > 1:
+                low, high = _level(k)
+                left = v[:, 0::2]
+                v = low[left & 0xFFFF] ^ high[left >> 16] ^ v[:, 1::2]
+                k += 1
+            for i, crc in zip(own, v[:, 0].tolist()):
+                out[i] = crc ^ 0xFFFFFFFF
+    return out
 
 
 def masked(crc: int) -> int:
     return ((crc >> 15 | crc << 17) + MASK_DELTA) & 0xFFFFFFFF
 
 
-def frame(doc_id: int | None, ids: bytes) -> bytes:
-    """One record without its line feed; ``ids``: unsigned 32-bit."""
-    numbers = np.frombuffer(ids, "<u4")
-    wide = bool(len(numbers)) and int(numbers.max()) > 0xFFFF
-    payload = struct.pack("<Bq", (doc_id is None) + 2 * wide, doc_id or 0) + (ids if wide else numbers.astype("<u2").tobytes())
-    size = struct.pack("<Q", len(payload))
-    return size + struct.pack("<I", masked(crc32c(size))) + payload + struct.pack("<I", masked(crc32c(payload)))
-
-
-def unframe(data: memoryview, at: int) -> tuple[int | None, bytes, int]:
-    """The record at ``at``: doc_id, ids as unsigned 32-bit, and where the next one begins. Raises ValueError if damaged."""
-    size = bytes(data[at : at + 8])
-    (n,) = struct.unpack("<Q", size)
-    payload = bytes(data[at + 12 : at + 12 + n])
-    if data[at + 8 : at + 12] != struct.pack("<I", masked(crc32c(size))) or data[at + 12 + n : at + 16 + n] != struct.pack("<I", masked(crc32c(payload))):
-        raise ValueError(f"damaged record at byte {at}")
-    flags, doc_id = struct.unpack_from("<Bq", payload)
-    ids = payload[9:] if flags & 2 else np.frombuffer(payload, "<u2", offset=9).astype("<u4").tobytes() if n > 9 else b""
-    return None if flags & 1 else doc_id, ids, at + 17 + n
+@lru_cache(1 << 16)
+def _header(n: int) -> bytes:
+    size = struct.pack("<Q", n)
+    return size + struct.pack("<I", masked(crc32c_of([size])[0]))
+
+
+def frames(doc_ids: list[int | None], ids: list[bytes]) -> list[bytes]:
+    """The records without their line feeds; ``ids``: unsigned 32-bit."""
+    payloads = []
+    for doc_id, own in zip(doc_ids, ids):
+        numbers = np.frombuffer(own, "<u4")
+        wide = bool(len(numbers)) and int(numbers.max()) > 0xFFFF
+        payloads.append(struct.pack("<Bq", (doc_id is None) + 2 * wide, doc_id or 0) + (own if wide else numbers.astype("<u2").tobytes()))
+    return [_header(len(p)) + p + struct.pack("<I", masked(crc)) for p, crc in zip(payloads, crc32c_of(payloads))]
+
+
+def unframe(data: memoryview, places: list[int]) -> list[tuple[int | None, bytes]]:
+    """doc_id and ids (unsigned 32-bit) of the records at ``places``. Raises ValueError if one is damaged."""
+    payloads, sums, out = [], [], []
+    for at in places:
+        (n,) = struct.unpack_from("<Q", data, at)
+        if data[at : at + 12] != _header(n) or at + 16 + n > len(data):
+            raise ValueError(f"damaged record at byte {at}")
+        payloads.append(bytes(data[at + 12 : at + 12 + n]))
+        sums.append(struct.unpack_from("<I", data, at + 12 + n)[0])
+    for at, payload, stored, crc in zip(places, payloads, sums, crc32c_of(payloads)):
+        if masked(crc) != stored:
+            raise ValueError(f"damaged record at byte {at}")
+        flags, doc_id = struct.unpack_from("<Bq", payload)
+        ids = payload[9:] if flags & 2 else np.frombuffer(payload, "<u2", offset=9).astype("<u4").tobytes() if len(payload) > 9 else b""
+        out.append((None if flags & 1 else doc_id, ids))
+    return out
+
+
+def places_of(data: memoryview) -> list[int]:
+    """Where the records of a file begin, by their lengths."""
+    at, out = 0, []
+    while at < len(data):
+        out.append(at)
+        at += struct.unpack_from("<Q", data, at)[0] + 17
+    return out
 
 
 def write_records(docs: DataFrame, path: str, encode: Callable[[list], list[bytes]]) -> None:
@@ -120,8 +149,8 @@ def write_records(docs: DataFrame, path: str, encode: Callable[[list], list[byte
         size = 0
         for batch in batches:
             for part in slices(batch, "text"):
-                for doc_id, ids in zip(part.column("doc_id").to_pylist(), encode(part.column("text").to_pylist())):
-                    block.append(frame(doc_id, ids))
+                for record in frames(part.column("doc_id").to_pylist(), encode(part.column("text").to_pylist())):
+                    block.append(record)
                     size += len(block[-1]) + 1
                     if size >= BLOCK_BYTES:
                         yield pa.RecordBatch.from_pydict({"value": pa.array([b"\n".join(block)], pa.binary())})
@@ -166,15 +195,14 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for file, content in zip(batch.column("file").to_pylist(), batch.column("content")):
-                data, at, start, k = memoryview(content.as_buffer()).cast("B"), 0, 0, 0
-                rows: list[tuple] = []
-                while at < len(data):
-                    doc_id, ids, at = unframe(data, at)
-                    rows.append((doc_id, ids, start, file, k))
-                    start, k = start + len(ids) // 4, k + 1
-                    if len(rows) == 500 or at >= len(data):
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
-                        rows = []
+                data, start = memoryview(content.as_buffer()).cast("B"), 0
+                places = places_of(data)
+                for s in range(0, len(places), 500):
+                    rows = []
+                    for k, (doc_id, ids) in enumerate(unframe(data, places[s : s + 500]), s):
+                        rows.append((doc_id, ids, start, file, k))
+                        start += len(ids) // 4
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
     names, types = ["doc_id", "ids", "start_in_file", "file", "record"], [pa.int64(), pa.binary(), pa.int64(), pa.string(), pa.int64()]
     records = _files(spark, path).mapInArrow(parse, "doc_id long, ids binary, start_in_file long, file string, record long")
@@ -189,7 +217,7 @@ def read_shuffled(spark: SparkSession, path: str, seed: int) -> DataFrame:
         for batch in batches:
             for content, wanted in zip(batch.column("content"), batch.column("wanted").to_pylist()):
                 data = memoryview(content.as_buffer()).cast("B")
-                rows = [(w["place"], *unframe(data, w["offset"])[:2]) for w in wanted]
+                rows = [(w["place"], *found) for w, found in zip(wanted, unframe(data, [w["offset"] for w in wanted]))]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary()))], ["place", "doc_id", "ids"])
 
     index = spark.read.parquet(f"{path}/records").withColumn("place", F.xxhash64(F.lit(seed), "file", "record"))

@@ -8,17 +8,33 @@ double spaces or white space other than space and line feed go whole to the libr
 
 from __future__ import annotations
 
+import gc
 import os
 import re
+from array import array
 
 import numpy as np
 
 #: White space besides space and line feed, as any of the engines sees it.
 _ODD = re.compile(r"[^\S \n]|[\x1c-\x1f]")
+#: Beyond Latin letters, or a letter whose lower case is two characters: left to the library.
+_WIDE = re.compile("[^\x00-\u024f]|\u0130")
 _LONGEST = 64
 _PUNCTUATION = ".,;:!?#$%&*|()"
 
 
+class _Alphabet(dict):
+    """For str.translate(): what the model sees for a letter (byte-level models spell it in signs of their own)."""
+
+    def __init__(self, pre_tokenizer):
+        super().__init__()
+        self.pre_tokenizer = pre_tokenizer
+
+    def __missing__(self, letter: int) -> str:
+        found = self[letter] = self.pre_tokenizer.pre_tokenize_str(f"a{chr(letter)}a")[0][0][1:-1]
+        return found
+
+
 class Encoder:
     """Callable: texts (None: empty) to little-endian unsigned 32-bit ids, each closed by ``end_id``.
 
@@ -46,6 +62,10 @@ class Encoder:
         self.plain = len(parts) == 1 and parts[0][-2:] in ("Ab", "ab") and len(parts[0]) < 4
         self.mark, self.lower = parts[0][:-2], parts[0][-2:] == "ab"
         self.tails: dict[str, bytes] = {}
+        #: Vocabularies that drop white space take a line feed for a space.
+        self.drops = not self.mark
+        self.line_feed = b"" if self.drops else self._library(["\n"])[0]
+        self.alphabet = _Alphabet(self.tokenizer.pre_tokenizer)
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.end = b"" if self.end_id is None else np.array([self.end_id], "<u4").tobytes()
 
@@ -59,30 +79,47 @@ class Encoder:
         Letters and ASCII punctuation are always cut apart, so "word," is "word" and ",".
         """
         out, rest, cores = {}, [], {}
-        for w in new:
+        tokenize, known, tails = self.tokenizer.model.tokenize, self.words, self.tails
+        for w in new if self.plain else ():
             core = w.rstrip(_PUNCTUATION)
-            if core.isalpha() and core.isascii() and self.plain:
-                cores[w] = core
-            else:
+            letters = core[1:] if core[:1] == "\n" else core
+            if not letters.isalpha():
                 rest.append(w)
-        tokenize, known = self.tokenizer.model.tokenize, self.words
-        for core in set(cores.values()):
-            ids = known.get(core)
+                continue
+            spelled = letters.lower() if self.lower else letters
+            if not core.isascii():
+                if _WIDE.search(core):
+                    rest.append(w)
+                    continue
+                spelled = spelled.translate(self.alphabet)
+            ids = out.get(core) or known.get(core)
             if ids is None:
-                ids = np.array([t.id for t in tokenize(self.mark + (core.lower() if self.lower else core))], "<u4").tobytes()
+                ids = array("I", [t.id for t in tokenize(spelled if letters is not core else self.mark + spelled)]).tobytes()
+                if letters is not core:
+                    ids = self.line_feed + ids
             out[core] = ids
-        for w, core in cores.items():
             if len(w) > len(core):
                 tail = w[len(core) :]
-                if tail not in self.tails:
-                    if len(self.tails) > 10_000:
-                        self.tails.clear()
-                    self.tails[tail] = self._library([tail])[0]
-                out[w] = out[core] + self.tails[tail]
-        out.update(zip(rest, self._library([w if w[:1] == "\n" else " " + w for w in rest])))
+                if tail not in tails:
+                    if len(tails) > 10_000:
+                        tails.clear()
+                    tails[tail] = self._library([tail])[0]
+                out[w] = ids + tails[tail]
+        if not self.plain:
+            rest = list(new)
+        if rest:
+            out.update(zip(rest, self._library([w if w[:1] == "\n" else " " + w for w in rest])))
         return out
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
+        # The lists of words are short-lived; walking them for cycles would cost more than the work.
+        gc.disable()
+        try:
+            return self._encode(texts)
+        finally:
+            gc.enable()
+
+    def _encode(self, texts: list[str | None]) -> list[bytes]:
         if not hasattr(self, "tokenizer"):
             self._load()
         out: list[bytes | None] = [None] * len(texts)
@@ -92,7 +129,9 @@ class Encoder:
             if not text:
                 out[i] = self.end
                 continue
-            marked = text.replace("\n", " \n")
+            if self.lower and not _WIDE.search(text):
+                text = text.lower()
+            marked = text.replace("\n", " " if self.drops else " \n")
             if "  " in marked or _ODD.search(text) or any(s in text for s in self.specials):
                 whole.append(i)
                 continue
