@@ -61,7 +61,17 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     path = new_path(spark, label)
     with shuffles_dropped(spark):
         df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._cut_path = path
+    return table
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables that cut() has written, when nothing will read them any more."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table._cut_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def key128(*cols: Column) -> Column:

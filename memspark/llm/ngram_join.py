@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memspark.llm.common import cut, slices
+from memspark.llm.common import cut, drop, slices
 from memspark.llm.components import components
 from memspark.llm.shingles import WordHashes, shingle_set, words_of
 
@@ -39,6 +39,8 @@ N, PERCENT = 5, 75
 COUNTER_BITS, CHUNK = 18, 4096
 PARTS = 128
 LEADERS = 3
+#: A round of verification carries the sets of so large a part of all shingles: one in ROUND_SHARE.
+ROUND_SHARE = 6
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -134,7 +136,7 @@ def _hopeful(pairs: DataFrame, light: DataFrame, percent: int) -> DataFrame:
     both = pairs.join(x, "x").join(y, "y").withColumn("apart", apart)
     both = both.filter((F.col("size_x") + F.col("size_y") - F.col("apart")) / 2 >= _least_shared("size_x", "size_y", percent))
     # Rows that share a doc_id have several sets, and one link is enough.
-    return cut(both.groupBy("x", "y").agg(F.min("apart").alias("apart")), "hopeful")
+    return cut(both.groupBy("x", "y").agg(F.min("apart").alias("apart"), F.max("size_x").alias("size")), "hopeful")
 
 
 def _verify(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -155,7 +157,9 @@ def _verify(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFram
             found = batch.filter(pa.array(keep, pa.bool_()))
             yield pa.RecordBatch.from_arrays([found.column("x"), found.column("y")], ["u", "v"])
 
-    return cut(pairs.join(x, "x").join(y, "y").select("x", "y", "set_x", "set_y").mapInArrow(shared, "u long, v long").distinct(), "links")
+    found = cut(pairs.join(x, "x").join(y, "y").select("x", "y", "set_x", "set_y").mapInArrow(shared, "u long, v long").distinct(), "links")
+    drop(sets, pairs)
+    return found
 
 
 def link(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
@@ -177,7 +181,8 @@ def link(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     spots = F.explode(F.when(F.col("alone").isNull(), spots).otherwise(F.array_except(spots, "alone")))
     left = prefixes.filter(F.size("tokens") > 0).join(alone, "doc", "left").select("doc", "size", "tokens", spots.alias("pos"))
     spread = cut(left.select(F.element_at("tokens", F.col("pos") + 1).alias("h"), "doc", "size", "pos"), "spread")
-    light = prefixes.select("doc", "size", "parts")
+    light = cut(prefixes.select("doc", "size", "parts"), "light")
+    drop(prefixes, alone)
 
     def candidates(left: DataFrame, right: DataFrame) -> DataFrame:
         """Pairs on a shingle by the length and the positional filter. Both in order of x < y, distinct."""
@@ -209,17 +214,33 @@ def link(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     def still_apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
         ends = {c: labels.select(F.col("node").alias(c), F.col("label").alias(f"label_{c}")) for c in "xy"}
         joined = pairs.join(ends["x"], "x", "left").join(ends["y"], "y", "left")
-        return joined.filter(F.coalesce("label_x", "x") != F.coalesce("label_y", "y")).select("x", "y")
+        return joined.filter(F.coalesce("label_x", "x") != F.coalesce("label_y", "y")).select(*pairs.columns)
 
-    links = links.union(_verify(still_apart(hopeful.join(closest, ["x", "y"], "left_anti"), components(links)), docs, n, percent))
+    total = rows.agg(F.sum("size")).first()[0] or 1
+
+    def rest(links: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Links and labels after all of ``pairs`` (with size) that are apart. In rounds, so that the sets carried along at a time are a share of the corpus; each round leaves fewer pairs to the next."""
+        labels = components(links)
+        pairs = cut(still_apart(pairs, labels), "rest")
+        rounds = -(-(pairs.agg(F.sum("size")).first()[0] or 0) * ROUND_SHARE // total)
+        for k in range(rounds):
+            part = pairs.filter(F.pmod(F.xxhash64("x", "y"), F.lit(rounds)) == k)
+            links = links.union(_verify(still_apart(part, labels), docs, n, percent))
+            labels = components(links)
+        drop(pairs)
+        return links, labels
+
+    links, labels = rest(links, hopeful.join(closest, ["x", "y"], "left_anti"))
+    drop(own, hopeful)
 
     # What most of a group has in common need not be paired with itself.
-    own = apart(components(links))
+    own = apart(labels)
     counted = own.groupBy("h", "label").count().groupBy("h").agg(F.max_by("label", "count").alias("most"))
     few = cut(own.join(cut(counted, "most"), "h").filter("label <> most").drop("most"), "few")
     pairs = candidates(few, own.select("h", *(F.col(c).alias(name) for name, c in other.items())))
     pairs = cut(pairs.join(tried, ["x", "y"], "left_anti"), "pairs")
-    labels = components(links.union(_verify(_hopeful(pairs, light, percent), docs, n, percent)).union(ties))
+    links, _ = rest(links, _hopeful(pairs, light, percent))
+    labels = components(links.union(ties))
 
     joined = rows.join(classes, ["a", "b", "size"], "left").join(labels, F.col("rep") == F.col("node"), "left")
     return joined.select(F.col("doc").alias("doc_id"), F.col("size").alias("n_shingles"), F.when(F.col("doc").isNotNull(), F.coalesce("label", "rep", "doc")).alias("component_id"))

@@ -15,6 +15,7 @@ def vectors(spark):
     rng = np.random.default_rng(7)
     base = rng.normal(size=(120, 8))
     rows = [list(v) for v in base] + [list(base[3])] * 30 + [list(base[5] + rng.normal(size=8) * 0.15) for _ in range(40)] + [list(base[7] * 4)]
+    rows = [[float(x) for x in v] for v in rows]
     table = [(i, v, 1) for i, v in enumerate(rows)]
     odd = [None, [], [0.0] * 8, [1.0, None] + [0.0] * 6, [math.nan] + [1.0] * 7, [math.inf] + [1.0] * 7, [1.0, 2.0]]
     table += [(500 + i, v, None) for i, v in enumerate(odd)] + [(None, rows[0], 2)]
