@@ -127,12 +127,15 @@ def fit(docs: DataFrame, labels: DataFrame, grade: str = "toxic", per_grade: int
     if len(set(y.tolist())) < 2:
         return SeverityModel(grades[:1], {}, [])
 
-    n, centred = len(y), y - y.mean()
+    n = len(y)
     held = np.bincount(raw, minlength=BUCKETS)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        share = held / n
-        z = np.bincount(raw, centred[rows], minlength=BUCKETS) / np.sqrt(n * share * (1 - share) * centred.var())
-    chosen = np.flatnonzero((held >= LEAST_DOCS) & (np.abs(np.nan_to_num(z)) >= LEAST_Z))
+    share, best = held / n, np.zeros(BUCKETS)
+    for k in range(len(grades) - 1):  # words of a middle grade tell it from those below or above
+        centred = (y > k) - (y > k).mean()
+        with np.errstate(divide="ignore", invalid="ignore"):
+            z = np.bincount(raw, centred[rows], minlength=BUCKETS) / np.sqrt(n * share * (1 - share) * centred.var())
+        best = np.maximum(best, np.abs(np.nan_to_num(z)))
+    chosen = np.flatnonzero((held >= LEAST_DOCS) & (best >= LEAST_Z))
     place = np.full(BUCKETS, -1)
     place[chosen] = np.arange(len(chosen))
     used = place[raw] >= 0
