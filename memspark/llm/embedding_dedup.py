@@ -23,6 +23,7 @@ are ignored.
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,7 +41,7 @@ LEVELS = 6
 #: Allowance for single precision in distances, and in cosines.
 SLACK, NARROW = 1e-3, 1e-4
 
-_BLOCK = "node int, chunk int, ids binary, counts binary, vectors binary, dim int, radius double"
+_BLOCK = "node int, chunk int, ids binary, counts binary, vectors binary, tree binary, dim int"
 
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -179,7 +180,7 @@ def link(embeddings: DataFrame, threshold: float = THRESHOLD, sample: int = SAMP
     def pack(key: tuple, table: pa.Table) -> pa.Table:
         v = matrix(table.column("embedding"))
         ids, counts = (table.column(c).to_numpy().astype("<i8").tobytes() for c in ("rep", "n"))
-        return pa.table({"node": pa.array([key[0].as_py()], pa.int32()), "chunk": pa.array([key[1].as_py()], pa.int32()), "ids": [ids], "counts": [counts], "vectors": pa.array([v.astype("<f8").tobytes()], pa.binary()), "dim": pa.array([v.shape[1]], pa.int32()), "radius": [2.0]})
+        return pa.table({"node": pa.array([key[0].as_py()], pa.int32()), "chunk": pa.array([key[1].as_py()], pa.int32()), "ids": [ids], "counts": [counts], "vectors": pa.array([v.astype("<f8").tobytes()], pa.binary()), "tree": pa.array([pickle.dumps(Tree(_unit(v).astype(np.float32)))], pa.binary()), "dim": pa.array([v.shape[1]], pa.int32())})
 
     spark = embeddings.sparkSession
     chunk_of = F.create_map(*(F.lit(x) for kv in chunks.items() for x in kv)) if chunks else None
@@ -190,7 +191,7 @@ def link(embeddings: DataFrame, threshold: float = THRESHOLD, sample: int = SAMP
     both = spark.createDataFrame(pairs, "a int, b int, of_a int, of_b int")
     both = both.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("of_a") - 1))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("of_b") - 1)))
     both = both.filter("a <> b OR i <= j").select("a", "b", "i", "j")
-    side = lambda x, y: blocks.select(F.col("node").alias(x), F.col("chunk").alias(y), *(F.col(c).alias(f"{c}_{x}") for c in ("ids", "counts", "vectors", "dim")))
+    side = lambda x, y: blocks.select(F.col("node").alias(x), F.col("chunk").alias(y), *(F.col(c).alias(f"{c}_{x}") for c in ("ids", "counts", "vectors", "tree", "dim")))
     work = both.join(side("a", "i"), ["a", "i"]).join(side("b", "j"), ["b", "j"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,7 +203,7 @@ def link(embeddings: DataFrame, threshold: float = THRESHOLD, sample: int = SAMP
                     trees.pop(next(iter(trees)))
                 v = np.frombuffer(row[f"vectors_{x}"], "<f8").reshape(-1, row[f"dim_{x}"])
                 unit = _unit(v).astype(np.float32)
-                trees[key] = np.frombuffer(row[f"ids_{x}"], "<i8"), np.frombuffer(row[f"counts_{x}"], "<i8"), v, unit, Tree(unit)
+                trees[key] = np.frombuffer(row[f"ids_{x}"], "<i8"), np.frombuffer(row[f"counts_{x}"], "<i8"), v, unit, pickle.loads(row[f"tree_{x}"])
             return trees[key]
 
         for batch in batches:
