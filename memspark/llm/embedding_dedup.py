@@ -96,15 +96,16 @@ def dual_traversal(a: np.ndarray, tree_a: Tree, b: np.ndarray, tree_b: Tree, thr
         i, j = np.flatnonzero(alive.any(1)), np.flatnonzero(alive.any(0))
         if not len(i):
             return np.zeros((len(a), len(b)), bool)
-        # In terms of cosines, so that a level costs one product: distance > reach + both radii.
-        limit = np.minimum(reach + radius_a[i][:, None] + radius_b[j][None, :], 2.0)
-        near = a[rows[i]] @ b[cols[j]].T >= 1 - limit.astype(np.float32) ** 2 / 2 - NARROW
-        mask = np.zeros_like(alive)
-        mask[np.ix_(i, j)] = near
-        alive &= mask
-    out = np.zeros((len(a), len(b)), bool)
-    out[np.ix_(rows, cols)] = alive
-    return out
+        # In terms of cosines, so that a level costs one product: distance > reach + both radii. Leaves have no radius.
+        limit = reach
+        if radius_a.any() or radius_b.any():
+            limit = np.minimum(np.float32(reach) + radius_a[i].astype(np.float32)[:, None] + radius_b[j].astype(np.float32)[None, :], np.float32(2))
+        if len(i) == len(rows) and len(j) == len(cols):
+            alive &= a[rows] @ b[cols].T >= 1 - limit * limit / 2 - NARROW
+        else:
+            near = a[rows[i]] @ b[cols[j]].T >= 1 - limit * limit / 2 - NARROW
+            alive[np.ix_(i, j)] &= near
+    return alive
 
 
 def _forest(mask: np.ndarray, ids_a: np.ndarray, ids_b: np.ndarray) -> list[tuple[int, int]]:
