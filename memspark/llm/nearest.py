@@ -32,10 +32,12 @@ from memspark.llm.vectors import matrix, usable
 
 K = 20
 #: At most so many sampled rows, centroids (one for each LIST rows), neighbours of a centroid in the graph.
-SAMPLE, MOST_CENTROIDS, LIST, DEGREE = 8192, 256, 1024, 16
+SAMPLE, MOST_CENTROIDS, LIST, DEGREE = 8192, 256, 4096, 16
 #: A vector goes to lists within this ratio of its nearest distance, this many at most; a query reads those within the other ratio.
 BOUNDARY, REPLICAS, RATIO = 1.02, 4, 1.15
-BLOCK = 1024
+BLOCK = 8192
+#: Rows that a task holds before it reduces or sends them.
+HELD = 1_000_000
 
 
 class CentroidGraph:
@@ -143,7 +145,20 @@ def search(embeddings: DataFrame, is_query, k: int = K) -> DataFrame:
     lists = blocks(rows, "postings")
     asked = blocks(rows.filter(is_query), "queries").withColumnsRenamed({"ids": "q_ids", "vectors": "q_vectors"})
 
+    def best(q: np.ndarray, ids: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each query the ``k`` best rows, a vec_id once."""
+        order = np.lexsort((-score, ids, q))
+        q, ids, score = q[order], ids[order], score[order]
+        once = np.concatenate([[True], (q[1:] != q[:-1]) | (ids[1:] != ids[:-1])]) if len(q) else np.zeros(0, bool)
+        q, ids, score = q[once], ids[once], score[once]
+        order = np.lexsort((ids, -score, q))
+        q, ids, score = q[order], ids[order], score[order]
+        top = np.arange(len(q)) - np.searchsorted(q, q) < k
+        return q[top], ids[top], score[top]
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # What a task finds for a query in several lists is reduced before it is sent on.
+        held, size = [], 0
         for batch in batches:
             for r in range(batch.num_rows):
                 row = {c: batch.column(c)[r].as_py() for c in batch.schema.names}
@@ -156,11 +171,16 @@ def search(embeddings: DataFrame, is_query, k: int = K) -> DataFrame:
                 i, j = np.nonzero((rough >= cut_at - slack) & np.isfinite(rough))
                 # Row by row in a fixed order, so that equal vectors have equal scores in every block.
                 score = np.concatenate([(q[i[s : s + 50_000]] * v[j[s : s + 50_000]]).sum(1) for s in range(0, max(1, len(i)), 50_000)])
-                order = np.lexsort((ids[j], -score, i))
-                i, j, score = i[order], j[order], score[order]
-                first = np.searchsorted(i, np.arange(len(q)))
-                top = np.arange(len(i)) - first[i] < k
-                yield pa.RecordBatch.from_arrays([pa.array(q_ids[i[top]]), pa.array(ids[j[top]]), pa.array(score[top])], ["query_id", "vec_id", "score"])
+                held.append(best(q_ids[i], ids[j], score))
+                size += len(held[-1][0])
+                if size > HELD:
+                    held = [best(*map(np.concatenate, zip(*held)))]
+                    size = len(held[0][0])
+                    if size > HELD // 2:
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in held[0]], ["query_id", "vec_id", "score"])
+                        held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in best(*map(np.concatenate, zip(*held)))], ["query_id", "vec_id", "score"])
 
     found = asked.join(lists, "list").mapInArrow(compare, "query_id long, vec_id long, score double")
     once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
