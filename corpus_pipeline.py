@@ -57,7 +57,7 @@ STAGES = [
     ("best_fit_packing", pack),
 ]
 
-#: SQL can't express the learned filter or the packing; tests/llm holds the stages against brute force.
+#: SQL can't express the learned filter or the packing; tests/llm holds the operators of the stages against brute force.
 ORACLE_SQL = None
 
 
