@@ -5,8 +5,8 @@ aggregation, so a common line costs one row a task. Lines whose estimate is near
 get an exact distinct count. A line on at least ``min_sites`` sites is boilerplate: its first
 occurrence (smallest doc_id, then earliest place) stays and all others go.
 
-Lines are compared without surrounding blanks; those of fewer than ``min_chars`` characters
-are never removed. All other lines stay as they are, in order.
+Lines are compared without surrounding blanks. Every line that is not blank is judged, however
+short; a caller may set ``min_chars`` to spare shorter ones. All other lines stay as they are, in order.
 
 Defined cases: a null text stays null and has no lines, an empty one has one line; a null site
 is one site of its own, a null doc_id sorts first; rows that are equal in doc_id and text are
@@ -20,18 +20,20 @@ from pyspark.sql import functions as F
 
 from memspark.llm.common import cut, key128
 
-MIN_SITES, MIN_CHARS = 5, 20
+MIN_SITES = 5
+#: The floor that the SQL below still has; nothing here uses it.
+MIN_CHARS = 20
 #: Sketches have 2**LOG_BUCKETS buckets (standard error 3.3 %); estimates within this share of the threshold are counted exactly.
 LOG_BUCKETS, NEAR = 10, 0.4
 
 
 def _lines(docs: DataFrame, site: str, min_chars: int) -> DataFrame:
-    """Long lines as (id, row, site, pos, line): row tells texts of one doc_id apart, line is a hash."""
+    """Lines that are not blank as (id, row, site, pos, line): row tells texts of one doc_id apart, line is a hash."""
     lines = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("row"), F.coalesce(F.col(site).cast("string"), F.lit("")).alias("site"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    return lines.filter(F.length(F.trim("line")) >= min_chars).withColumn("line", key128(F.trim("line")))
+    return lines.filter(F.col("line").rlike(r"\S") & (F.length(F.trim("line")) >= min_chars)).withColumn("line", key128(F.trim("line")))
 
 
-def boilerplate(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS) -> DataFrame:
+def boilerplate(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, min_chars: int = 1) -> DataFrame:
     """Hashes of the lines on at least ``min_sites`` sites, with the first occurrence of each."""
     lines = _lines(docs, site, min_chars)
     spread = lines.groupBy("line").agg(F.hll_sketch_agg("site", LOG_BUCKETS).alias("sketch"), F.min(F.struct("id", "row", "pos")).alias("first"))
@@ -43,7 +45,7 @@ def boilerplate(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITE
     return spread.filter(F.col("sites") > min_sites * (1 + NEAR)).select("line", "first").union(counted.select("line", "first"))
 
 
-def remove_lines(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS) -> DataFrame:
+def remove_lines(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, min_chars: int = 1) -> DataFrame:
     """All rows of ``docs``, with text changed and lines_removed (int) added."""
     held = cut(boilerplate(docs, site, min_sites, min_chars), "boilerplate")
     here = F.struct("id", "row", "pos")

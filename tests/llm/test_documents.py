@@ -125,6 +125,13 @@ def test_line_dedup(docs, empty):
     assert line_dedup.remove_lines(empty).count() == 0
 
 
+def test_line_dedup_judges_short_lines(spark):
+    """Lines of one to 19 characters on five sites go, those on four and blank ones stay."""
+    rows = [(i, f"Les.\n\n \n\t\nown {i}\n x\nNt onor. The of it.\n{'Few.' if i < 4 else 'y'}", f"s{i}") for i in range(8)]
+    got = {r["doc_id"]: (r["text"], r["lines_removed"]) for r in line_dedup.remove_lines(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert got == {0: (rows[0][1], 0)} | {i: (f"\n \n\t\nown {i}\n{'Few.' if i < 4 else 'y'}", 3) for i in range(1, 8)}
+
+
 @pytest.mark.parametrize("path", [BYTE, CLIP])
 def test_encoder_equals_library(docs, path):
     texts = list(docs[1].values()) + ["don't we'll\nstop's ###", "x <|endoftext|> y", "a\x1cb　c İ Σς ΟΣ", "\n\nx\n", "ẞß ŉ ǅ"]
