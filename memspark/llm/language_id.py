@@ -4,8 +4,9 @@ Each word's script (by fixed Unicode ranges) narrows the languages to those that
 others get the lowest score. Within them a word scores by its character n-grams. Viterbi over
 the words, with a penalty for each switch, labels spans; the language of most words wins.
 
-A text whose best single language cannot be beaten on any stretch by more than the penalty has
-that language throughout; this is exact, and only other texts run the full recursion.
+A text has its best single language throughout if no language leads it by the penalty on any stretch,
+and the largest leads on an opening and on a closing stretch stay under the penalty together. This is
+exact (see viterbi), and only other texts run the full recursion.
 
 Learning uses at most ``per_language`` labelled documents of each language, chosen by a hash of
 the id; prediction reads every document, and nothing but its text.
@@ -99,11 +100,18 @@ class LanguageModel:
 
 
 def viterbi(scores: np.ndarray, penalty: float) -> np.ndarray:
-    """The best labels of the rows of ``scores``, where each change of label costs ``penalty``; ties keep the label, then take the smaller."""
+    """The best labels of the rows of ``scores``, where each change of label costs ``penalty``; ties keep the label, then take the smaller.
+
+    The early return is exact. Take a path of S stretches in other languages than the best one and B in it, so of
+    S + B - 1 switches. If B > 0, its gain is under S penalties, which the switches cost at least. If B = 0 < S - 1, the
+    first stretch opens the text and the last closes it: these two gain under one penalty, the S - 2 between at most
+    one each, and the switches cost S - 1.
+    """
     best = scores.sum(0).argmax()
     lead = np.cumsum(scores - scores[:, [best]], 0)
     low = np.minimum.accumulate(np.concatenate([np.zeros((1, lead.shape[1])), lead[:-1]]))
-    if (lead - low).max() <= penalty:
+    opening, closing = lead[:-1].max(initial=0), (lead[-1] - lead[:-1]).max(initial=0)
+    if (lead - low).max() < penalty and opening + closing < penalty:
         return np.full(len(scores), best)
     n, k = scores.shape
     value, own, back = scores[0].tolist(), range(k), []

@@ -266,6 +266,20 @@ def test_viterbi_equals_enumeration():
         assert cost(language_id.viterbi(s, 2.0).tolist()) == pytest.approx(best)
 
 
+def test_viterbi_when_two_languages_share_a_switch():
+    """A third language leads nowhere by the penalty, but two neighbouring stretches do together."""
+    import itertools
+
+    s = np.array([[0, -8, -3]] * 3 + [[-8, 0, -3]] * 3, float)
+    assert language_id.viterbi(s, 12.0).tolist() == [0, 0, 0, 1, 1, 1]
+    rng = np.random.default_rng(2)
+    for n, k, penalty in [(1, 3, 12.0), (2, 3, 12.0), (6, 3, 12.0), (6, 4, 8.0), (5, 5, 4.0), (4, 2, 0.0)] * 60:
+        s = np.maximum(-rng.exponential(4, (n, k)), -8)
+        s[:, -1] = -3
+        cost = lambda path: sum(s[i, x] for i, x in enumerate(path)) - penalty * sum(a != b for a, b in zip(path, path[1:]))
+        assert cost(language_id.viterbi(s, penalty).tolist()) == pytest.approx(max(map(cost, itertools.product(range(k), repeat=n))))
+
+
 def test_digest_of_kept_words(docs):
     from pyspark.sql import functions as F
 
