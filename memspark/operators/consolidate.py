@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import heapq
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from memspark.config import DEFAULTS, Defaults
+from memspark.operators.components import components
 from memspark.operators.vector_search import pairs_over
+from memspark.sources import tables
 
 
 def promotable(d: Defaults = DEFAULTS) -> Column:
@@ -33,49 +35,81 @@ def near_duplicate_pairs(memories: DataFrame, vectors: DataFrame, d: Defaults =
     return pairs_over(own, d.merge_from)
 
 
-def _merge_user(rows: pd.DataFrame) -> list[tuple]:
+def near_duplicate_classes(memories: DataFrame, vectors: DataFrame, d: Defaults = DEFAULTS) -> tuple[DataFrame, DataFrame]:
+    """The same pairs without those of copies: pairs (user_id, a, b, score) of the representatives of equal vectors, and copies.
+
+    copies: user_id, memory_id, rep (the smallest memory_id with this user and vector), alike (there are several, near each other).
+    """
+    own = memories.filter("status = 'active' AND memory_layer = 'semantic'").select("memory_id", "user_id").join(vectors, "memory_id")
+    own = tables.materialise(own.select("memory_id", "user_id", "embedding").filter("size(embedding) > 0 AND user_id IS NOT NULL"), "own")
+    near = F.when(F.exists("embedding", lambda x: x != 0), 1.0).otherwise(0.0) >= d.merge_from
+    held = own.groupBy("user_id", "embedding").agg(F.min("memory_id").alias("rep"), (F.count("*") > 1).alias("several"))
+    held = tables.materialise(held.withColumn("alike", F.col("several") & near).drop("several"), "classes")
+    copies = own.join(held, ["user_id", "embedding"]).select("user_id", "memory_id", "rep", "alike")
+    return pairs_over(held.select(F.col("rep").alias("memory_id"), "user_id", "embedding"), d.merge_from), copies
+
+
+def _merge_component(rows: pd.DataFrame, links: pd.DataFrame) -> list[tuple]:
     """The greedy walk in listing order: each memory that has not lost meets the later ones that have not; the more important stays, the earlier on a tie.
 
-    A memory that loses while it is its turn still meets the later ones.
+    A memory that loses while it is its turn still meets the later ones. ``rows`` (memory_id, rep, alike, place, imp) wait in
+    the list of their class until they have lost or had their turn, so a meeting is a row of the result.
     """
-    place = {}
-    for a, pa_, ia, b, pb, ib in rows[["a", "place_a", "imp_a", "b", "place_b", "imp_b"]].itertuples(index=False):
-        place[a], place[b] = (pa_, ia), (pb, ib)
-    near: dict[str, list[str]] = {}
-    for a, b in zip(rows["a"], rows["b"]):
-        first, second = sorted((a, b), key=lambda x: place[x][0])
-        near.setdefault(first, []).append(second)
+    members = sorted(rows[["place", "memory_id", "imp", "rep"]].itertuples(index=False, name=None))
+    waiting: dict[str, list[tuple]] = {}
+    for m in members:
+        waiting.setdefault(m[3], []).append(m)
+    near = {rep: [rep] if alike else [] for rep, alike in zip(rows["rep"], rows["alike"])}
+    for a, b in zip(links["a"], links["b"]):
+        near[a].append(b)
+        near[b].append(a)
     lost, out = set(), []
-    for a in sorted(near, key=lambda x: place[x][0]):
+    for place, a, imp, rep in members:
         if a in lost:
             continue
-        for b in sorted(near[a], key=lambda x: place[x][0]):
-            if b in lost:
-                continue
-            winner, loser = (a, b) if place[a][1] >= place[b][1] else (b, a)
-            lost.add(loser)
-            out.append((winner, loser, len(out)))
+        later = [m for m in heapq.merge(*(waiting[c] for c in near[rep])) if m[0] > place]
+        stay: dict[str, list[tuple]] = {c: [] for c in near[rep]}
+        for m in later:
+            if imp >= m[2]:
+                lost.add(m[1])
+                out.append((a, m[1], len(out)))
+            else:
+                lost.add(a)
+                out.append((m[1], a, len(out)))
+                stay[m[3]].append(m)
+        waiting.update(stay)
     return out
 
 
-def merges(memories: DataFrame, pairs: DataFrame) -> DataFrame:
-    """user_id, winner, loser, step: what the greedy merge of each user does. Only the pairs go in, so a user's group is small."""
-    rank = memories.select("memory_id", "created_at", "importance_score")
-    ends = {x: rank.select(F.col("memory_id").alias(x), F.struct(-F.unix_micros("created_at"), "memory_id").alias(f"at_{x}"), F.col("importance_score").alias(f"imp_{x}")) for x in "ab"}
-    rows = pairs.join(ends["a"], "a").join(ends["b"], "b")
-    order = lambda x: F.format_string("%020d|%s", F.col(f"at_{x}.col1") + F.lit(9 * 10**18), F.col(f"at_{x}.memory_id"))
-    rows = rows.select("user_id", "a", "b", order("a").alias("place_a"), order("b").alias("place_b"), "imp_a", "imp_b")
+def merges(memories: DataFrame, pairs: DataFrame, copies: DataFrame | None = None) -> DataFrame:
+    """user_id, component, winner, loser, step: what the greedy merge does, one connected component of the pairs at a time.
+
+    Components do not affect each other. ``pairs`` may be of representatives, with ``copies`` as of near_duplicate_classes;
+    else each memory stands for itself.
+    """
+    links = tables.materialise(pairs.select("user_id", "a", "b"), "near")
+    ends_of = links.select(F.explode(F.array("a", "b")).alias("rep"), "user_id").distinct()
+    if copies is None:
+        copies = ends_of.select("user_id", F.col("rep").alias("memory_id"), "rep", F.lit(False).alias("alike"))
+    label = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    of = lambda end: label.select(F.col("node").alias(end), "label")
+    order = F.format_string("%020d|%s", -F.unix_micros("created_at") + F.lit(9 * 10**18), F.col("memory_id"))
+    rank = memories.select("memory_id", order.alias("place"), F.col("importance_score").alias("imp"))
+    met = copies.join(ends_of.select("rep", F.lit(True).alias("linked")), "rep", "left").filter("alike OR linked").join(of("rep"), "rep", "left")
+    rows = met.select("user_id", F.coalesce("label", "rep").alias("component"), "memory_id", "rep", "alike").join(rank, "memory_id")
+    near = links.join(of("a"), "a", "left").select(F.col("user_id").alias("user_id"), F.coalesce("label", "a").alias("component"), "a", "b")
 
-    def walk(group: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([(group["user_id"].iloc[0], *r) for r in _merge_user(group)], columns=["user_id", "winner", "loser", "step"])
+    def walk(key: tuple, own: pd.DataFrame, linked: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([(*key, *r) for r in _merge_component(own, linked)], columns=["user_id", "component", "winner", "loser", "step"])
 
-    return rows.groupBy("user_id").applyInPandas(walk, "user_id string, winner string, loser string, step int")
+    by = ["user_id", "component"]
+    return rows.groupBy(*by).cogroup(near.groupBy(*by)).applyInPandas(walk, "user_id string, component string, winner string, loser string, step int")
 
 
 def apply_merges(memories: DataFrame, done: DataFrame) -> DataFrame:
     """Losers become superseded by their winner (merged_into); winners gain the losers' accesses and merged_ids, in order.
 
-    A winner that lost before it won passes on what it has gained since; accesses follow the walk's steps.
+    A winner that lost before it won passes on what it has gained since; accesses follow the walk's steps. One that lost several times names its last winner.
     """
     accesses = memories.select(F.col("memory_id").alias("loser"), F.col("access_count").alias("loser_access"))
     steps = done.join(accesses, "loser")
@@ -86,9 +120,9 @@ def apply_merges(memories: DataFrame, done: DataFrame) -> DataFrame:
             held[winner] = held.get(winner, 0) + n + held.get(loser, 0)
         return pd.DataFrame({"memory_id": list(held), "gained": list(held.values())})
 
-    gained = steps.groupBy("user_id").applyInPandas(totals, "memory_id string, gained long")
+    gained = steps.groupBy("user_id", "component").applyInPandas(totals, "memory_id string, gained long")
     won = done.groupBy(F.col("winner").alias("memory_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("step", "loser"))), lambda x: x["loser"]).alias("merged_ids"))
-    into = done.select(F.col("loser").alias("memory_id"), F.col("winner").alias("merged_into"))
+    into = done.groupBy(F.col("loser").alias("memory_id")).agg(F.max_by("winner", "step").alias("merged_into"))
     out = memories.join(gained, "memory_id", "left").join(won, "memory_id", "left").join(into, "memory_id", "left")
     out = out.withColumn("access_count", F.col("access_count") + F.coalesce("gained", F.lit(0))).withColumn("status", F.when(F.col("merged_into").isNotNull(), "superseded").otherwise(F.col("status")))
     if "parent_memory_ids" in memories.columns:
@@ -99,7 +133,7 @@ def apply_merges(memories: DataFrame, done: DataFrame) -> DataFrame:
 def consolidate(memories: DataFrame, vectors: DataFrame, as_of: Column, d: Defaults = DEFAULTS) -> tuple[DataFrame, DataFrame]:
     """The cycle: promote, then merge. The new memories, and promoted and merged counts for each user."""
     promoted = promote(memories, as_of, d)
-    done = merges(promoted, near_duplicate_pairs(promoted, vectors, d))
+    done = tables.materialise(merges(promoted, *near_duplicate_classes(promoted, vectors, d)), "merges")
     merged = done.groupBy("user_id").agg(F.count("*").alias("merged"))
     counts = promoted.groupBy("user_id").agg(F.sum(F.col("promoted").cast("long")).alias("promoted")).join(merged, "user_id", "left").fillna(0, ["merged"])
     return apply_merges(promoted, done), counts

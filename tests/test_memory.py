@@ -2,6 +2,7 @@
 
 import datetime as dt
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -119,6 +120,34 @@ def test_merge_walks_in_listing_order(spark):
     assert got == {"1": ("superseded", "2", 5, ["3"]), "2": ("active", None, 3, ["1"]), "3": ("superseded", "1", 4, []), "4": ("active", None, 8, [])}
 
 
+def test_merge_by_classes_and_components(spark):
+    """The walk over copies and components is that over all pairs, and copies are never paired."""
+    rng = random.Random(3)
+    base = [[1.0, 0.0, 0.0], [0.95, 0.312, 0.0], [0.8, 0.6, 0.0], [0.0, 0.0, 1.0], [0.0, 0.0, 0.0], [0.0, -1.0, 0.0]]
+    own = [(str(i), rng.choice([*base, base[0]]) if i < 59 else [0.0, -0.6, -0.8], rng.choice([0.2, 0.5, 0.9]), rng.randint(0, 9)) for i in range(60)]
+    m = memory(spark, *({"memory_id": i, "memory_layer": "semantic", "created_at": NOW - dt.timedelta(hours=int(i) % 7), "importance_score": s, "access_count": n} for i, _, s, n in own))
+    v = spark.createDataFrame([(i, x) for i, x, _, _ in own], "memory_id string, embedding array<double>")
+    d = Defaults(merge_from=0.9)
+    place = {i: (int(i) % 7, i) for i, *_ in own}
+    near = {(r["a"], r["b"]) for r in consolidate.near_duplicate_pairs(m, v, d).collect()}
+    imp, held, lost, want, into = {i: s for i, _, s, _ in own}, {i: n for i, _, _, n in own}, set(), [], {}
+    for a in sorted(place, key=place.get):
+        for b in sorted(place, key=place.get) if a not in lost else ():
+            if place[b] > place[a] and b not in lost and (min(a, b), max(a, b)) in near:
+                w, x = (a, b) if imp[a] >= imp[b] else (b, a)
+                lost.add(x)
+                want.append((w, x))
+                into[x] = w
+                held[w] += held[x]
+    pairs, copies = consolidate.near_duplicate_classes(m, v, d)
+    assert pairs.count() == 2 and len(near) > 100
+    done = consolidate.merges(m, pairs, copies)
+    assert sorted((r["winner"], r["loser"]) for r in done.collect()) == sorted(want)
+    assert done.select("component").distinct().count() == 3
+    after, counts = consolidate.consolidate(m, v, AS_OF, d)
+    assert sorted((r["memory_id"], r["merged_into"], r["access_count"]) for r in after.collect()) == sorted((i, into.get(i), held[i]) for i in held)
+
+
 def test_judge(spark):
     rows = [("user hates fish", "user now ate fish"), ("never", "moved to Rome"), ("Anna lives in Rome", "Anna moved to Oslo"), ("a b", "c d"), (None, "x")]
     got = [(r["contradicts"], r["confidence"]) for r in contradict.judge(spark.createDataFrame(rows, "content_a string, content_b string").coalesce(1)).collect()]
