@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from memspark.sources import tables
+
 
 def link(edges: DataFrame, entities: DataFrame, order: str | None = None) -> DataFrame:
     """Edges whose ends both exist, one for each (src, dst, rel); the last props win."""
@@ -36,12 +38,17 @@ def version_chain(memories: DataFrame) -> DataFrame:
     return memories.select("memory_id", F.posexplode("parent_memory_ids").alias("position", "ancestor")).select("memory_id", "ancestor", (F.col("position") + 1).alias("position"))
 
 
-def ancestors(memories: DataFrame, depth: int = 10) -> DataFrame:
-    """memory_id, ancestor, hops: all ancestors through parents of parents, each at its fewest hops."""
-    parents = memories.select(F.col("memory_id").alias("child"), F.explode("parent_memory_ids").alias("parent")).distinct()
-    at = parents.select(F.col("child").alias("memory_id"), F.col("parent").alias("ancestor"), F.lit(1).alias("hops"))
-    found = at
-    for k in range(2, depth + 1):
-        at = at.join(parents, F.col("ancestor") == F.col("child")).select("memory_id", F.col("parent").alias("ancestor"), F.lit(k).alias("hops")).filter("ancestor <> memory_id").distinct()
+def ancestors(memories: DataFrame, depth: int | None = None) -> DataFrame:
+    """memory_id, ancestor, hops: all ancestors through parents of parents, each at its fewest hops; with ``depth`` those up to so many hops.
+
+    Each round goes one parent further from the pairs that the last one found, until it finds no new pair.
+    """
+    parents = tables.materialise(memories.select(F.col("memory_id").alias("child"), F.explode("parent_memory_ids").alias("parent")).distinct(), "parents")
+    at = found = parents.select(F.col("child").alias("memory_id"), F.col("parent").alias("ancestor"), F.lit(1).alias("hops"))
+    k = 1
+    while (depth is None or k < depth) and not at.isEmpty():
+        k += 1
+        onward = at.join(parents, F.col("ancestor") == F.col("child")).select("memory_id", F.col("parent").alias("ancestor")).filter("ancestor <> memory_id").distinct()
+        at = tables.materialise(onward.join(found, ["memory_id", "ancestor"], "left_anti").withColumn("hops", F.lit(k)), "ancestors")
         found = found.unionByName(at)
-    return found.groupBy("memory_id", "ancestor").agg(F.min("hops").alias("hops"))
+    return found

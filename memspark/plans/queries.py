@@ -222,7 +222,7 @@ def graph_related(spark: SparkSession, sf_dir: str) -> DataFrame:
 def version_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's parent is that of half its number."""
     m = X.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("memory_id"), F.when(F.col("doc_id") > 0, F.array(F.floor(F.col("doc_id") / 2).cast("string"))).otherwise(F.array().cast("array<string>")).alias("parent_memory_ids"))
-    return graph.ancestors(m, 6)
+    return graph.ancestors(m)
 
 
 def access_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:

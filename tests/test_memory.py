@@ -11,6 +11,7 @@ from memspark.config import DEFAULTS, Defaults
 from memspark.functions import lexical, replies, scoring, vectors
 from memspark.operators import catalog, consolidate, contradict, evaluate, graph, ingest, reflect, retrieve, sessions, update
 from memspark.operators.vector_search import pairs_over, top_per_query
+from memspark.plans import queries
 from memspark.schemas import MEMORIES, OBSERVATIONS, with_defaults
 from memspark.sources import tables
 from memspark.streaming import jobs
@@ -148,6 +149,17 @@ def test_merge_by_classes_and_components(spark):
     assert sorted((r["memory_id"], r["merged_into"], r["access_count"]) for r in after.collect()) == sorted((i, into.get(i), held[i]) for i in held)
 
 
+def test_ancestors_of_a_long_chain(spark):
+    """A chain of 15 versions, with a way back at its end and a shorter way between; the query has no bound either."""
+    rows = [(str(i), [str(i - 1)] if i else ["3"]) for i in range(15)] + [("x", ["14", "9"])]
+    got = {(r["memory_id"], r["ancestor"]): r["hops"] for r in graph.ancestors(spark.createDataFrame(rows, "memory_id string, parent_memory_ids array<string>")).collect()}
+    assert got[("14", "0")] == 14 and got[("x", "0")] == 10 and got[("x", "10")] == 5 and got[("0", "1")] == 3 and len(got) == 4 * 3 + sum(range(4, 15)) + 15
+    found = queries.version_chain(spark, "/root/testdata/sf0.001")
+    n = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
+    want = {(str(i), str(i >> h)): h for i in range(n) for h in range(i.bit_length(), 0, -1)}
+    assert {(r["memory_id"], r["ancestor"]): r["hops"] for r in found.collect()} == want
+
+
 def test_judge(spark):
     rows = [("user hates fish", "user now ate fish"), ("never", "moved to Rome"), ("Anna lives in Rome", "Anna moved to Oslo"), ("a b", "c d"), (None, "x")]
     got = [(r["contradicts"], r["confidence"]) for r in contradict.judge(spark.createDataFrame(rows, "content_a string, content_b string").coalesce(1)).collect()]
