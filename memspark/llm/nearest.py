@@ -4,7 +4,8 @@ Centroids come from a bounded sample and stay in memory as a graph of their neig
 is searched best first. Each vector is written to the list of its nearest centroid and, if it
 lies near a boundary, to further lists whose centroids are nearly as close. Lists are cut
 into blocks of equal size, so a common vector does not make a long one. A query reads the lists
-whose centroids are within a ratio of the distance to the nearest one.
+whose centroids are within a ratio of the distance to the nearest one, and further ones in order of
+distance until they hold more than ``k`` vec_ids, or all that there are.
 
 Inner products become distances by one more coordinate, ``sqrt(M**2 - |v|**2)`` with M the
 largest norm. Blocks give each query its best ``k`` by the inner product of the original
@@ -90,8 +91,8 @@ def balanced_centroids(points: np.ndarray, k: int, rounds: int = 8) -> np.ndarra
     return centres
 
 
-def search(embeddings: DataFrame, is_query, k: int = K) -> DataFrame:
-    """query_id, rank, vec_id and score of the ``k`` nearest rows to each row of ``embeddings`` (vec_id, embedding) for which ``is_query`` holds."""
+def search(embeddings: DataFrame, is_query, k: int = K, size: int = LIST) -> DataFrame:
+    """query_id, rank, vec_id and score of the ``k`` nearest rows to each row of ``embeddings`` (vec_id, embedding) for which ``is_query`` holds; ``size``: rows for each list."""
     spark = embeddings.sparkSession
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).filter(usable("embedding") & F.col("vec_id").isNotNull())
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -105,7 +106,7 @@ def search(embeddings: DataFrame, is_query, k: int = K) -> DataFrame:
     points = np.array([v for v in sampled if len(v) == dim])
     raise_up = lambda v: np.hstack([v, np.sqrt(np.maximum(largest - (v * v).sum(1, keepdims=True), 0))])
     points = raise_up(points)
-    graph = CentroidGraph(balanced_centroids(points, max(1, min(MOST_CENTROIDS, total // LIST, len(points)))))
+    graph = CentroidGraph(balanced_centroids(points, max(1, min(MOST_CENTROIDS, total // size, len(points)))))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -119,13 +120,24 @@ def search(embeddings: DataFrame, is_query, k: int = K) -> DataFrame:
             i, j = np.nonzero(near <= near[:, :1] * BOUNDARY + 1e-12)
             yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(pa.array(i)), batch.column("embedding").take(pa.array(i)), pa.array(order[i, j].astype(np.int32))], ["vec_id", "embedding", "list"])
 
+    def enough(v: np.ndarray, lists: list[int]) -> list[int]:
+        """``lists``, and the next ones by distance while they hold ``k`` vec_ids or less."""
+        if (have := sum(held[i] for i in lists)) <= k:
+            for i in np.argsort(((graph.centroids - v) ** 2).sum(1), kind="stable").tolist():
+                if i not in lists:
+                    lists.append(i)
+                    have += held[i]
+                    if have > k:
+                        break
+        return lists
+
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             v = matrix(batch.column("embedding"))
             v = np.hstack([v * np.sqrt(largest / np.maximum((v * v).sum(1, keepdims=True), 1e-300)), np.zeros((len(v), 1))])
-            lists = [graph.search(x, RATIO) for x in v]
+            lists = [enough(x, graph.search(x, RATIO)) for x in v]
             i = np.repeat(np.arange(len(v)), [len(x) for x in lists])
             yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(pa.array(i)), batch.column("embedding").take(pa.array(i)), pa.array([x for own in lists for x in own], pa.int32())], ["vec_id", "embedding", "list"])
 
@@ -134,16 +146,21 @@ def search(embeddings: DataFrame, is_query, k: int = K) -> DataFrame:
 
     shape, packed = "vec_id long, embedding array<double>, list int", "list int, ids binary, vectors binary"
 
-    def blocks(df: DataFrame, label: str) -> DataFrame:
+    def blocks(made: DataFrame, label: str) -> DataFrame:
         """Lists cut into blocks of about BLOCK rows by a hash of the id."""
-        made = cut(df.mapInArrow(assign if label == "postings" else route, shape), label)
         sizes = {r[0]: -(-r[1] // BLOCK) for r in made.groupBy("list").count().collect()}
         parts = F.create_map(*(F.lit(x) for kv in (sizes or {0: 1}).items() for x in kv))
         chunk = F.pmod(F.xxhash64("vec_id"), parts[F.col("list")])
         return cut(made.withColumn("chunk", chunk).groupBy("list", "chunk").applyInArrow(pack, packed), f"{label}-blocks")
 
-    lists = blocks(rows, "postings")
-    asked = blocks(rows.filter(is_query), "queries").withColumnsRenamed({"ids": "q_ids", "vectors": "q_vectors"})
+    postings = cut(rows.mapInArrow(assign, shape), "postings")
+    # Each vec_id counts in one of its lists only, so lists together hold as many as the sum at least.
+    counted = postings.groupBy("vec_id").agg(F.min("list").alias("list")).groupBy("list").count().collect()
+    held = [0] * len(graph.centroids)
+    for r in counted:
+        held[r["list"]] = r["count"]
+    lists = blocks(postings, "postings")
+    asked = blocks(cut(rows.filter(is_query).mapInArrow(route, shape), "queries"), "queries").withColumnsRenamed({"ids": "q_ids", "vectors": "q_vectors"})
 
     def best(q: np.ndarray, ids: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of each query the ``k`` best rows, a vec_id once."""
@@ -164,9 +181,14 @@ def search(embeddings: DataFrame, is_query, k: int = K) -> DataFrame:
                 row = {c: batch.column(c)[r].as_py() for c in batch.schema.names}
                 ids, q_ids = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["q_ids"], "<i8")
                 v, q = (np.frombuffer(row[c], "<f8").reshape(-1, dim) for c in ("vectors", "q_vectors"))
+                order = np.argsort(ids, kind="stable")
+                ids, v = ids[order], v[order]
                 rough = q @ v.T
                 rough[q_ids[:, None] == ids[None, :]] = -np.inf
-                cut_at = np.partition(rough, -k, 1)[:, [-k]] if len(ids) > k else np.full((len(q), 1), -np.inf)
+                # Rows of one vec_id are one candidate, so they take one place of the k.
+                first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+                each = rough if len(first) == len(ids) else np.maximum.reduceat(rough, first, 1)
+                cut_at = np.partition(each, -k, 1)[:, [-k]] if len(first) > k else np.full((len(q), 1), -np.inf)
                 slack = 1e-9 * (1 + np.abs(np.where(np.isfinite(cut_at), cut_at, 0)))
                 i, j = np.nonzero((rough >= cut_at - slack) & np.isfinite(rough))
                 # Row by row in a fixed order, so that equal vectors have equal scores in every block.

@@ -67,6 +67,29 @@ def test_nearest(spark, vectors):
     assert len(few) == 5 * 4
 
 
+def test_nearest_with_many_small_lists(spark):
+    """Dozens of lists, outliers that own a centroid, and groups of fewer rows than are asked for: all places are filled."""
+    rng = np.random.default_rng(3)
+    hot = rng.normal(size=16)
+    rows = [hot + rng.normal(size=16) * 0.05 for _ in range(150)]
+    rows += [c + rng.normal(size=16) * 0.02 for c in rng.normal(size=(25, 16)) for _ in range(12)]
+    rows += list(rng.normal(size=(50, 16)))
+    v = np.array(rows)
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    table = [(i, x.tolist()) for i, x in enumerate(v)] + [(n, v[0].tolist()) for n in (0, 0, 1)]
+    df = spark.createDataFrame(table, "vec_id long, embedding array<double>").repartition(3)
+    score = v @ v.T
+    score[:, 1] = np.maximum(score[:, 1], score[:, 0])
+    for size, k in ((10, 20), (40, 20), (10, 600)):
+        got = {}
+        for r in nearest.search(df, F.col("vec_id") % 5 == 0, k, size).collect():
+            got.setdefault(r["query_id"], set()).add(r["vec_id"])
+        assert {q: len(x) for q, x in got.items()} == {q: min(k, len(v) - 1) for q in range(0, len(v), 5)}
+        if k == 20:
+            # Groups of 12: the 11 others of the group are the nearest.
+            assert all(len(got[q] & set(range(q - (q - 150) % 12, q - (q - 150) % 12 + 12))) == 11 for q in range(150, 450, 5))
+
+
 def test_components(spark):
     links = [(i + 1, i) for i in range(40)] + [(100, 101), (103, 100), (105, 104)]
     got = {r["node"]: r["label"] for r in components(spark.createDataFrame(links, "u long, v long")).collect()}
