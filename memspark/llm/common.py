@@ -79,12 +79,12 @@ def key128(*cols: Column) -> Column:
     return F.struct(F.xxhash64(*cols).alias("a"), F.xxhash64(F.lit(7), *cols).alias("b"))
 
 
-def slices(batch: pa.RecordBatch, column: str, chars: int = 1_000_000) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch holding about ``chars`` characters each, a row at least."""
+def slices(batch: pa.RecordBatch, column: str, chars: int = 1_000_000, rows: int = 1 << 31) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch holding about ``chars`` characters each, a row at least and ``rows`` at most."""
     sizes = pc.binary_length(batch.column(column)).fill_null(0).to_pylist()
     start = total = 0
     for i, n in enumerate(sizes):
-        if total and total + n > chars:
+        if i > start and (total + n > chars or i - start >= rows):
             yield batch.slice(start, i - start)
             start, total = i, 0
         total += n

@@ -3,22 +3,28 @@
 Two documents link if their sets of ``N`` -word shingles have a Jaccard similarity of
 ``PERCENT`` per cent or more. The steps:
 
-1. Documents of equal sets form a class, and the smallest doc_id stands for it.
-2. A counter table of fixed size, summed over all documents, orders shingles rare first.
-3. A set that links has a shingle in common with the other in its prefix, the first
-   ``size - ceil(t * size) + 1`` in that order. Prefix shingles that occur in one document go.
-4. On each prefix shingle that is left, documents are paired with LEADERS leaders; then every
-   pair that is in different components still. So a group of near copies makes as many pairs as it has members, and no link
-   between components is lost. Pairs pass a length, a positional and a suffix filter (counts of
-   both sets in fixed parts bound what they share), and are verified once on whole sets.
-5. Links join to components.
+1. One pass over the texts gives each set's size and hash, and its shingles, packed by range of
+   the hash space and by batch of documents. A task for each range finds the shingles that
+   occur in one document alone. A linked document shares ``ceil(t * size)`` of its shingles, so
+   those with more lonely ones than that allows link with nothing and go.
+2. Documents of equal sets form a class; the smallest doc_id stands for it.
+3. Of the sets that are left, shingles are ordered rare first by their exact document
+   frequency. A set that links has a shingle in common with the other in its prefix, the first
+   ``size - ceil(t * size) + 1`` in that order; lonely ones need not be sent.
+4. On each prefix shingle documents are paired with LEADERS leaders, by length and positional
+   filter. Pairs pass the suffix filter: parity bitmaps of the sets bound from below how many
+   shingles are in one set only. What passes is verified once, on whole sets.
+5. On shingles whose documents are in several components still, blocks of documents are held
+   against each other by the same filters, and only pairs that pass leave the task: first
+   each document's closest partner in each other component, then all that are still apart.
+6. Links join to components.
 
 Shingles are 64-bit hashes.
 
 Defined cases: a document without words has an empty set and links with nothing; one of fewer
 than ``N`` words has its whole sequence as the only shingle; rows that share a doc_id are one
-node, each with its own size; a null doc_id takes no part, its component is null; an empty
-table gives no rows; further columns are kept by ``keep_first``, whatever their names.
+node, each with its own size and set; a null doc_id takes no part, its component is null; an
+empty table gives no rows; further columns are kept by ``keep_first``, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,7 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from memspark.llm.common import cut, drop, slices
@@ -36,11 +42,17 @@ from memspark.llm.components import components
 from memspark.llm.shingles import WordHashes, shingle_set, words_of
 
 N, PERCENT = 5, 75
-COUNTER_BITS, CHUNK = 18, 4096
-PARTS = 128
 LEADERS = 3
-#: A round of verification carries the sets of so large a part of all shingles: one in ROUND_SHARE.
-ROUND_SHARE = 6
+#: Documents whose shingles are packed together: so many characters, and so many rows at most.
+BATCH_CHARS, BATCH_ROWS = 8_000_000, 60_000
+#: Characters of text to a range of the hash space.
+RANGE_CHARS = 24_000_000
+#: Owner of a packed shingle that several documents of its batch have.
+_SHARED = 0xFFFF
+#: Bits of a parity bitmap to a shingle, and bits at most.
+BITS, MOST_BITS = 4, 8192
+#: Documents of one shingle that are held against others at a time.
+BLOCK = 256
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -48,202 +60,303 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def _sets(part: pa.RecordBatch, memo: WordHashes, n: int) -> list[np.ndarray]:
-    return [shingle_set(memo.of(words_of(t.lower() if t else None)), n) for t in part.column("text").to_pylist()]
-
-
-def survey(docs: DataFrame, n: int) -> DataFrame:
-    """A row for each document (size, and two hashes of its set), and of each task the chunks of its shingle counters."""
+    texts = part.column("text").to_pylist()
+    return [shingle_set(memo.of(words_of(t.lower() if t else None)), n) for t in texts]
+
+
+def _set_hash(s: np.ndarray) -> tuple[int, int]:
+    if not len(s):
+        return 0, 0
+    mixed = s * np.uint64(0x9E3779B97F4A7C15) ^ s >> np.uint64(31)
+    return int(s.sum(dtype=np.uint64)), int(np.bitwise_xor.reduce(mixed))
+
+
+def _pack(sets: list[np.ndarray], bits: int) -> Iterator[tuple[int, bytes]]:
+    """(range, values) of a batch: the 40 bits behind the range's and the owner of each distinct shingle, by owner.
+
+    Different shingles of equal bits only look less lonely than they are.
+    """
+    every = np.concatenate(sets)
+    owner = np.repeat(np.arange(len(sets), dtype=np.uint16), [len(s) for s in sets])
+    order = np.argsort(every)
+    ordered = every[order]
+    new = np.concatenate([[True], ordered[1:] != ordered[:-1]]) if len(every) else np.zeros(0, bool)
+    shared = np.concatenate([~new[1:], [False]]) if len(every) else new
+    owner[order[new & shared]] = _SHARED
+    kept = np.zeros(len(every), bool)
+    kept[order[new]] = True
+    every, owner = every[kept], owner[kept]
+    ranges = (every >> np.uint64(64 - bits)).astype(np.uint32 if bits > 16 else np.uint16)
+    order = np.argsort(ranges, kind="stable")
+    every, owner, ranges = every[order] << np.uint64(bits) >> np.uint64(24), owner[order], ranges[order]
+    low, high = every.astype("<u4"), (every >> np.uint64(32)).astype(np.uint8)
+    starts = np.flatnonzero(np.concatenate([[True], ranges[1:] != ranges[:-1]])) if len(ranges) else []
+    for s, e in zip(starts, [*starts[1:], len(ranges)]):
+        yield int(ranges[s]), b"".join([low[s:e].tobytes(), high[s:e].tobytes(), owner[s:e].astype("<u2").tobytes()])
+
+
+def _unpack(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    m = len(packed) // 7
+    low, high = np.frombuffer(packed, "<u4", m), np.frombuffer(packed, np.uint8, m, 4 * m)
+    return low | high.astype(np.uint64) << np.uint64(32), np.frombuffer(packed, "<u2", m, 5 * m)
+
+
+def survey(docs: DataFrame, n: int, bits: int) -> DataFrame:
+    """A row for each document (doc, size, two hashes a and b of its set, batch and place in it) and one for each batch and range (batch, part, packed)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, counters, found = WordHashes(), np.zeros(1 << COUNTER_BITS, np.int64), False
-        names = ["doc", "size", "a", "b", "chunk", "task", "counts"]
-        for batch in batches:
-            for part in slices(batch, "text"):
+        memo, batch_id = WordHashes(), TaskContext.get().partitionId() << 32
+        names = ["doc", "size", "a", "b", "batch", "place", "part", "packed"]
+        for whole in batches:
+            for part in slices(whole, "text", BATCH_CHARS, BATCH_ROWS):
                 sets = _sets(part, memo, n)
-                shingles = np.concatenate(sets) >> np.uint64(64 - COUNTER_BITS)
-                counters += np.bincount(shingles.astype(np.int64), minlength=1 << COUNTER_BITS)
-                found = True
-                mixed = [(int(s.sum(dtype=np.uint64)), int(np.bitwise_xor.reduce(s * np.uint64(0x9E3779B97F4A7C15) ^ s >> np.uint64(31)))) if len(s) else (0, 0) for s in sets]
-                a, b = (np.array(x, np.uint64).view(np.int64) for x in zip(*mixed))
-                none = pa.nulls(len(sets), pa.int32())
-                yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array([len(s) for s in sets], pa.int64()), pa.array(a), pa.array(b), none, none, pa.nulls(len(sets), pa.binary())], names)
-        if found:
-            rows = [counters[i : i + CHUNK].astype("<u4").tobytes() for i in range(0, len(counters), CHUNK)]
-            none, task = pa.nulls(len(rows), pa.int64()), TaskContext.get().partitionId() % 256
-            yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(range(len(rows)), pa.int32()), pa.array([task] * len(rows), pa.int32()), pa.array(rows, pa.binary())], names)
+                k = len(sets)
+                a, b = (np.array(x, np.uint64).view(np.int64) for x in zip(*map(_set_hash, sets)))
+                sizes, batch = pa.array([len(s) for s in sets], pa.int64()), pa.array([batch_id] * k, pa.int64())
+                row = [part.column("doc"), sizes, pa.array(a), pa.array(b), batch, pa.array(range(k), pa.int32())]
+                yield pa.RecordBatch.from_arrays([*row, pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names)
+                for number, packed in _pack(sets, bits):
+                    none = [pa.nulls(1, t) for t in [pa.int64()] * 4]
+                    row = [pa.array([batch_id], pa.int64()), pa.nulls(1, pa.int32()), pa.array([number], pa.int32())]
+                    yield pa.RecordBatch.from_arrays([*none, *row, pa.array([packed], pa.binary())], names)
+                batch_id += 1
+
+    return _texts(docs).mapInArrow(run, "doc long, size long, a long, b long, batch long, place int, part int, packed binary")
+
+
+def lonely(surveyed: DataFrame) -> DataFrame:
+    """batch, place, lonely: how many shingles each document has that occur in no other."""
+
+    def of_range(key: tuple, rows: pa.Table) -> pa.Table:
+        packed = [_unpack(x) for x in rows.column("packed").to_pylist()]
+        values, owners = (np.concatenate(x) for x in zip(*packed))
+        order = np.argsort(values)
+        ordered = values[order]
+        new = np.concatenate([[True], ordered[1:] != ordered[:-1], [True]])
+        alone = np.zeros(len(values), bool)
+        alone[order[new[1:] & new[:-1]]] = True
+        alone &= owners != _SHARED
+        ends = np.cumsum([0, *(len(x) for _, x in packed)])
+        found = [owners[s:e][alone[s:e]].astype("<u2").tobytes() for s, e in zip(ends, ends[1:])]
+        return pa.table({"batch": rows.column("batch"), "owners": pa.array(found, pa.binary())})
+
+    def of_batch(key: tuple, rows: pa.Table) -> pa.Table:
+        counts = sum(np.bincount(np.frombuffer(x, "<u2"), minlength=_SHARED) for x in rows.column("owners").to_pylist())
+        place = np.flatnonzero(counts)
+        return pa.table({"batch": pa.array([key[0].as_py()] * len(place), pa.int64()), "place": pa.array(place, pa.int32()), "lonely": pa.array(counts[place], pa.int64())})
+
+    packed = surveyed.filter("part IS NOT NULL").select("batch", "part", "packed")
+    owners = packed.groupBy("part").applyInArrow(of_range, "batch long, owners binary")
+    return owners.groupBy("batch").applyInArrow(of_batch, "batch long, place int, lonely long")
+
+
+def _needed(size: str, percent: int):
+    """Shingles that a set of this size has in common with any that it links to, at least."""
+    return F.ceil(F.col(size) * percent / 100)
 
-    return _texts(docs).mapInArrow(run, "doc long, size long, a long, b long, chunk int, task int, counts binary")
 
+def _least_shared(a: str, b: str, percent: int):
+    """Shared shingles that sets of these sizes need: shared * (100 + percent) >= percent * (a + b)."""
+    return F.ceil((F.col(a) + F.col(b)) * percent / (100 + percent) - 1e-9)
 
-def _frequency_classes(surveyed: DataFrame) -> np.ndarray:
-    """For each counter, how common its shingles are, on a scale of half powers of two. Of fixed size."""
-
-    def total(key: tuple, rows: pa.Table) -> pa.Table:
-        summed = sum(np.frombuffer(x, "<u4").astype(np.uint64) for x in rows.column("counts").to_pylist())
-        return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([np.minimum(summed, 0xFFFFFFFF).astype("<u4").tobytes()], pa.binary())})
-
-    chunks = surveyed.filter("chunk IS NOT NULL").select("chunk", "task", "counts")
-    for keys in (("chunk", "task"), ("chunk",)):
-        chunks = chunks.groupBy(*keys).applyInArrow(total, "chunk int, counts binary")
-    counts = np.zeros(1 << COUNTER_BITS, np.uint32)
-    for chunk, found in chunks.collect():
-        counts[chunk * CHUNK : (chunk + 1) * CHUNK] = np.frombuffer(found, "<u4")
-    return (2 * np.log2(counts + 1.0)).astype(np.uint8)
 
+def parities(s: np.ndarray) -> bytes:
+    """For each bit of a bitmap (its length a power of two, by the set's size), whether an odd number of shingles falls on it."""
+    bits = min(MOST_BITS, max(64, 1 << (BITS * len(s) - 1).bit_length()))
+    odd = np.bincount((s >> np.uint64(32) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
-def prefix_length(size: int, percent: int = PERCENT) -> int:
-    return size + (-percent * size) // 100 + 1
 
+def _folded(bitmap: np.ndarray, words: int) -> np.ndarray:
+    """Rows of a bitmap at a shorter length: bits that fall together add up modulo two."""
+    return np.bitwise_xor.reduce(bitmap.reshape(len(bitmap), -1, words), axis=1)
 
-def _prefixes(docs: DataFrame, classes: np.ndarray, n: int, percent: int) -> DataFrame:
-    """doc, size and the prefix of each document's set, rare shingles first, and parts: how many shingles are in each of PARTS parts of the hash range."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = WordHashes()
-        for batch in batches:
-            for part in slices(batch, "text"):
-                sets, prefixes = _sets(part, memo, n), []
-                for s in sets:
-                    order = np.lexsort((s, classes[(s >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)]))
-                    prefixes.append(s[order[: prefix_length(len(s), percent)]] if len(s) else s)
-                ends = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
-                tokens = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(prefixes).view(np.int64)))
-                parts = [np.bincount((s >> np.uint64(57)).astype(np.int64), minlength=PARTS).tolist() for s in sets]
-                yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array([len(s) for s in sets], pa.int64()), tokens, pa.array(parts, pa.list_(pa.int32()))], ["doc", "size", "tokens", "parts"])
+def _apart(p: bytes, q: bytes) -> int:
+    """By how many shingles two sets differ at least."""
+    words = min(len(p), len(q)) // 8
+    x, y = (_folded(np.frombuffer(b, np.uint64)[None], words) for b in (p, q))
+    return int(np.bitwise_count(x ^ y).sum())
 
-    return _texts(docs).mapInArrow(run, "doc long, size long, tokens array<long>, parts array<int>")
 
+def _held_sets(texts: DataFrame, n: int) -> DataFrame:
+    """row (unique), doc, size, shingles and bitmap of each text that has words."""
 
-def _whole_sets(texts: DataFrame, n: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = WordHashes()
+        memo, row = WordHashes(), TaskContext.get().partitionId() << 40
         for batch in batches:
             for part in slices(batch, "text"):
-                yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array([s.tobytes() for s in _sets(part, memo, n)], pa.binary())], ["doc", "shingles"])
-
-    return texts.mapInArrow(run, "doc long, shingles binary")
-
-
-def _least_shared(a: str, b: str, percent: int):
-    """Shared shingles that sets of these sizes need: shared * (100 + percent) >= percent * (a + b)."""
-    return F.ceil((F.col(a) + F.col(b)) * percent / (100 + percent) - 1e-9)
-
+                sets = _sets(part, memo, n)
+                own = [i for i, s in enumerate(sets) if len(s)]
+                ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))
+                columns = [part.column("doc").take(pa.array(own, pa.int64())), pa.array([len(sets[i]) for i in own], pa.int64()), lists.take(pa.array(own, pa.int64())), pa.array([parities(sets[i]) for i in own], pa.binary())]
+                yield pa.RecordBatch.from_arrays([pa.array(range(row, row + len(own)), pa.int64()), *columns], ["row", "doc", "size", "shingles", "bitmap"])
+                row += len(own)
+
+    return texts.mapInArrow(run, "row long, doc long, size long, shingles array<long>, bitmap binary")
+
+
+def prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """h, row, doc, size, pos: the prefix of each set in order of document frequency, without shingles that no other set has in its prefix."""
+    each = sets.select("row", "doc", "size", F.explode("shingles").alias("h"))
+    common = each.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")
+    own = Window.partitionBy("row")
+    placed = each.join(common, "h").withColumn("k", F.row_number().over(own.orderBy("n", "h"))).withColumn("m", F.count("*").over(own))
+    # Lonely shingles take the first places.
+    pos = F.col("size") - F.col("m") + F.col("k") - 1
+    return placed.withColumn("pos", pos).filter(F.col("pos") < F.col("size") - _needed("size", percent) + 1).select("h", "row", "doc", "size", "pos")
+
+
+def _pairs_on_leaders(own: DataFrame, percent: int) -> DataFrame:
+    """x < y (rows), distinct: each document of a prefix shingle with its leaders, by length and positional filter."""
+    other = {"other": "row", "doc_other": "doc", "size_other": "size", "pos_other": "pos"}
+    lots = [F.col("row"), *(F.xxhash64(F.lit(k), "row") for k in range(1, LEADERS))]
+    each = [F.min_by(F.struct(*(F.col(c).alias(name) for name, c in other.items())), lot) for lot in lots]
+    leaders = own.groupBy("h").agg(F.array_distinct(F.array(*each)).alias("l")).select("h", F.explode("l").alias("l")).select("h", "l.*")
+    both = own.join(cut(leaders, "leaders"), "h").filter("doc <> doc_other")
+    need = _least_shared("size", "size_other", percent)
+    rest = F.least(F.col("size") - F.col("pos"), F.col("size_other") - F.col("pos_other")) + F.least("pos", "pos_other")
+    fits = both.filter((F.least("size", "size_other") >= need) & (rest >= need))
+    return fits.select(F.least("row", "other").alias("x"), F.greatest("row", "other").alias("y")).distinct()
+
+
+def _by_bitmaps(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of ``pairs`` (x, y) that pass the suffix filter."""
+    x, y = (sets.select(F.col("row").alias(c), F.col("size").alias(f"size_{c}"), F.col("bitmap").alias(f"bitmap_{c}")) for c in "xy")
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = (batch.column(c).to_pylist() for c in ("size_x", "size_y", "bitmap_x", "bitmap_y"))
+            keep = [(100 + percent) * (m + n - _apart(p, q)) >= 2 * percent * (m + n) for m, n, p, q in zip(*columns)]
+            found = batch.filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([found.column("x"), found.column("y")], ["x", "y"])
 
-def _hopeful(pairs: DataFrame, light: DataFrame, percent: int) -> DataFrame:
-    """Those of ``pairs`` (x, y) that pass the suffix filter, with apart: by how many shingles the sets differ at least. From ``light`` (doc, size, parts) alone."""
-    x, y = (light.select(F.col("doc").alias(c), F.col("size").alias(f"size_{c}"), F.col("parts").alias(f"parts_{c}")) for c in "xy")
-    apart = F.aggregate(F.zip_with("parts_x", "parts_y", lambda p, q: F.abs(p - q)), F.lit(0), lambda t, d: t + d)
-    both = pairs.join(x, "x").join(y, "y").withColumn("apart", apart)
-    both = both.filter((F.col("size_x") + F.col("size_y") - F.col("apart")) / 2 >= _least_shared("size_x", "size_y", percent))
-    # Rows that share a doc_id have several sets, and one link is enough.
-    return cut(both.groupBy("x", "y").agg(F.min("apart").alias("apart"), F.max("size_x").alias("size")), "hopeful")
+    return pairs.join(x, "x").join(y, "y").mapInArrow(near, "x long, y long")
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """Those of ``pairs`` (x, y, distinct) that link, as u and v. Only their documents have their sets made."""
-    pairs = cut(pairs.select("x", "y"), "pairs")
-    wanted = pairs.select(F.explode(F.array("x", "y")).alias("doc")).distinct()
-    sets = cut(_whole_sets(_texts(docs).join(wanted, "doc", "left_semi"), n), "sets")
-    x, y = (sets.select(F.col("doc").alias(c), F.col("shingles").alias(f"set_{c}")) for c in "xy")
+def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of ``pairs`` (x, y) that link, as u and v (documents), distinct."""
+    x, y = (sets.select(F.col("row").alias(c), F.col("doc").alias(f"doc_{c}"), F.col("shingles").alias(f"set_{c}")) for c in "xy")
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for p, q in zip(batch.column("set_x").to_pylist(), batch.column("set_y").to_pylist()):
-                both = len(p) // 8 + len(q) // 8
-                merged = np.sort(np.concatenate([np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)]), kind="stable")
+            for p, q in zip(batch.column("set_x"), batch.column("set_y")):
+                p, q = (v.values.to_numpy(zero_copy_only=False) for v in (p, q))
+                merged = np.sort(np.concatenate([p, q]))
                 common = int((merged[1:] == merged[:-1]).sum())
-                keep.append(100 * common >= percent * (both - common))
+                keep.append(100 * common >= percent * (len(merged) - common))
             found = batch.filter(pa.array(keep, pa.bool_()))
-            yield pa.RecordBatch.from_arrays([found.column("x"), found.column("y")], ["u", "v"])
+            yield pa.RecordBatch.from_arrays([found.column("doc_x"), found.column("doc_y")], ["u", "v"])
+
+    whole = pairs.join(x, "x").join(y, "y").select("doc_x", "doc_y", "set_x", "set_y")
+    return whole.mapInArrow(shared, "u long, v long").distinct()
+
 
-    found = cut(pairs.join(x, "x").join(y, "y").select("x", "y", "set_x", "set_y").mapInArrow(shared, "u long, v long").distinct(), "links")
-    drop(sets, pairs)
-    return found
+def _block_pairs(own: DataFrame, sets: DataFrame, percent: int, closest: bool) -> DataFrame:
+    """x < y (rows), distinct: documents of one prefix shingle and of different labels that pass all filters; of each document's partners in one component the closest alone, if ``closest``.
+
+    ``own``: h, row, size, pos, label. A shingle's documents are dealt into blocks, and pairs of blocks are work for many tasks.
+    """
+    blocks = own.groupBy("h").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    held = own.join(blocks, "h").join(sets.select("row", "bitmap"), "row")
+    member = F.struct("row", "size", "pos", "label", "bitmap")
+    dealt = held.groupBy("h", "blocks", F.pmod(F.xxhash64("row"), F.col("blocks")).alias("k")).agg(F.collect_list(member).alias("p"))
+    dealt = cut(dealt, "blocks")
+    several = dealt.filter("blocks > 1")
+    pairs = several.join(several.select("h", F.col("k").alias("j"), F.col("p").alias("q")), "h").filter("k <= j").select("p", F.when(F.col("k") < F.col("j"), F.col("q")).alias("q"))
+    pairs = dealt.filter("blocks = 1").select("p", F.lit(None).cast(dealt.schema["p"].dataType).alias("q")).union(pairs)
+
+    def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for p, q in zip(batch.column("p"), batch.column("q")):
+                p = _columns(p.values)
+                x, y = _near(p, _columns(q.values) if q.is_valid else p, percent, closest)
+                if len(x):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["x", "y"])
+
+    return pairs.mapInArrow(within, "x long, y long").distinct()
+
+
+def _columns(members: pa.StructArray) -> dict:
+    numbers = {c: members.field(c).to_numpy(zero_copy_only=False) for c in ("row", "size", "pos", "label")}
+    return numbers | {"bitmap": members.field("bitmap").to_pylist()}
+
+
+def _near(p: dict, q: dict, percent: int, closest: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of ``p`` and rows of ``q`` that pass the filters and have different labels."""
+    if p["label"].min() == p["label"].max() == q["label"].min() == q["label"].max():
+        return p["row"][:0], p["row"][:0]
+    i, j = np.nonzero(p["label"][:, None] != q["label"][None, :])
+    if p is q:
+        i, j = i[i < j], j[i < j]
+    m, n = p["size"][i], q["size"][j]
+    need = -(-percent * (m + n) // (100 + percent))
+    rest = np.minimum(m - p["pos"][i], n - q["pos"][j]) + np.minimum(p["pos"][i], q["pos"][j])
+    fits = (np.minimum(m, n) >= need) & (rest >= need)
+    i, j, need, both = i[fits], j[fits], need[fits], (m + n)[fits]
+    apart = np.zeros(len(i), np.int64)
+    lengths = [np.array([len(b) for b in side["bitmap"]]) for side in (p, q)]
+    shorter = np.minimum(lengths[0][i], lengths[1][j])
+    for length in np.unique(shorter):
+        at = np.flatnonzero(shorter == length)
+        maps = []
+        for side, ends in ((p, i[at]), (q, j[at])):
+            used, back = np.unique(ends, return_inverse=True)
+            rows = np.concatenate([_folded(np.frombuffer(side["bitmap"][u], np.uint64)[None], length // 8) for u in used])
+            maps.append((rows, back))
+        for s in range(0, len(at), 4096):
+            x, y = (rows[back[s : s + 4096]] for rows, back in maps)
+            apart[at[s : s + 4096]] = np.bitwise_count(x ^ y).sum(1)
+    passed = both - apart >= 2 * need
+    i, j, apart = i[passed], j[passed], apart[passed]
+    if closest:
+        first = np.zeros(len(i), bool)
+        for end, label in ((i, q["label"][j]), (j, p["label"][i])):
+            order = np.lexsort((apart, label, end))
+            change = np.ones(len(order), bool)
+            change[1:] = (end[order][1:] != end[order][:-1]) | (label[order][1:] != label[order][:-1])
+            first[order[change]] = True
+        i, j = i[first], j[first]
+    return p["row"][i], q["row"][j]
 
 
 def link(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id that links reach) of each row of ``docs``."""
-    surveyed = cut(survey(docs, n), "survey")
-    rows = surveyed.filter("chunk IS NULL").select("doc", "size", "a", "b")
-    nodes = rows.filter("size > 0 AND doc IS NOT NULL")
-    classes = cut(nodes.groupBy("a", "b", "size").agg(F.min("doc").alias("rep")), "classes")
-    members = cut(nodes.join(classes, ["a", "b", "size"]).select("doc", "rep"), "members")
+    chars = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    surveyed = cut(survey(docs, n, max(6, (chars // RANGE_CHARS).bit_length())), "survey")
+    rows = surveyed.filter("part IS NULL").select("doc", "size", "a", "b", "batch", "place")
+    found = rows.filter("size > 0 AND doc IS NOT NULL").join(lonely(surveyed), ["batch", "place"], "left")
+    alive = cut(found.filter(F.col("size") - F.coalesce("lonely", F.lit(0)) >= _needed("size", percent)).select("doc", "size", "a", "b"), "alive")
+    kept = cut(rows.drop("batch", "place"), "rows")
+    drop(surveyed)
+
+    classes = cut(alive.groupBy("a", "b", "size").agg(F.min("doc").alias("rep")), "classes")
     # Rows that share a doc_id tie their classes together.
-    ties = members.filter("doc <> rep").select(F.col("doc").alias("u"), F.col("rep").alias("v")).distinct()
-
-    reps = classes.select(F.col("rep").alias("doc")).distinct()
-    prefixes = cut(_prefixes(docs, _frequency_classes(surveyed), n, percent).join(reps, "doc", "left_semi"), "prefixes")
-    each = prefixes.select("doc", F.posexplode("tokens").alias("pos", "h"))
-    alone = each.groupBy("h").agg(F.count("*").alias("n"), F.min("doc").alias("doc"), F.min("pos").alias("pos")).filter("n = 1")
-    alone = cut(alone.groupBy("doc").agg(F.collect_list("pos").alias("alone")), "alone")
-    spots = F.sequence(F.lit(0), F.size("tokens") - 1)
-    spots = F.explode(F.when(F.col("alone").isNull(), spots).otherwise(F.array_except(spots, "alone")))
-    left = prefixes.filter(F.size("tokens") > 0).join(alone, "doc", "left").select("doc", "size", "tokens", spots.alias("pos"))
-    spread = cut(left.select(F.element_at("tokens", F.col("pos") + 1).alias("h"), "doc", "size", "pos"), "spread")
-    light = cut(prefixes.select("doc", "size", "parts"), "light")
-    drop(prefixes, alone)
-
-    def candidates(left: DataFrame, right: DataFrame) -> DataFrame:
-        """Pairs on a shingle by the length and the positional filter. Both in order of x < y, distinct."""
-        both = left.join(right, "h").filter("doc <> other AND label <> label_other")
-        need = _least_shared("size", "size_other", percent)
-        rest = F.least(F.col("size") - F.col("pos"), F.col("size_other") - F.col("pos_other")) + F.least("pos", "pos_other")
-        fits = both.filter((F.least("size", "size_other") >= need) & (rest >= need))
-        return fits.select(F.least("doc", "other").alias("x"), F.greatest("doc", "other").alias("y")).distinct()
-
-    other = {"other": "doc", "size_other": "size", "pos_other": "pos", "label_other": "label"}
-
-    def apart(labels: DataFrame | None) -> DataFrame:
-        """The rows of prefix shingles whose documents are in several components."""
-        own = spread.withColumn("label", F.col("doc")) if labels is None else spread.join(labels, spread["doc"] == labels["node"], "left").select(*spread.columns, F.coalesce("label", "doc").alias("label"))
-        mixed = own.groupBy("h").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("h")
-        return cut(own.join(cut(mixed, "mixed"), "h", "left_semi"), "apart")
-
-    own = apart(None)
-    lots = [F.col("doc"), *(F.xxhash64(F.lit(k), "doc") for k in range(1, LEADERS))]
-    leaders = own.groupBy("h").agg(*(F.min_by(c, lot).alias(f"{name}_{k}") for k, lot in enumerate(lots) for name, c in other.items()))
-    leaders = leaders.select("h", F.explode(F.array_distinct(F.array(*(F.struct(*(F.col(f"{name}_{k}").alias(name) for name in other)) for k in range(LEADERS))))).alias("l")).select("h", "l.*")
-    tried = cut(candidates(own, cut(leaders, "leaders")), "pairs")
-    hopeful = _hopeful(tried, light, percent)
-    # Each document's closest partner first; of the rest only what this has not brought together.
-    closest = [hopeful.groupBy(own_end).agg(F.min_by(other_end, F.struct("apart", other_end)).alias(other_end)).select("x", "y") for own_end, other_end in (("x", "y"), ("y", "x"))]
-    closest = cut(closest[0].union(closest[1]).distinct(), "closest")
-    links = _verify(closest, docs, n, percent)
-
-    def still_apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-        ends = {c: labels.select(F.col("node").alias(c), F.col("label").alias(f"label_{c}")) for c in "xy"}
-        joined = pairs.join(ends["x"], "x", "left").join(ends["y"], "y", "left")
-        return joined.filter(F.coalesce("label_x", "x") != F.coalesce("label_y", "y")).select(*pairs.columns)
-
-    total = rows.agg(F.sum("size")).first()[0] or 1
-
-    def rest(links: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Links and labels after all of ``pairs`` (with size) that are apart. In rounds, so that the sets carried along at a time are a share of the corpus; each round leaves fewer pairs to the next."""
-        labels = components(links)
-        pairs = cut(still_apart(pairs, labels), "rest")
-        rounds = -(-(pairs.agg(F.sum("size")).first()[0] or 0) * ROUND_SHARE // total)
-        for k in range(rounds):
-            part = pairs.filter(F.pmod(F.xxhash64("x", "y"), F.lit(rounds)) == k)
-            links = links.union(_verify(still_apart(part, labels), docs, n, percent))
-            labels = components(links)
-        drop(pairs)
-        return links, labels
-
-    links, labels = rest(links, hopeful.join(closest, ["x", "y"], "left_anti"))
-    drop(own, hopeful)
-
-    # What most of a group has in common need not be paired with itself.
-    own = apart(labels)
-    counted = own.groupBy("h", "label").count().groupBy("h").agg(F.max_by("label", "count").alias("most"))
-    few = cut(own.join(cut(counted, "most"), "h").filter("label <> most").drop("most"), "few")
-    pairs = candidates(few, own.select("h", *(F.col(c).alias(name) for name, c in other.items())))
-    pairs = cut(pairs.join(tried, ["x", "y"], "left_anti"), "pairs")
-    links, _ = rest(links, _hopeful(pairs, light, percent))
-    labels = components(links.union(ties))
-
-    joined = rows.join(classes, ["a", "b", "size"], "left").join(labels, F.col("rep") == F.col("node"), "left")
-    return joined.select(F.col("doc").alias("doc_id"), F.col("size").alias("n_shingles"), F.when(F.col("doc").isNotNull(), F.coalesce("label", "rep", "doc")).alias("component_id"))
+    members = alive.join(classes, ["a", "b", "size"]).select("doc", "rep")
+    several = members.groupBy("doc").agg(F.min("rep").alias("v"), F.max("rep").alias("last")).filter("v < last")
+    ties = members.join(several, "doc").filter("rep <> v").select(F.col("rep").alias("u"), "v").distinct()
+
+    wanted = classes.select(F.col("rep").alias("doc")).distinct()
+    sets = cut(_held_sets(_texts(docs).join(wanted, "doc", "left_semi"), n), "sets")
+    spread = cut(prefixes(sets, percent), "spread")
+    tried = cut(_by_bitmaps(_pairs_on_leaders(spread, percent), sets, percent), "tried")
+    links = verify(tried, sets, percent)
+    for closest in (True, False):
+        labels = cut(components(cut(links.union(ties), "links")), "labels")
+        own = spread.join(labels, spread["doc"] == labels["node"], "left").select("h", "row", "size", "pos", F.coalesce("label", "doc").alias("label"))
+        mixed = own.groupBy("h").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
+        own = cut(own.join(cut(mixed.select("h"), "mixed"), "h", "left_semi"), "apart")
+        pairs = cut(_block_pairs(own, sets, percent, closest).join(tried, ["x", "y"], "left_anti"), "pairs")
+        links = labels.select(F.col("node").alias("u"), F.col("label").alias("v")).union(verify(pairs, sets, percent))
+        tried = tried.union(pairs)
+    labels = components(cut(links, "links"))
+
+    named = classes.join(labels, F.col("rep") == F.col("node"), "left").select("a", "b", "size", F.coalesce("label", "rep").alias("least"))
+    by_doc = alive.join(cut(named, "named"), ["a", "b", "size"]).groupBy("doc").agg(F.min("least").alias("least"))
+    component = F.when(F.col("doc").isNotNull(), F.coalesce("least", "doc"))
+    return kept.join(by_doc, "doc", "left").select(F.col("doc").alias("doc_id"), F.col("size").alias("n_shingles"), component.alias("component_id"))
 
 
 def keep_first(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
