@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,31 +37,31 @@ def _asked(queries: DataFrame, d: Defaults) -> DataFrame:
 def semantic_candidates(queries: DataFrame, memories: DataFrame, vectors: DataFrame, d: Defaults = DEFAULTS) -> DataFrame:
     """query_id, memory_id, score: the nearest memories of the query's user, max(candidates, 4 * top_k) of them and 50 at most."""
     asked = _asked(queries, d)
-    held = memories.select("memory_id", "user_id", "status").join(vectors, "memory_id")
-    own = queries.select("query_id", "user_id", "embedding").join(asked.select("query_id", "include_archived", "top_k"), "query_id")
+    held = memories.select("memory_id", "user_id", (F.coalesce("status", F.lit("")) != "active").alias("hidden")).join(vectors, "memory_id")
+    own = queries.select("query_id", "user_id", "embedding").join(asked.select("query_id", F.col("include_archived").alias("all"), "top_k"), "query_id")
     limit = F.least(F.lit(d.most_candidates), F.greatest(F.lit(d.candidates), 4 * F.col("top_k")))
-    live = top_per_query(own.filter("NOT include_archived"), held.filter("status = 'active'"), d.most_candidates)
-    if "include_archived" in queries.columns:
-        live = live.unionByName(top_per_query(own.filter("include_archived"), held, d.most_candidates))
-    return live.join(own.select("query_id", limit.alias("n")), "query_id").filter("place <= n").select("query_id", "memory_id", "score")
+    near = top_per_query(own, held, d.most_candidates)
+    return near.join(own.select("query_id", limit.alias("n")), "query_id").filter("place <= n").select("query_id", "memory_id", "score")
 
 
 def scored(queries: DataFrame, memories: DataFrame, vectors: DataFrame, as_of: Column, d: Defaults = DEFAULTS) -> DataFrame:
     """Candidates with the memory's columns, semantic_score and composite_score (6 decimals).
 
     Queries without any candidate fall back to the newest 2 * top_k active memories of the user and namespace.
+    Both lists are short and stand in one row for each query.
     """
     asked = _asked(queries, d)
-    hits = semantic_candidates(queries, memories, vectors, d).withColumnRenamed("score", "semantic_score")
-    enriched = hits.join(memories, "memory_id")
-    left = asked.join(hits.select("query_id").distinct(), "query_id", "left_anti").select("query_id", F.col("user_id").alias("_user"), "q_namespace", "top_k")
+    listed = lambda score: F.collect_list(F.struct("memory_id", score.alias("semantic_score")))
+    hits = semantic_candidates(queries, memories, vectors, d).groupBy("query_id").agg(listed(F.col("score")).alias("hits"))
+    both = asked.join(hits, "query_id", "left").select("query_id", "user_id", "q_namespace", "top_k", "hits")
+    left = both.filter("hits IS NULL").select("query_id", F.col("user_id").alias("_user"), "q_namespace", "top_k")
     newest = left.join(memories.filter("status = 'active'"), (F.col("_user") == memories["user_id"]) & ((F.col("q_namespace") == "") | (F.col("q_namespace") == memories["namespace"])))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("created_at"), "memory_id"))
-    fallback = newest.withColumn("_place", place).filter(F.col("_place") <= 2 * F.col("top_k")).withColumn("semantic_score", F.lit(d.fallback_score))
-    both = enriched.unionByName(fallback.select(*enriched.columns))
+    fallback = newest.withColumn("_place", place).filter(F.col("_place") <= 2 * F.col("top_k")).groupBy("query_id").agg(listed(F.lit(d.fallback_score)).alias("newest"))
+    chosen = both.join(fallback, "query_id", "left").select("query_id", F.explode(F.coalesce("hits", "newest")).alias("x")).select("query_id", "x.*")
     # A score outside 0..1 is no valid candidate; the top-N cut came first.
-    both = both.filter("semantic_score BETWEEN 0 AND 1")
-    return both.withColumn("composite_score", F.round(retrieval_score(F.col("semantic_score"), as_of, d), 6))
+    found = chosen.filter("semantic_score BETWEEN 0 AND 1").join(memories, "memory_id")
+    return found.withColumn("composite_score", F.round(retrieval_score(F.col("semantic_score"), as_of, d), 6))
 
 
 def symbolic_filters(candidates: DataFrame, queries: DataFrame, d: Defaults = DEFAULTS) -> DataFrame:
@@ -95,10 +97,16 @@ def rerank(candidates: DataFrame, threshold: float = DEFAULTS.diversity) -> Data
     return lists.select("query_id", "top_k", F.posexplode(kept).alias("p", "x")).filter("p < top_k").select("query_id", F.col("x.id").alias("memory_id"), (F.col("p") + 1).alias("rank"))
 
 
-def retrieve(queries: DataFrame, memories: DataFrame, vectors: DataFrame, as_of: Column, d: Defaults = DEFAULTS) -> DataFrame:
-    """The whole retrieval: a row for each query and rank, with scores, total_found and the memory's columns."""
+def retrieve(
+    queries: DataFrame, memories: DataFrame, vectors: DataFrame, as_of: Column, d: Defaults = DEFAULTS, reranker: Callable[[DataFrame], DataFrame] | None = None
+) -> DataFrame:
+    """The whole retrieval: a row for each query and rank, with scores, total_found and the memory's columns.
+
+    ``reranker`` takes the candidates (query_id, memory_id, scores, top_k, the memory's columns) and returns query_id, memory_id, rank; rerank() if none is given.
+    """
     found = symbolic_filters(scored(queries, memories, vectors, as_of, d), queries, d)
-    return found.join(rerank(found, d.diversity), ["query_id", "memory_id"]).drop("top_k")
+    ranked = reranker(found) if reranker else rerank(found, d.diversity)
+    return found.join(ranked.select("query_id", "memory_id", "rank"), ["query_id", "memory_id"]).drop("top_k")
 
 
 def access_feedback(memories: DataFrame, results: DataFrame, as_of: Column) -> DataFrame:

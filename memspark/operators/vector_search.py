@@ -1,7 +1,8 @@
 """Cosine search and self-join within a user: blocks of vectors, multiplied in tasks.
 
-A user's vectors are spread over blocks of about ``block`` rows, so that a large user is work
-for many tasks; a block pair returns its best rows or those over the threshold, never all.
+A user's vectors are spread over blocks of about ``block`` rows, and pairs of blocks, not users,
+are the keys of the join, so that a large user is work for many tasks. A pair of blocks returns
+its best rows or those over the threshold, never all.
 """
 
 from __future__ import annotations
@@ -14,28 +15,35 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK = 2048
-_PACKED = "user_id string, ids array<string>, vectors binary, dim int, chunk int"
+_PACKED = "user_id string, dim int, chunk int, ids array<string>, vectors binary, flags array<boolean>"
 
 
-def _blocks(vectors: DataFrame, key: str, block: int) -> DataFrame:
-    """(user_id, key, embedding) as blocks; rows without a vector go, and lengths are kept apart."""
-    rows = vectors.select("user_id", F.col(key).alias("id"), F.col("embedding").cast("array<double>").alias("v")).filter("v IS NOT NULL AND size(v) > 0 AND user_id IS NOT NULL AND id IS NOT NULL")
-    rows = rows.withColumn("dim", F.size("v"))
+def _blocks(vectors: DataFrame, key: str, block: int, flag: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(user_id, key, embedding) as blocks, and user_id, dim, chunks: how many; rows without a vector go, and lengths are kept apart."""
+    flagged = F.col(flag) if flag and flag in vectors.columns else F.lit(False)
+    rows = vectors.select("user_id", F.col(key).alias("id"), F.col("embedding").cast("array<double>").alias("v"), flagged.alias("flag"))
+    rows = rows.filter("v IS NOT NULL AND size(v) > 0 AND user_id IS NOT NULL AND id IS NOT NULL").withColumn("dim", F.size("v"))
     counts = rows.groupBy("user_id", "dim").agg(F.ceil(F.count("*") / block).cast("int").alias("chunks"))
     placed = rows.join(counts, ["user_id", "dim"]).withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
 
     def pack(key: tuple, t: pa.Table) -> pa.Table:
         v = t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype("<f8")
         user, dim, chunk = (k.as_py() for k in key)
-        return pa.table({"user_id": [user], "ids": pa.array([t.column("id").to_pylist()], pa.list_(pa.string())), "vectors": pa.array([v.tobytes()], pa.binary()), "dim": pa.array([dim], pa.int32()), "chunk": pa.array([chunk], pa.int32())})
+        ids, flags = (pa.array([t.column(c).to_pylist()], pa.list_(kind)) for c, kind in (("id", pa.string()), ("flag", pa.bool_())))
+        numbers = {"dim": pa.array([dim], pa.int32()), "chunk": pa.array([chunk], pa.int32())}
+        return pa.table({"user_id": [user], **numbers, "ids": ids, "vectors": pa.array([v.tobytes()], pa.binary()), "flags": flags})
 
-    return placed.select("user_id", "dim", "chunk", "id", "v").groupBy("user_id", "dim", "chunk").applyInArrow(pack, _PACKED)
+    packed = placed.select("user_id", "dim", "chunk", "id", "v", "flag").groupBy("user_id", "dim", "chunk").applyInArrow(pack, _PACKED)
+    return packed, counts
 
 
-def _pair_up(left: DataFrame, right: DataFrame) -> DataFrame:
-    a = left.withColumnsRenamed({"ids": "ids_a", "vectors": "vectors_a", "chunk": "chunk_a"})
-    b = right.withColumnsRenamed({"ids": "ids_b", "vectors": "vectors_b", "chunk": "chunk_b"})
-    return a.join(b, ["user_id", "dim"])
+def _pair_up(left: tuple[DataFrame, DataFrame], right: tuple[DataFrame, DataFrame], half: bool = False) -> DataFrame:
+    """All pairs of a user's blocks, or those of a block and itself or a later one if ``half``."""
+    sides = [(blocks.withColumnsRenamed({c: f"{c}_{x}" for c in ("ids", "vectors", "flags", "chunk")}), counts.withColumnRenamed("chunks", f"chunks_{x}")) for x, (blocks, counts) in zip("ab", (left, right))]
+    (a, counts_a), (b, counts_b) = sides
+    pairs = counts_a.join(counts_b, ["user_id", "dim"]).withColumn("chunk_a", F.explode(F.sequence(F.lit(0), F.col("chunks_a") - 1)))
+    pairs = pairs.withColumn("chunk_b", F.explode(F.sequence(F.col("chunk_a") if half else F.lit(0), F.col("chunks_b") - 1)))
+    return pairs.select("user_id", "dim", "chunk_a", "chunk_b").join(a, ["user_id", "dim", "chunk_a"]).join(b, ["user_id", "dim", "chunk_b"])
 
 
 def _cosines(row: dict, epsilon: float) -> np.ndarray:
@@ -51,22 +59,36 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             yield batch.slice(i, 1).to_pylist()[0]
 
 
+def _best(score: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the ``n`` largest of each row, ties to the earlier column; -inf is never among them."""
+    k = min(n, score.shape[1])
+    least = np.partition(score, -k, axis=1)[:, -k]
+    q, m = np.nonzero((score >= least[:, None]) & (score > -np.inf))
+    order = np.lexsort((m, -score[q, m], q))
+    q, m = q[order], m[order]
+    place = np.arange(len(q)) - np.searchsorted(q, q)
+    return q[place < k], m[place < k]
+
+
 def top_per_query(queries: DataFrame, memories: DataFrame, n: int, block: int = BLOCK) -> DataFrame:
-    """query_id, memory_id, score (6 decimals), place: the ``n`` memories of the query's user with the largest cosine.
+    """query_id, memory_id, score (6 decimals), place: the ``n`` memories of the query's user with the largest cosine; ties go to the smaller memory_id.
 
-    ``queries``: query_id, user_id, embedding, and top_n (a smaller bound of its own) if there; ties go to the smaller memory_id.
+    ``queries``: query_id, user_id, embedding. Memories may have a boolean ``hidden``: then only queries whose boolean ``all`` is true see the hidden ones.
     """
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
             score = np.round(_cosines(row, 1e-9), 6)
-            ids, k = np.array(row["ids_b"], object), min(n, score.shape[1])
+            sees, hidden = np.array(row["flags_a"], bool), np.array(row["flags_b"], bool)
+            score[~sees[:, None] & hidden[None, :]] = -np.inf
+            ids = np.array(row["ids_b"], object)
             by_id = np.argsort(ids, kind="stable")
-            for q, own in zip(row["ids_a"], score[:, by_id]):
-                top = np.argsort(-own, kind="stable")[:k]
-                yield pa.RecordBatch.from_pydict({"query_id": [q] * k, "memory_id": ids[by_id[top]].tolist(), "score": own[top]})
+            q, m = _best(score[:, by_id], n)
+            asked, found = np.array(row["ids_a"], object)[q], ids[by_id[m]]
+            yield pa.RecordBatch.from_arrays([pa.array(asked.tolist(), pa.string()), pa.array(found.tolist(), pa.string()), pa.array(score[q, by_id[m]])], ["query_id", "memory_id", "score"])
 
-    found = _pair_up(_blocks(queries, "query_id", block), _blocks(memories, "memory_id", block)).mapInArrow(best, "query_id string, memory_id string, score double")
+    pairs = _pair_up(_blocks(queries, "query_id", block, "all"), _blocks(memories, "memory_id", block, "hidden"))
+    found = pairs.mapInArrow(best, "query_id string, memory_id string, score double")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "memory_id"))
     return found.withColumn("place", place).filter(F.col("place") <= n)
 
@@ -82,7 +104,8 @@ def pairs_over(memories: DataFrame, threshold: float, block: int = BLOCK) -> Dat
             i, j = np.nonzero(score >= threshold)
             x, y = (np.array(row[f"ids_{s}"], object)[k] for s, k in (("a", i), ("b", j)))
             low, high = np.where(x < y, x, y), np.where(x < y, y, x)
-            yield pa.RecordBatch.from_arrays([pa.array([row["user_id"]] * len(i), pa.string()), pa.array(low.tolist(), pa.string()), pa.array(high.tolist(), pa.string()), pa.array(score[i, j], pa.float64())], ["user_id", "a", "b", "score"])
+            columns = [pa.array(c, pa.string()) for c in ([row["user_id"]] * len(i), low.tolist(), high.tolist())]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(score[i, j], pa.float64())], ["user_id", "a", "b", "score"])
 
     blocks = _blocks(memories, "memory_id", block)
-    return _pair_up(blocks, blocks).filter("chunk_a <= chunk_b").mapInArrow(over, "user_id string, a string, b string, score double")
+    return _pair_up(blocks, blocks, half=True).mapInArrow(over, "user_id string, a string, b string, score double")
