@@ -14,18 +14,20 @@ Windows are compared by 64-bit hashes.
 
 Defined cases: a null or empty text has no words, and null stays null; documents of fewer
 words than a window keep all; exact copies lose all their words to the first copy; rows that
-share a doc_id count as one document, with equal places for equal texts (their texts should be
-equal; if not, places found in either are taken from both); a null doc_id comes first; an
+are equal in doc_id and text are one document; rows of one doc_id with different texts are
+documents of their own, in order of their texts' hashes; a null doc_id comes first; an
 empty table gives no rows; further columns are kept by ``remove_repeats``, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType
 
@@ -35,6 +37,8 @@ from memspark.llm.shingles import WordHashes, grams, words_of
 WINDOW, ANCHOR = 20, 8
 #: An anchor's windows are one number: the first window times this, and how many follow it.
 _RUN = 64
+#: Stands for a null doc_id where documents are ordered.
+_FIRST = -(1 << 63)
 
 
 def anchors_of(hashes: np.ndarray, window: int = WINDOW, anchor: int = ANCHOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -50,37 +54,52 @@ def anchors_of(hashes: np.ndarray, window: int = WINDOW, anchor: int = ANCHOR) -
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc"), F.encode("text", "UTF-8").alias("text"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("t"), F.encode("text", "UTF-8").alias("text"))
 
 
-def lonely_anchors(docs: DataFrame, window: int, anchor: int) -> DataFrame:
-    """doc and runs: the windows of the anchors that occur nowhere else."""
+def _row_key(docs: DataFrame) -> list[str]:
+    """What names a row: doc alone, or with t, the hash of its text, if a doc_id has several texts."""
+    several = _texts(docs).groupBy("doc").agg(F.min("t").alias("low"), F.max("t").alias("high")).filter("low < high")
+    return ["doc"] if several.isEmpty() else ["doc", "t"]
+
+
+def _same(left: DataFrame, right: DataFrame, key: list[str]) -> Column:
+    return reduce(and_, (left[c].eqNullSafe(right[c]) for c in key))
+
+
+def lonely_anchors(docs: DataFrame, window: int, anchor: int, key: list[str]) -> DataFrame:
+    """The columns of ``key``, and runs: the windows of the anchors that occur nowhere else."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
         for batch in batches:
             for part in slices(batch, "text"):
-                parts, ids = [], []
-                for doc, text in zip(part.column("doc").to_pylist(), part.column("text").to_pylist()):
+                parts, at = [], []
+                for i, text in enumerate(part.column("text").to_pylist()):
                     h, lo, hi = anchors_of(memo.of(words_of(text)), window, anchor)
                     if len(h):
                         parts.append((h.view(np.int64), lo * _RUN + (hi - lo)))
-                        ids.append(pa.repeat(pa.scalar(doc, pa.int64()), len(h)))
+                        at += [i] * len(h)
                 if parts:
                     h, run = (np.concatenate(x) for x in zip(*parts))
-                    yield pa.RecordBatch.from_arrays([pa.array(h), pa.concat_arrays(ids), pa.array(run)], ["h", "doc", "run"])
+                    named = [part.column(c).take(pa.array(at)) for c in key]
+                    yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(run), *named], ["h", "run", *key])
+
+    anchors = _texts(docs).select(*key, "text").mapInArrow(emit, f"h long, run long, {_longs(key)}")
+    alone = anchors.groupBy("h").agg(F.count("*").alias("n"), F.min("run").alias("run"), *(F.min(c).alias(c) for c in key)).filter("n = 1")
+    return alone.groupBy(*key).agg(F.collect_list("run").alias("runs"))
+
 
-    anchors = _texts(docs).mapInArrow(emit, "h long, doc long, run long")
-    alone = anchors.groupBy("h").agg(F.count("*").alias("n"), F.min("doc").alias("doc"), F.min("run").alias("run")).filter("n = 1")
-    return alone.groupBy("doc").agg(F.collect_list("run").alias("runs"))
+def _longs(names: list[str]) -> str:
+    return ", ".join(f"{c} long" for c in names)
 
 
-def later_copies(docs: DataFrame) -> DataFrame:
-    """doc: documents with the text of one of smaller doc_id."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), F.when(F.col("text").isNotNull(), key128("text")).alias("key")).filter("key IS NOT NULL")
+def later_copies(docs: DataFrame, key: list[str]) -> DataFrame:
+    """The columns of ``key`` of documents with the text of one of smaller doc_id."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("t"), F.when(F.col("text").isNotNull(), key128("text")).alias("key")).filter("key IS NOT NULL")
     # As a table of its own, so that Spark can split the join of a text with very many copies.
     groups = cut(texts.groupBy("key").agg(F.min(F.struct("doc")).alias("first"), F.count("*").alias("n")).filter("n > 1"), "groups")
-    return texts.join(groups, "key").filter(~F.struct("doc").eqNullSafe(F.col("first"))).select("doc").distinct()
+    return texts.join(groups, "key").filter(~F.struct("doc").eqNullSafe(F.col("first"))).select(*key).distinct()
 
 
 def _seeded(n: int, runs: list[int] | None, window: int) -> np.ndarray:
@@ -99,40 +118,46 @@ def _seeded(n: int, runs: list[int] | None, window: int) -> np.ndarray:
 
 def repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """All rows and columns of ``docs``, with kept (the words left, joined by a space), n_words, n_removed and spans (word places, end behind the last, of the maximal repeats)."""
-    notes = cut(lonely_anchors(docs, window, anchor), "lonely")
-    copies = cut(later_copies(docs).withColumn("copy", F.lit(True)), "copies")
-    texts = _texts(docs)
-    seen = texts.join(copies, texts["doc"].eqNullSafe(copies["doc"]), "left_anti")
-    held = seen.join(notes, seen["doc"].eqNullSafe(notes["doc"]), "left").select(seen["doc"], "text", "runs")
+    key = _row_key(docs)
+    notes = cut(lonely_anchors(docs, window, anchor, key), "lonely")
+    copies = cut(later_copies(docs, key).withColumn("copy", F.lit(True)), "copies")
+    texts = _texts(docs).select(*key, "text")
+    seen = texts.join(copies, _same(texts, copies, key), "left_anti")
+    held = seen.join(notes, _same(seen, notes, key), "left").select(*(seen[c] for c in key), "text", "runs")
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
         for batch in batches:
             for part in slices(batch, "text"):
-                parts, ids = [], []
-                for doc, text, runs in zip(*(part.column(c).to_pylist() for c in ("doc", "text", "runs"))):
+                parts, rows = [], []
+                for i, (text, runs) in enumerate(zip(part.column("text").to_pylist(), part.column("runs").to_pylist())):
                     words = words_of(text)
                     at = np.flatnonzero(_seeded(len(words), runs, window))
                     if len(at):
                         w, first = np.unique(grams(memo.of(words), window)[at], return_index=True)
                         parts.append((w.view(np.int64), at[first]))
-                        ids.append(pa.repeat(pa.scalar(doc, pa.int64()), len(w)))
+                        rows += [i] * len(w)
                 if parts:
                     w, p = (np.concatenate(x) for x in zip(*parts))
-                    yield pa.RecordBatch.from_arrays([pa.array(w), pa.concat_arrays(ids), pa.array(p.astype(np.int32))], ["w", "doc", "p"])
+                    named = [part.column(c).take(pa.array(rows)) for c in key]
+                    yield pa.RecordBatch.from_arrays([pa.array(w), pa.array(p.astype(np.int32)), *named], ["w", "p", *key])
 
     # A null doc_id comes first; min() would pass over it.
-    order = F.coalesce("doc", F.lit(-(1 << 63)))
-    first = held.mapInArrow(windows, "w long, doc long, p int").groupBy("w").agg(F.min(order).alias("o"), F.min_by("p", order).alias("p"))
-    firsts = cut(first.groupBy("o").agg(F.collect_list("p").alias("firsts")), "firsts")
+    each = held.mapInArrow(windows, f"w long, p int, {_longs(key)}").withColumn("doc", F.coalesce("doc", F.lit(_FIRST)))
+    order = F.struct(*key) if len(key) > 1 else F.col("doc")
+    first = each.groupBy("w").agg(*(F.min_by(c, order).alias(c) for c in key if c != "doc"), F.min("doc").alias("doc"), F.min_by("p", order).alias("p"))
+    firsts = cut(first.groupBy(*key).agg(F.collect_list("p").alias("firsts")), "firsts")
 
     columns = docs.columns
     own = [f"c{i}" for i in range(len(columns))]
-    id_here = F.col(own[columns.index("doc_id")]).cast("long")
-    rows = docs.toDF(*own).withColumn("_doc", id_here).withColumn("_order", F.coalesce(id_here, F.lit(-(1 << 63))))
-    rows = rows.join(notes, rows["_doc"].eqNullSafe(notes["doc"]), "left").drop("doc")
-    rows = rows.join(copies, rows["_doc"].eqNullSafe(copies["doc"]), "left").drop("doc")
-    rows = rows.join(firsts, rows["_order"] == firsts["o"], "left").select(*own, "runs", "copy", "firsts")
+    rows = docs.toDF(*own)
+    here = {"doc": F.col(own[columns.index("doc_id")]).cast("long"), "t": F.xxhash64(own[columns.index("text")])}
+    rows = rows.withColumns({f"_{c}": here[c] for c in key} | {"_order": F.coalesce(here["doc"], F.lit(_FIRST))})
+    for noted, more in ((notes, "runs"), (copies, "copy")):
+        named = noted.select(*(F.col(c).alias(f"n_{c}") for c in key), more)
+        rows = rows.join(named, reduce(and_, (rows[f"_{c}"].eqNullSafe(named[f"n_{c}"]) for c in key)), "left").drop(*(f"n_{c}" for c in key))
+    named = firsts.select(*(F.col(c).alias(f"n_{c}") for c in key), "firsts")
+    rows = rows.join(named, reduce(and_, (rows["_order" if c == "doc" else f"_{c}"] == named[f"n_{c}"] for c in key)), "left").select(*own, "runs", "copy", "firsts")
     text_at = own[columns.index("text")]
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -76,6 +76,20 @@ def test_repeated_rows_and_null_ids(spark, docs):
     assert line_dedup.remove_lines(df.selectExpr("*", "cast(doc_id as string) source")).count() == 5
 
 
+def test_texts_that_share_a_doc_id(spark):
+    """Each text is judged by itself: one of them may be a copy, and another occur nowhere else."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(1, a), (2, a), (2, b), (3, b + " " + c), (2, c), (None, a)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r["doc_id"], r["text"]): r["n_removed"] for r in substring_dedup.repeats(df).collect()}
+    assert got == {(1, a): 40, (2, a): 40, (2, b): 0, (3, b + " " + c): 80, (2, c): 0, (None, a): 0}
+    links = {(r["doc_id"], r["n_shingles"]): r["component_id"] for r in ngram_join.link(df).collect()}
+    assert links == {(1, 36): 1, (2, 36): 1, (3, 76): 3, (None, 36): None}
+    near = " ".join(b.split()[:-1])
+    found = ngram_join.link(spark.createDataFrame([(5, b), (4, near), (4, a), (7, a), (7, "x y z"), (8, c)], "doc_id long, text string"))
+    assert {(r["doc_id"], r["n_shingles"]): r["component_id"] for r in found.collect()} == {(4, 35): 4, (4, 36): 4, (5, 36): 4, (7, 36): 4, (7, 1): 4, (8, 36): 8}
+
+
 def test_ngram_jaccard(docs, empty):
     df, texts = docs
     sets = {}
