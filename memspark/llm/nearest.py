@@ -1,27 +1,33 @@
 """Operator 9: approximate nearest neighbours by balanced posting lists.
 
-Centroids come from a bounded sample and stay in memory as a graph of their neighbours, which
-is searched best first. Each vector is written to the list of its nearest centroid and, if it
-lies near a boundary, to further lists whose centroids are nearly as close. Lists are cut
-into blocks of equal size, so a common vector does not make a long one. A query reads the lists
-whose centroids are within a ratio of the distance to the nearest one, and further ones in order of
-distance until they hold more than ``k`` vec_ids, or all that there are.
+There are about twice the square root of the rows in lists. Its centroids come from a bounded
+sample and stay in memory as a graph of their neighbours, which is searched best first. Each
+vector is written to the list of its nearest centroid and, if it lies near a boundary, to
+further lists whose centroids are nearly as close. A query reads the lists whose centroids are
+within a ratio of the distance to the nearest ones, and further ones in order of distance until
+they hold more than ``k`` vec_ids, or all that there are. The ratio is measured: for
+``MEASURED`` sampled rows the nearest of all rows are found by brute force, in one pass, and the
+ratio is the least that reaches ``RECALL`` of them.
+
+Lists and the queries that read them are cut into blocks of bounded size; pairs of blocks are
+the keys of the join, so a long list is work for many tasks.
 
 Inner products become distances by one more coordinate, ``sqrt(M**2 - |v|**2)`` with M the
 largest norm. Blocks give each query its best ``k`` by the inner product of the original
 vectors in double precision, and the best of all blocks remain.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components take no
-part, nor do those whose length is not the commonest of the sample, nor rows without vec_id;
-ties go to the smaller vec_id; equal vec_ids are one candidate with their best score; an empty table gives no
-rows; further columns are ignored.
+part, nor rows without vec_id; vectors of each length are searched by themselves, as products
+between lengths do not exist; ties go to the smaller vec_id; equal vec_ids are one candidate
+with their best score; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections import Counter
+import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,21 +38,30 @@ from memspark.llm.common import cut
 from memspark.llm.vectors import matrix, usable
 
 K = 20
-#: At most so many sampled rows, centroids (one for each LIST rows), neighbours of a centroid in the graph.
-SAMPLE, MOST_CENTROIDS, LIST, DEGREE = 8192, 256, 4096, 16
-#: A vector goes to lists within this ratio of its nearest distance, this many at most; a query reads those within the other ratio.
-BOUNDARY, REPLICAS, RATIO = 1.02, 4, 1.15
+#: Sampled rows at least, and for each centroid; centroids at most; neighbours of a centroid in the graph.
+SAMPLE, SAMPLE_EACH, MOST_CENTROIDS, DEGREE = 8192, 16, 4096, 16
+#: A vector goes to lists within this ratio of its nearest distance, this many at most.
+BOUNDARY, REPLICAS = 1.005, 4
+#: Distances of a query are measured against the mean of so many least ones: the least alone says little where all are alike.
+BASE = 16
+#: Share of nearest rows that the reading ratio has to reach, and sampled rows whose nearest are found by brute force for that.
+RECALL, MEASURED = 0.93, 256
 BLOCK = 8192
 #: Rows that a task holds before it reduces or sends them.
 HELD = 1_000_000
 
 
+def _squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Squared distances of all rows of ``a`` and ``b``."""
+    return np.maximum((a * a).sum(1)[:, None] - 2 * a @ b.T + (b * b).sum(1)[None, :], 0)
+
+
 class CentroidGraph:
     """Centroids, each tied to its nearest ones; best-first search visits neighbours while they are within the ratio."""
 
     def __init__(self, centroids: np.ndarray, degree: int = DEGREE):
         self.centroids = centroids
-        d = ((centroids[:, None, :] - centroids[None, :, :]) ** 2).sum(2) if len(centroids) <= 512 else None
+        d = _squared(centroids, centroids)
         near = np.argsort(d, 1, kind="stable")[:, 1 : degree + 1] if len(centroids) > 1 else np.zeros((1, 0), int)
         ties: list[set[int]] = [set(x) for x in near.tolist()]
         for i, own in enumerate(near.tolist()):
@@ -58,67 +73,128 @@ class CentroidGraph:
         self.ties = [sorted(t) for t in ties]
 
     def search(self, v: np.ndarray, ratio: float) -> list[int]:
-        """Centroids whose distance is within ``ratio`` of the nearest found, nearest first."""
-        away = lambda i: float(np.sqrt(((self.centroids[i] - v) ** 2).sum()))
-        start = away(0)
-        seen, queue, best, found = {0}, [(start, 0)], start, []
+        """Centroids within ``ratio`` of the mean distance of the BASE nearest ones found, nearest first."""
+        start = float(np.sqrt(((self.centroids[0] - v) ** 2).sum()))
+        seen, queue, found = {0}, [(start, 0)], []
+        nearest = [-start]  # the BASE least distances met, negated, as a heap
+        limit = start
         while queue:
             d, i = heapq.heappop(queue)
-            if d > best * ratio * 1.05:
+            if d > limit * ratio * 1.05 and len(found) >= BASE:
                 break
             found.append((d, i))
             new = [j for j in self.ties[i] if j not in seen]
             if new:
                 seen.update(new)
-                gap = np.sqrt(((self.centroids[new] - v) ** 2).sum(1))
-                best = min(best, float(gap.min()))
-                for g, j in zip(gap.tolist(), new):
+                for g, j in zip(np.sqrt(((self.centroids[new] - v) ** 2).sum(1)).tolist(), new):
                     heapq.heappush(queue, (g, j))
-        return [i for d, i in sorted(found) if d <= best * ratio]
+                    if len(nearest) < BASE:
+                        heapq.heappush(nearest, -g)
+                    elif g < -nearest[0]:
+                        heapq.heapreplace(nearest, -g)
+                limit = -sum(nearest) / len(nearest)
+        return [i for d, i in sorted(found) if d <= limit * ratio] or [min(found)[1]]
 
 
 def balanced_centroids(points: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
-    """k-means from evenly spread starts; a distance is weighted by how full its list is, so lists even out."""
+    """k-means on a sphere from evenly spread starts; a distance is weighted by how full its list is, so lists even out.
+
+    ``points`` are of one norm, and centres are given it too: one in the middle of all would be near every query.
+    """
+    norm = float(np.sqrt((points * points).sum(1).max()))
     centres, load = points[np.linspace(0, len(points) - 1, k).astype(int)].copy(), np.ones(k)
     for _ in range(rounds):
-        d = np.maximum((points**2).sum(1)[:, None] - 2 * points @ centres.T + (centres**2).sum(1)[None, :], 0)
+        d = _squared(points, centres)
         own = (d * np.sqrt(load)[None, :]).argmin(1)
         size = np.bincount(own, minlength=k)
         sums = np.zeros_like(centres)
         np.add.at(sums, own, points)
-        centres[size > 0] = sums[size > 0] / size[size > 0, None]
+        length = np.sqrt((sums * sums).sum(1))
+        moved = length > 1e-9 * norm
+        centres[moved] = sums[moved] * (norm / length[moved])[:, None]
         load = np.maximum(size / size.mean(), 0.25)
     return centres
 
 
-def search(embeddings: DataFrame, is_query, k: int = K, size: int = LIST) -> DataFrame:
+def _lists_of(raised: np.ndarray, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, list) of each vector's nearest centroid and of those nearly as close."""
+    d = np.sqrt(_squared(raised, centroids))
+    order = np.argsort(d, 1, kind="stable")[:, :REPLICAS]
+    near = np.take_along_axis(d, order, 1)
+    i, j = np.nonzero(near <= near[:, :1] * BOUNDARY + 1e-12)
+    return i, order[i, j]
+
+
+def _true_nearest(rows: DataFrame, asked: pa.Table, k: int) -> list[tuple[int, np.ndarray]]:
+    """(place of a query in ``asked``, its ``k`` nearest of all rows) by brute force; ``asked`` (vec_id, embedding) is small."""
+    ids, v = asked.column("vec_id").to_numpy(), matrix(asked.column("embedding"))
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            score = v @ matrix(batch.column("embedding")).T
+            score[ids[:, None] == batch.column("vec_id").to_numpy()[None, :]] = -np.inf
+            top = np.argsort(-score, 1, kind="stable")[:, :k]
+            q, m = np.repeat(np.arange(len(v)), top.shape[1]), top.ravel()
+            found = [pa.array(q.astype(np.int32)), batch.column("embedding").take(pa.array(m)), pa.array(score[q, m])]
+            yield pa.RecordBatch.from_arrays(found, ["q", "embedding", "score"]).filter(pa.array(np.isfinite(score[q, m])))
+
+    found = rows.select("vec_id", "embedding").mapInArrow(best, "q int, embedding array<double>, score double")
+    place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score")))
+    kept = found.withColumn("place", place).filter(F.col("place") <= k).select("q", "embedding").toArrow()
+    return list(zip(kept.column("q").to_pylist(), matrix(kept.column("embedding")))) if len(kept) else []
+
+
+def reading_ratio(asked: np.ndarray, near: list[tuple[int, np.ndarray]], centroids: np.ndarray, recall: float = RECALL) -> float:
+    """The ratio of distances within which queries find a list of ``recall`` of their nearest rows; ``asked`` and ``near`` as points among the centroids."""
+    if not near:
+        return 1.0
+    away = np.sqrt(_squared(asked, centroids))
+    base = np.sort(away, 1)[:, :BASE].mean(1)
+    row, held = _lists_of(np.array([v for _, v in near]), centroids)
+    q = np.array([q for q, _ in near])[row]
+    reached = np.full(len(near), np.inf)
+    np.minimum.at(reached, row, away[q, held] / np.maximum(base[q], 1e-12))
+    return float(np.sort(reached)[max(0, math.ceil(recall * len(reached)) - 1)])
+
+
+def _as_queries(v: np.ndarray, largest: float) -> np.ndarray:
+    """Vectors as points among the raised ones: of the largest norm, without height."""
+    return np.hstack([v * np.sqrt(largest / np.maximum((v * v).sum(1, keepdims=True), 1e-300)), np.zeros((len(v), 1))])
+
+
+def search(embeddings: DataFrame, is_query, k: int = K, size: int | None = None) -> DataFrame:
     """query_id, rank, vec_id and score of the ``k`` nearest rows to each row of ``embeddings`` (vec_id, embedding) for which ``is_query`` holds; ``size``: rows for each list."""
-    spark = embeddings.sparkSession
-    rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).filter(usable("embedding") & F.col("vec_id").isNotNull())
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    sampled = [r[0] for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("embedding").collect()]
-    if not sampled:
-        return empty
-    dim = min(Counter(map(len, sampled)).items(), key=lambda x: (-x[1], x[0]))[0]
-    rows = rows.filter(F.size("embedding") == dim)
+    columns = [F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")]
+    rows = embeddings.select(*columns, F.coalesce(is_query, F.lit(False)).alias("asks")).filter(usable("embedding") & F.col("vec_id").isNotNull())
+    lengths = [r[0] for r in rows.groupBy(F.size("embedding").alias("dim")).agg(F.max("asks").alias("asked")).filter("asked").orderBy("dim").collect()]
+    if not lengths:
+        return embeddings.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    return reduce(DataFrame.union, (_search_length(rows.filter(F.size("embedding") == dim), dim, k, size) for dim in lengths))
+
+
+def _search_length(rows: DataFrame, dim: int, k: int, size: int | None) -> DataFrame:
+    """search() over vectors of one length, with the queries marked by ``asks``."""
     squares = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)
     total, largest = rows.agg(F.count("*"), F.max(squares)).first()
-    points = np.array([v for v in sampled if len(v) == dim])
+    wanted = max(1, min(MOST_CENTROIDS, total // size if size else 2 * math.isqrt(total)))
+    drawn = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(max(SAMPLE, SAMPLE_EACH * wanted))
+    sampled = drawn.select("vec_id", "embedding").toArrow()
+    points = matrix(sampled.column("embedding"))
     raise_up = lambda v: np.hstack([v, np.sqrt(np.maximum(largest - (v * v).sum(1, keepdims=True), 0))])
-    points = raise_up(points)
-    graph = CentroidGraph(balanced_centroids(points, max(1, min(MOST_CENTROIDS, total // size, len(points)))))
+    raised = raise_up(points)
+    graph = CentroidGraph(balanced_centroids(raised, min(wanted, len(points))))
+    near = [(q, raise_up(v[None])[0]) for q, v in _true_nearest(rows, sampled.slice(0, MEASURED), k)]
+    ratio = reading_ratio(_as_queries(points[:MEASURED], largest), near, graph.centroids)
+    rows, is_query = rows.select("vec_id", "embedding", "asks"), F.col("asks")
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            v = raise_up(matrix(batch.column("embedding")))
-            c = graph.centroids
-            d = np.sqrt(np.maximum((v * v).sum(1)[:, None] - 2 * v @ c.T + (c * c).sum(1)[None, :], 0))
-            order = np.argsort(d, 1, kind="stable")[:, :REPLICAS]
-            near = np.take_along_axis(d, order, 1)
-            i, j = np.nonzero(near <= near[:, :1] * BOUNDARY + 1e-12)
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(pa.array(i)), batch.column("embedding").take(pa.array(i)), pa.array(order[i, j].astype(np.int32))], ["vec_id", "embedding", "list"])
+            i, lists = _lists_of(raise_up(matrix(batch.column("embedding"))), graph.centroids)
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(pa.array(i)), batch.column("embedding").take(pa.array(i)), pa.array(lists.astype(np.int32))], ["vec_id", "embedding", "list"])
 
     def enough(v: np.ndarray, lists: list[int]) -> list[int]:
         """``lists``, and the next ones by distance while they hold ``k`` vec_ids or less."""
@@ -135,32 +211,33 @@ def search(embeddings: DataFrame, is_query, k: int = K, size: int = LIST) -> Dat
         for batch in batches:
             if not batch.num_rows:
                 continue
-            v = matrix(batch.column("embedding"))
-            v = np.hstack([v * np.sqrt(largest / np.maximum((v * v).sum(1, keepdims=True), 1e-300)), np.zeros((len(v), 1))])
-            lists = [enough(x, graph.search(x, RATIO)) for x in v]
+            v = _as_queries(matrix(batch.column("embedding")), largest)
+            lists = [enough(x, graph.search(x, ratio)) for x in v]
             i = np.repeat(np.arange(len(v)), [len(x) for x in lists])
             yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(pa.array(i)), batch.column("embedding").take(pa.array(i)), pa.array([x for own in lists for x in own], pa.int32())], ["vec_id", "embedding", "list"])
 
     def pack(key: tuple, table: pa.Table) -> pa.Table:
-        return pa.table({"list": pa.array([key[0].as_py()], pa.int32()), "ids": [table.column("vec_id").to_numpy().astype("<i8").tobytes()], "vectors": pa.array([matrix(table.column("embedding")).astype("<f8").tobytes()], pa.binary())})
+        numbers = [pa.array([x.as_py()], pa.int32()) for x in key]
+        vectors = matrix(table.column("embedding")).astype("<f8").tobytes()
+        return pa.table({"list": numbers[0], "chunk": numbers[1], "ids": [table.column("vec_id").to_numpy().astype("<i8").tobytes()], "vectors": pa.array([vectors], pa.binary())})
 
-    shape, packed = "vec_id long, embedding array<double>, list int", "list int, ids binary, vectors binary"
+    shape, packed = "vec_id long, embedding array<double>, list int", "list int, chunk int, ids binary, vectors binary"
 
-    def blocks(made: DataFrame, label: str) -> DataFrame:
-        """Lists cut into blocks of about BLOCK rows by a hash of the id."""
-        sizes = {r[0]: -(-r[1] // BLOCK) for r in made.groupBy("list").count().collect()}
-        parts = F.create_map(*(F.lit(x) for kv in (sizes or {0: 1}).items() for x in kv))
-        chunk = F.pmod(F.xxhash64("vec_id"), parts[F.col("list")])
-        return cut(made.withColumn("chunk", chunk).groupBy("list", "chunk").applyInArrow(pack, packed), f"{label}-blocks")
+    def blocks(made: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
+        """Lists cut into blocks of about BLOCK rows by a hash of the id, and list, chunks: how many."""
+        chunks = made.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("chunks"))
+        own = made.join(F.broadcast(chunks), "list").withColumn("chunk", F.pmod(F.xxhash64("vec_id"), F.col("chunks")).cast("int")).drop("chunks")
+        return cut(own.groupBy("list", "chunk").applyInArrow(pack, packed), f"{label}-blocks"), chunks
 
-    postings = cut(rows.mapInArrow(assign, shape), "postings")
+    postings = cut(rows.select("vec_id", "embedding").mapInArrow(assign, shape), "postings")
     # Each vec_id counts in one of its lists only, so lists together hold as many as the sum at least.
     counted = postings.groupBy("vec_id").agg(F.min("list").alias("list")).groupBy("list").count().collect()
     held = [0] * len(graph.centroids)
     for r in counted:
         held[r["list"]] = r["count"]
-    lists = blocks(postings, "postings")
-    asked = blocks(cut(rows.filter(is_query).mapInArrow(route, shape), "queries"), "queries").withColumnsRenamed({"ids": "q_ids", "vectors": "q_vectors"})
+    lists, chunks = blocks(postings, "postings")
+    asked, q_chunks = blocks(cut(rows.filter(is_query).select("vec_id", "embedding").mapInArrow(route, shape), "queries"), "queries")
+    asked = asked.withColumnsRenamed({"ids": "q_ids", "vectors": "q_vectors", "chunk": "q_chunk"})
 
     def best(q: np.ndarray, ids: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of each query the ``k`` best rows, a vec_id once."""
@@ -204,7 +281,10 @@ def search(embeddings: DataFrame, is_query, k: int = K, size: int = LIST) -> Dat
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in best(*map(np.concatenate, zip(*held)))], ["query_id", "vec_id", "score"])
 
-    found = asked.join(lists, "list").mapInArrow(compare, "query_id long, vec_id long, score double")
+    each = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    pairs = chunks.join(q_chunks.withColumnRenamed("chunks", "q_chunks"), "list").withColumn("chunk", each("chunks")).withColumn("q_chunk", each("q_chunks"))
+    work = pairs.select("list", "chunk", "q_chunk").join(asked, ["list", "q_chunk"]).join(lists, ["list", "chunk"]).select("q_ids", "q_vectors", "ids", "vectors")
+    found = work.mapInArrow(compare, "query_id long, vec_id long, score double")
     once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return once.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

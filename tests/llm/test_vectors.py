@@ -67,6 +67,42 @@ def test_nearest(spark, vectors):
     assert len(few) == 5 * 4
 
 
+def test_vec_ids_with_several_vectors(spark):
+    """They tie their components together; equal rows are one."""
+    rows = [(5, [1.0, 0.0]), (7, [1.0, 0.0]), (7, [0.0, 1.0]), (9, [0.0, 1.0]), (9, [0.0, 1.0]), (11, [-1.0, 0.0]), (12, [1.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in embedding_dedup.link(df).collect())
+    assert got == [(5, 1, 5, True), (7, 1, 5, False), (7, 1, 5, False), (9, 1, 5, False), (9, 1, 5, False), (11, 0, 11, True), (12, 0, 12, True)]
+
+
+def test_nearest_by_length_ties_and_shared_ids(spark):
+    """Each length is searched by itself, ties go to the smaller vec_id, and a vec_id is one candidate."""
+    rows = [(i, [1.0, 0.0]) for i in range(6)] + [(6, [2.0, 0.0]), (6, [3.0, 0.0]), (7, [0.5, 0.0])] + [(20 + i, [float(i), 1.0, 0.0]) for i in range(4)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = {}
+    for r in nearest.search(df, F.col("vec_id").isin(0, 7, 20, 23), 3).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    assert got == {0: [(6, 3.0), (1, 1.0), (2, 1.0)], 7: [(6, 1.5), (0, 0.5), (1, 0.5)], 20: [(21, 1.0), (22, 1.0), (23, 1.0)], 23: [(22, 7.0), (21, 4.0), (20, 1.0)]}
+
+
+@pytest.mark.parametrize("spread", [0.0, 0.5])
+def test_nearest_recall_with_blocks(spark, monkeypatch, spread):
+    """Forty lists and more, some in several blocks; vectors of one norm and of many: recall against brute force."""
+    monkeypatch.setattr(nearest, "BLOCK", 64)
+    rng = np.random.default_rng(11)
+    v = np.vstack([rng.normal(size=(1200, 12)), rng.normal(size=12) + rng.normal(size=(800, 12)) * 0.1])
+    v = v / np.linalg.norm(v, axis=1)[:, None] * np.exp(rng.normal(size=len(v)) * spread)[:, None]
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>").repartition(3)
+    score = v @ v.T
+    np.fill_diagonal(score, -np.inf)
+    hits = total = 0
+    for r in nearest.search(df, F.col("vec_id") % 20 == 0).collect():
+        least = np.sort(score[r["query_id"]])[-20]
+        hits += score[r["query_id"], r["vec_id"]] >= least - 1e-9
+        total += 1
+    assert total == 100 * 20 and hits >= 0.9 * total
+
+
 def test_nearest_with_many_small_lists(spark):
     """Dozens of lists, outliers that own a centroid, and groups of fewer rows than are asked for: all places are filled."""
     rng = np.random.default_rng(3)
