@@ -15,9 +15,10 @@ copies costs its size. Pruning depends on the data: without any structure above
 every pair of blocks is compared at the leaves.
 
 Defined cases: a vector that is null, empty, zero or holds null or non-finite components links
-with nothing, as do vectors of different lengths; rows that share a vec_id are one node; a null
-vec_id takes no part (its component is null, kept is false); an empty table gives no rows; further columns
-are ignored.
+with nothing, as do vectors of different lengths; rows that are equal in vec_id and vector are
+one; rows of one vec_id with different vectors are in one component, and n_links is that of each
+row's own vector; a null vec_id takes no part (its component is null, kept is false); an empty
+table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -144,7 +145,12 @@ def link(embeddings: DataFrame, threshold: float = THRESHOLD, sample: int = SAMP
     """vec_id, n_links, component_id and kept of each row of ``embeddings`` (vec_id, embedding)."""
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     rows = rows.withColumn("key", F.when(usable("embedding") & F.col("vec_id").isNotNull(), key128("embedding")))
-    classes = cut(rows.filter("key IS NOT NULL").groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.any_value("embedding").alias("embedding")), "vectors")
+    members = cut(rows.filter("key IS NOT NULL").groupBy("key", "vec_id").agg(F.any_value("embedding").alias("embedding")), "members")
+    classes = cut(members.groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.any_value("embedding").alias("embedding")), "vectors")
+    # Classes that share a vec_id are tied together.
+    reps = members.select("key", "vec_id").join(classes.select("key", "rep"), "key").select("vec_id", "rep")
+    several = reps.groupBy("vec_id").agg(F.min("rep").alias("v"), F.max("rep").alias("last")).filter("v < last")
+    ties = reps.join(several, "vec_id").filter("rep <> v").select(F.col("rep").alias("u"), "v").distinct()
     nodes = _nodes(classes, sample)
     first = np.cumsum([0, *map(len, nodes)]).tolist()
     dims = {n.shape[1]: (n, f) for n, f in zip(nodes, first)}
@@ -238,7 +244,7 @@ def link(embeddings: DataFrame, threshold: float = THRESHOLD, sample: int = SAMP
 
     found = cut(work.mapInArrow(compare, "u long, v long, n long"), "links")
     counts = found.filter("v IS NULL").groupBy("u").agg(F.sum("n").alias("others"))
-    labels = components(found.filter("v IS NOT NULL").select("u", "v"))
+    labels = components(cut(found.filter("v IS NOT NULL").select("u", "v").union(ties), "edges"))
     summary = cut(classes.select("key", "rep", "n").join(counts, F.col("rep") == F.col("u"), "left").join(labels, F.col("rep") == F.col("node"), "left").select("key", F.col("n").alias("copies"), F.coalesce("others", F.lit(0)).alias("others"), F.coalesce("label", "rep").alias("label")), "summary")
     joined = rows.select("vec_id", "key").join(summary, "key", "left")
     component = F.coalesce("label", "vec_id")
