@@ -28,9 +28,11 @@ def vocabulary(name: str) -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set."""
+    """The folder that driver and executors share; one of our own only in local mode, where none is set."""
     name = spark.conf.get("spark.checkpoint.dir", None)
     if not name:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         name = tempfile.mkdtemp(prefix="memspark-")
         spark.conf.set("spark.checkpoint.dir", name)
         spark.sparkContext.setCheckpointDir(name)

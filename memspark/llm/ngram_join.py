@@ -50,9 +50,11 @@ RANGE_CHARS = 24_000_000
 #: Owner of a packed shingle that several documents of its batch have.
 _SHARED = 0xFFFF
 #: Bits of a parity bitmap to a shingle, and bits at most.
-BITS, MOST_BITS = 4, 8192
+BITS, MOST_BITS = 2, 4096
 #: Documents of one shingle that are held against others at a time.
 BLOCK = 256
+#: Ids of documents that are broadcast at most; beyond that many, texts are shuffled to them.
+MOST_BROADCAST = 2_000_000
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -338,7 +340,8 @@ def link(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     several = members.groupBy("doc").agg(F.min("rep").alias("v"), F.max("rep").alias("last")).filter("v < last")
     ties = members.join(several, "doc").filter("rep <> v").select(F.col("rep").alias("u"), "v").distinct()
 
-    wanted = classes.select(F.col("rep").alias("doc")).distinct()
+    wanted = cut(classes.select(F.col("rep").alias("doc")).distinct(), "wanted")
+    wanted = F.broadcast(wanted) if wanted.count() <= MOST_BROADCAST else wanted
     sets = cut(_held_sets(_texts(docs).join(wanted, "doc", "left_semi"), n), "sets")
     spread = cut(prefixes(sets, percent), "spread")
     tried = cut(_by_bitmaps(_pairs_on_leaders(spread, percent), sets, percent), "tried")
