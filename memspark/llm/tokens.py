@@ -11,18 +11,34 @@ from __future__ import annotations
 import gc
 import os
 import re
+import sys
 from array import array
 
 import numpy as np
 
 #: White space besides space and line feed, as any of the engines sees it.
-_ODD = re.compile(r"[^\S \n]|[\x1c-\x1f]")
+_ODD = [c for c in map(chr, range(sys.maxunicode + 1)) if c.isspace() and c not in " \n"]
+_ODD_ASCII = [c for c in _ODD if c.isascii()]
 #: Beyond Latin letters, or a letter whose lower case is two characters: left to the library.
 _WIDE = re.compile("[^\x00-\u024f]|\u0130")
 _LONGEST = 64
 _PUNCTUATION = ".,;:!?#$%&*|()"
 
 
+def _has_odd(text: str) -> bool:
+    return any(map(text.__contains__, _ODD_ASCII if text.isascii() else _ODD))
+
+
+def _is_wide(text: str) -> bool:
+    if text.isascii():
+        return False
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return _WIDE.search(text) is not None
+    return False
+
+
 class _Alphabet(dict):
     """For str.translate(): what the model sees for a letter (byte-level models spell it in signs of their own)."""
 
@@ -38,11 +54,12 @@ class _Alphabet(dict):
 class Encoder:
     """Callable: texts (None: empty) to little-endian unsigned 32-bit ids, each closed by ``end_id``.
 
-    It is pickled as its arguments; each worker loads the file and keeps the words it has met,
-    ``most`` at a time.
+    It is pickled as its arguments; each worker loads the file and keeps the words it has met.
+    When there are ``most`` of them they become the old ones, and of the former old ones those
+    that were not met since go.
     """
 
-    def __init__(self, path: str, end_id: int | None = None, most: int = 700_000):
+    def __init__(self, path: str, end_id: int | None = None, most: int = 500_000):
         self.path, self.end_id, self.most = path, end_id, most
 
     def __reduce__(self):
@@ -54,6 +71,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(self.path)
         self.words: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         # What the model itself is given for an ASCII word behind a space: a mark in front, and lower case or not.
         probe = " Ab"
         if self.tokenizer.normalizer:
@@ -124,36 +142,37 @@ class Encoder:
             self._load()
         out: list[bytes | None] = [None] * len(texts)
         waiting, new, whole = [], set(), []
-        get = self.words.get
+        known, old = self.words, self.old
         for i, text in enumerate(texts):
             if not text:
                 out[i] = self.end
                 continue
-            if self.lower and not _WIDE.search(text):
+            if self.lower and not _is_wide(text):
                 text = text.lower()
             marked = text.replace("\n", " " if self.drops else " \n")
-            if "  " in marked or _ODD.search(text) or any(s in text for s in self.specials):
+            if "  " in marked or _has_odd(text) or any(map(text.__contains__, self.specials)):
                 whole.append(i)
                 continue
             first, *words = marked.split(" ")
-            ids = list(map(get, words))
+            ids = list(map(known.get, words))
             if None in ids:
                 new.update(w for w, x in zip(words, ids) if x is None)
-                waiting.append((i, first, words))
-            else:
-                waiting.append((i, first, ids))
-        fresh = self._fresh(new) if new else {}
-        heads = [first for _, first, _ in waiting]
-        for (i, _, parts), head in zip(waiting, self._library(heads) if heads else []):
-            if parts and isinstance(next((p for p in parts if p is not None), None), str):
-                parts = [x if (x := get(w)) is not None else fresh[w] for w in parts]
-            out[i] = b"".join([head, *parts, self.end])
+                ids = None
+            waiting.append((i, first, words, ids))
+        again = {w: x for w in new if (x := old.get(w)) is not None}
+        known.update(again)
+        fresh = self._fresh(new.difference(again)) if len(new) > len(again) else {}
+        known.update(fresh)
+        heads = [first for _, first, _, _ in waiting]
+        for (i, _, words, ids), head in zip(waiting, self._library(heads) if heads else []):
+            out[i] = head + b"".join(map(known.__getitem__, words) if ids is None else ids) + self.end
         if whole:
             for i, ids in zip(whole, self._library([texts[i] for i in whole])):
                 out[i] = ids + self.end
-        if len(self.words) + len(fresh) > self.most:
-            self.words.clear()
-        self.words.update((w, x) for w, x in fresh.items() if len(w) <= _LONGEST)
+        for w in [w for w in fresh if len(w) > _LONGEST]:
+            del known[w]
+        if len(known) > self.most:
+            self.words, self.old = {}, known
         return out
 
 
