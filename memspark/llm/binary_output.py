@@ -10,7 +10,7 @@ lost task is simply run again. The index is Parquet: a row for each record (file
 length, ids, start within the file) and one for each file (ids of the files before it).
 
 Defined cases: a null or empty text gives a record with the end id alone; rows that share a
-doc_id are kept, ordered by text; an empty table gives no records; further columns are ignored.
+doc_id are kept, in an order of their texts' hashes; an empty table gives no records; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,6 +27,10 @@ from pyspark.sql import functions as F
 from memspark.llm.common import new_path, shuffles_dropped, slices
 
 BLOCK_BYTES, BLOCKS_A_FILE = 2 << 20, 4
+#: Writing tasks whose files are numbered together.
+GROUP = 256
+#: Characters that are encoded at a time.
+BATCH_CHARS = 1_500_000
 
 #: Fixed values of the checksum: reflected Castagnoli polynomial, and the masking constant.
 CASTAGNOLI, MASK_DELTA = 0x82F63B78, 0xA282EAD8
@@ -148,7 +152,7 @@ def write_records(docs: DataFrame, path: str, encode: Callable[[list], list[byte
         block: list[bytes] = []
         size = 0
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", BATCH_CHARS):
                 for record in frames(part.column("doc_id").to_pylist(), encode(part.column("text").to_pylist())):
                     block.append(record)
                     size += len(block[-1]) + 1
@@ -159,15 +163,26 @@ def write_records(docs: DataFrame, path: str, encode: Callable[[list], list[byte
             yield pa.RecordBatch.from_pydict({"value": pa.array([b"\n".join(block)], pa.binary())})
 
     spark = docs.sparkSession
-    ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
+    # A hash of the text splits the rows of a very common doc_id; only numbers are sampled for the ranges.
+    lots = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("lot")).repartitionByRange("doc_id", "lot")
+    ordered = lots.sortWithinPartitions("doc_id", "lot", "text").select("doc_id", "text")
     with shuffles_dropped(spark):
         (ordered.mapInArrow(blocks, "value binary").select(F.col("value").cast("string"))
             .write.option("maxRecordsPerFile", BLOCKS_A_FILE).option("lineSep", "\n").text(f"{path}/data"))
         _files(spark, path).mapInArrow(_scan, "file string, record long, offset long, length long, n_tokens long, start_in_file long").write.parquet(f"{path}/records")
         totals = spark.read.parquet(f"{path}/records").groupBy("file").agg(F.count("*").alias("n_records"), F.sum("n_tokens").alias("n_tokens"))
-        order = [F.regexp_extract("file", pattern, 1).cast("long") for pattern in (r"part-(\d+)-", r"-c(\d+)\.")]
-        before = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-        totals.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0))).write.parquet(f"{path}/files")
+        _with_base(totals).write.parquet(f"{path}/files")
+
+
+def _with_base(totals: DataFrame) -> DataFrame:
+    """``totals`` (file, n_records, n_tokens) with base, the ids of all files before; summed within GROUP writers' files, then over the groups."""
+    number = [F.regexp_extract("file", pattern, 1).cast("long") for pattern in (r"part-(\d+)-", r"-c(\d+)\.")]
+    numbered = totals.withColumn("part", number[0]).withColumn("count", number[1]).withColumn("group", F.floor(F.col("part") / GROUP))
+    ahead = lambda w: F.coalesce(F.sum("n_tokens").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    groups = numbered.groupBy("group").agg(F.sum("n_tokens").alias("n_tokens"))
+    groups = groups.select("group", ahead(Window.orderBy("group")).alias("group_base"))
+    placed = numbered.withColumn("base", ahead(Window.partitionBy("group").orderBy("part", "count"))).join(groups, "group")
+    return placed.select("file", "n_records", "n_tokens", (F.col("base") + F.col("group_base")).alias("base"))
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:

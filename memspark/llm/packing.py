@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from memspark.llm.common import cut, slices
 
 CAPACITY = 2048
+#: Characters that are encoded at a time.
+BATCH_CHARS = 1_500_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -35,7 +37,7 @@ def pieces_of(docs: DataFrame, encode: Callable[[list], list[bytes]], capacity:
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", BATCH_CHARS):
                 rows = []
                 for doc_id, ids in zip(part.column("doc_id").to_pylist(), encode(part.column("text").to_pylist())):
                     n = len(ids) // 4

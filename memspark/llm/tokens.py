@@ -13,8 +13,11 @@ import os
 import re
 import sys
 from array import array
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: White space besides space and line feed, as any of the engines sees it.
 _ODD = [c for c in map(chr, range(sys.maxunicode + 1)) if c.isspace() and c not in " \n"]
@@ -22,6 +25,8 @@ _ODD_ASCII = [c for c in _ODD if c.isascii()]
 #: Beyond Latin letters, or a letter whose lower case is two characters: left to the library.
 _WIDE = re.compile("[^\x00-\u024f]|\u0130")
 _LONGEST = 64
+#: In front of a text's first word, which no space precedes.
+_HEAD = "\x01"
 _PUNCTUATION = ".,;:!?#$%&*|()"
 
 
@@ -59,7 +64,7 @@ class Encoder:
     that were not met since go.
     """
 
-    def __init__(self, path: str, end_id: int | None = None, most: int = 500_000):
+    def __init__(self, path: str, end_id: int | None = None, most: int = 450_000):
         self.path, self.end_id, self.most = path, end_id, most
 
     def __reduce__(self):
@@ -92,7 +97,7 @@ class Encoder:
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
     def _fresh(self, new: set[str]) -> dict[str, bytes]:
-        """Ids of words that follow a space, or begin with a line feed.
+        """Ids of words that follow a space, begin with a line feed, or are marked as a text's first.
 
         Letters and ASCII punctuation are always cut apart, so "word," is "word" and ",".
         """
@@ -126,7 +131,8 @@ class Encoder:
         if not self.plain:
             rest = list(new)
         if rest:
-            out.update(zip(rest, self._library([w if w[:1] == "\n" else " " + w for w in rest])))
+            spelled = [w[1:] if w[:1] == _HEAD else w if w[:1] == "\n" else " " + w for w in rest]
+            out.update(zip(rest, self._library(spelled)))
         return out
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
@@ -141,8 +147,7 @@ class Encoder:
         if not hasattr(self, "tokenizer"):
             self._load()
         out: list[bytes | None] = [None] * len(texts)
-        waiting, new, whole = [], set(), []
-        known, old = self.words, self.old
+        places, cut, whole = [], [], []
         for i, text in enumerate(texts):
             if not text:
                 out[i] = self.end
@@ -150,31 +155,46 @@ class Encoder:
             if self.lower and not _is_wide(text):
                 text = text.lower()
             marked = text.replace("\n", " " if self.drops else " \n")
-            if "  " in marked or _has_odd(text) or any(map(text.__contains__, self.specials)):
+            if "  " in marked or _HEAD in text or _has_odd(text) or any(map(text.__contains__, self.specials)):
                 whole.append(i)
-                continue
-            first, *words = marked.split(" ")
-            ids = list(map(known.get, words))
-            if None in ids:
-                new.update(w for w, x in zip(words, ids) if x is None)
-                ids = None
-            waiting.append((i, first, words, ids))
-        again = {w: x for w in new if (x := old.get(w)) is not None}
-        known.update(again)
-        fresh = self._fresh(new.difference(again)) if len(new) > len(again) else {}
-        known.update(fresh)
-        heads = [first for _, first, _, _ in waiting]
-        for (i, _, words, ids), head in zip(waiting, self._library(heads) if heads else []):
-            out[i] = head + b"".join(map(known.__getitem__, words) if ids is None else ids) + self.end
+            else:
+                places.append(i)
+                cut.append(_HEAD + marked)
+        if cut:
+            for i, ids in zip(places, self._by_words(cut)):
+                out[i] = ids + self.end
         if whole:
             for i, ids in zip(whole, self._library([texts[i] for i in whole])):
                 out[i] = ids + self.end
-        for w in [w for w in fresh if len(w) > _LONGEST]:
-            del known[w]
-        if len(known) > self.most:
-            self.words, self.old = {}, known
         return out
 
+    def _by_words(self, texts: list[str]) -> Iterator[bytes]:
+        """Ids of texts that are cut at their spaces; each distinct word is looked up once."""
+        words = pc.split_pattern(pa.array(texts), " ")
+        coded = words.values.dictionary_encode()
+        distinct, known, old = coded.dictionary.to_pylist(), self.words, self.old
+        ids = list(map(known.get, distinct))
+        if None in ids:
+            new = {w for w, x in zip(distinct, ids) if x is None}
+            again = {w: x for w in new if (x := old.get(w)) is not None}
+            known.update(again)
+            fresh = self._fresh(new.difference(again))
+            known.update(fresh)
+            ids = list(map(known.__getitem__, distinct))
+            for w in [w for w in fresh if len(w) > _LONGEST]:
+                del known[w]
+            if len(known) > self.most:
+                self.words, self.old = {}, known
+        counts = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat, starts, word = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(counts) - counts, coded.indices.to_numpy()
+        each = counts[word]
+        ends = np.cumsum(each)
+        at = np.repeat(starts[word] - (ends - each), each)
+        at += np.arange(len(at))
+        gathered, bounds = flat[at], np.concatenate([[0], ends])[words.offsets.to_numpy()].tolist()
+        for s, e in zip(bounds, bounds[1:]):
+            yield gathered[s:e].tobytes()
+
 
 _loaded: dict[tuple, Encoder] = {}
 
