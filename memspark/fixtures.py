@@ -55,13 +55,10 @@ def text_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """memory_id and embedding: signed hashed runs of three words of the text, 64 buckets, of length 1."""
     docs = table(spark, sf_dir, "documents")
     words = F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "")
-    docs = docs.select("doc_id", F.posexplode_outer(words).alias("pos", "w"))
-    # A run is a word and the two behind it; positions are dense, so it is a join of the words with themselves by grouping.
-    each = docs.select("doc_id", F.explode(F.array(*(F.struct((F.col("pos") - k).alias("at"), F.lit(k).alias("k"), "w") for k in range(3)))).alias("x")).select("doc_id", "x.*")
-    n = docs.groupBy("doc_id").agg(F.count("w").alias("n"))
-    grams = each.filter("at >= 0 OR at IS NULL").groupBy("doc_id", "at").agg(F.array_sort(F.collect_list(F.struct("k", "w"))).alias("ws")).join(n, "doc_id")
-    whole = (F.col("n") < 3) & (F.coalesce("at", F.lit(0)) == 0)
-    runs = grams.filter((F.size("ws") == 3) | whole).select("doc_id", F.array_join(F.transform("ws", lambda x: x["w"]), " ").alias("run"))
+    docs = docs.select("doc_id", words.alias("w"), F.size(words).alias("n"))
+    run_at = lambda i: F.array_join(F.slice("w", i, 3), " ")
+    runs = F.when(F.col("n") >= 3, F.transform(F.sequence(F.lit(1), F.greatest(F.col("n") - 2, F.lit(1))), run_at)).otherwise(F.array(F.array_join("w", " ")))
+    runs = docs.select("doc_id", F.explode(runs).alias("run"))
     h = F.conv(F.substring(F.md5(F.col("run").cast("binary")), 1, 8), 16, 10).cast("long")
     each = runs.select("doc_id", (h % 64).cast("int").alias("bucket"), F.when(F.floor(h / 64) % 2 == 1, 1).otherwise(-1).alias("sign"))
     sums = each.groupBy("doc_id", "bucket").agg(F.sum("sign").cast("double").alias("s"))
@@ -78,11 +75,11 @@ def vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def text_queries(spark: SparkSession, sf_dir: str, words: int = 6) -> DataFrame:
-    """A query of the first words of each benchmark text."""
+def text_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A query of each benchmark text."""
     return table(spark, sf_dir, "benchmark").select(
         F.concat(F.lit("b"), F.col("item_id")).alias("query_id"),
-        F.array_join(F.slice(F.split("text", " "), 1, words), " ").alias("query_text"),
+        F.col("text").alias("query_text"),
         F.concat(F.lit("src"), F.col("item_id") % 20).alias("user_id"),
     )
 

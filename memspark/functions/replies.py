@@ -23,6 +23,24 @@ def contradiction_reply(reply: Column) -> Column:
     )
 
 
+def update_reply(reply: Column) -> Column:
+    """action, reason, merged_content, confidence of a decider's reply; skip and 0.8 for what is missing."""
+    x = parse_json(reply, "action string, reason string, merged_content string, confidence double")
+    return F.struct(
+        F.coalesce(x["action"], F.lit("skip")).alias("action"), F.coalesce(x["reason"], F.lit("")).alias("reason"),
+        x["merged_content"].alias("merged_content"), F.coalesce(x["confidence"], F.lit(0.8)).alias("confidence"),
+    )
+
+
+def reflections_reply(reply: Column) -> Column:
+    """content, confidence (0.7 if missing) and supporting_indices of each reflection of a reply; those without content go."""
+    x = parse_json(reply, "reflections array<struct<content: string, confidence: double, supporting_indices: array<int>>>")
+    items = F.coalesce(x["reflections"], F.array().cast("array<struct<content: string, confidence: double, supporting_indices: array<int>>>"))
+    told = F.filter(items, lambda i: F.coalesce(i["content"], F.lit("")) != "")
+    none = F.array().cast("array<int>")
+    return F.transform(told, lambda i: F.struct(i["content"].alias("content"), F.coalesce(i["confidence"], F.lit(0.7)).alias("confidence"), F.coalesce(i["supporting_indices"], none).alias("supporting_indices")))
+
+
 def classify(reply: Column, labels: list[str]) -> Column:
     """The label that the reply is, letter case and blanks aside, else the first one."""
     held = F.array(*map(F.lit, labels))

@@ -31,7 +31,7 @@ def facts_of_user(facts: DataFrame, user_id: str = "", subject: str = "") -> Dat
     for name, value in (("user_id", user_id), ("subject", subject)):
         if value:
             rows = rows.filter(F.col(name) == value)
-    return rows.select("fact_id", "subject", "predicate", "object", "confidence")
+    return rows.select("user_id", "fact_id", "subject", "predicate", "object", "confidence")
 
 
 def list_contradictions(reports: DataFrame, resolved: bool | None = None) -> DataFrame:

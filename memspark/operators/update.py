@@ -13,10 +13,17 @@ ACTIONS = ["skip", "create", "update", "supersede", "merge"]
 
 
 def match(contents: DataFrame, memories: DataFrame, vectors: DataFrame, d: Defaults = DEFAULTS) -> DataFrame:
-    """``contents`` (decision_id, user_id, new_content, embedding) with existing_memory_id and score of the nearest active memory, and action create where it is not near enough."""
+    """``contents`` (decision_id, user_id, new_content, embedding) with existing_memory_id and score of the nearest active memory, and action create where it is not near enough.
+
+    With own_memory_id in ``contents``, that memory is not taken for its own match.
+    """
     asked = contents.select(F.col("decision_id").alias("query_id"), "user_id", "embedding")
     held = memories.filter("status = 'active'").select("memory_id", "user_id").join(vectors, "memory_id")
-    best = top_per_query(asked, held, 1).select(F.col("query_id").alias("decision_id"), F.col("memory_id").alias("existing_memory_id"), "score")
+    own = "own_memory_id" in contents.columns
+    best = top_per_query(asked, held, 2 if own else 1).select(F.col("query_id").alias("decision_id"), F.col("memory_id").alias("existing_memory_id"), "score", "place")
+    if own:
+        best = best.join(contents.select("decision_id", "own_memory_id"), "decision_id").filter(F.coalesce(F.col("existing_memory_id") != F.col("own_memory_id"), F.lit(True)))
+    best = best.groupBy("decision_id").agg(F.min_by("existing_memory_id", "place").alias("existing_memory_id"), F.min_by("score", "place").alias("score"))
     out = contents.join(best, "decision_id", "left")
     far = F.col("score").isNull() | (F.col("score") < d.update_from)
     return out.withColumn("existing_memory_id", F.when(~far, F.col("existing_memory_id"))).withColumn("action", F.when(far, "create"))

@@ -134,7 +134,7 @@ def _matched() -> str:
     return f"""WITH {_memories()}, {_ASKED},
 near AS (
   SELECT 'q' || a.vec_id AS decision_id, a.vec_id, m.user_id, m.memory_id, {_COSINE.format("a.embedding", "e.embedding")} AS score
-  FROM asked a JOIN memories m ON m.user_id = a.user_id AND m.status = 'active' AND m.doc_id % 50 <> 0 JOIN embeddings e ON e.vec_id = m.doc_id),
+  FROM asked a JOIN memories m ON m.user_id = a.user_id AND m.status = 'active' AND m.doc_id <> a.vec_id JOIN embeddings e ON e.vec_id = m.doc_id),
 best AS (SELECT *, row_number() OVER (PARTITION BY decision_id ORDER BY score DESC, memory_id) AS k FROM near),
 matched AS (
   SELECT a.query_id AS decision_id, a.vec_id, a.user_id, CASE WHEN b.score >= 0.3 THEN b.memory_id END AS existing_memory_id, b.score,
@@ -166,7 +166,7 @@ def _lexical() -> str:
     stop = _list(STOP_WORDS)
     tokens = lambda t: f"list_filter(regexp_extract_all(lower({t}), '{TOKEN.replace(chr(39), chr(39) * 2)}'), lambda t: NOT list_contains({stop}, t))"
     run = lambda k: f"len(list_filter(range(1, len(qw) - {k - 2}), lambda i: contains(low, array_to_string(qw[i:i+{k - 1}], ' ')))) > 0"
-    return f"""WITH asked AS (SELECT 'b' || item_id AS query_id, array_to_string(string_split(text, ' ')[1:6], ' ') AS q, 'src' || (item_id % 20) AS user_id FROM benchmark),
+    return f"""WITH asked AS (SELECT 'b' || item_id AS query_id, text AS q, 'src' || (item_id % 20) AS user_id FROM benchmark),
 both_texts AS (
   SELECT query_id, CAST(doc_id AS VARCHAR) AS memory_id, lower(text) AS low, trim(lower(q)) AS ql, list_distinct({tokens("q")}) AS qt, {tokens("text")} AS ct,
          list_filter(regexp_split_to_array(trim(lower(q)), '\\s+'), lambda w: w <> '') AS qw
@@ -181,7 +181,7 @@ SELECT query_id, memory_id, round(o, 6) AS overlap, round(k, 6) AS keyword, roun
 def _chains() -> str:
     return """WITH RECURSIVE up AS (
   SELECT doc_id, doc_id // 2 AS anc, 1 AS hops FROM documents WHERE doc_id > 0
-  UNION ALL SELECT doc_id, anc // 2, hops + 1 FROM up WHERE anc > 0 AND hops < 6)
+  UNION ALL SELECT doc_id, anc // 2, hops + 1 FROM up WHERE anc > 0)
 SELECT CAST(doc_id AS VARCHAR) AS memory_id, CAST(anc AS VARCHAR) AS ancestor, CAST(min(hops) AS INTEGER) AS hops FROM up WHERE anc <> doc_id GROUP BY 1, 2"""
 
 
@@ -219,7 +219,7 @@ due AS (SELECT user_id, namespace, list(memory_id ORDER BY place) AS ids, string
         "ingest_summary": f"WITH {_OBSERVED} SELECT count(*) FILTER (reject_reason IS NULL) AS ingested, count(*) FILTER (reject_reason IS NOT NULL) AS failed FROM checked",
         "list_memories": f"{m}, placed AS (SELECT user_id, memory_id, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, memory_id) AS place FROM memories WHERE status = 'active') SELECT user_id, memory_id, CAST(place AS INTEGER) AS place FROM placed WHERE place > 5 AND place <= 15",
         "user_stats": f"{m} SELECT user_id, count(*) AS total_memories, string_agg(DISTINCT namespace, ',' ORDER BY namespace) AS namespaces, count(*) FILTER (status = 'active') AS active FROM memories GROUP BY 1 HAVING count(*) FILTER (status = 'active') > 0",
-        "facts_of_user": "SELECT 'f' || c_custkey AS fact_id, c_name AS subject, 'lives_in' AS predicate, n_name AS object, 1.0::DOUBLE AS confidence FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 10 = 3 AND c_custkey % 5 <> 0",
+        "facts_of_user": "SELECT 'u' || (c_custkey % 10) AS user_id, 'f' || c_custkey AS fact_id, c_name AS subject, 'lives_in' AS predicate, n_name AS object, 1.0::DOUBLE AS confidence FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 5 <> 0",
         "operation_log": f"{m} SELECT memory_id, user_id, CASE WHEN doc_id % 29 = 0 THEN 'create' WHEN doc_id % 13 = 0 THEN 'delete' ELSE 'update' END AS operation FROM memories WHERE doc_id % 29 = 0 OR doc_id % 13 = 0 OR doc_id % 31 = 0",
         "promote": f"{m}, p AS (SELECT *, status = 'active' AND memory_layer = 'episodic' AND access_count >= 3 AND importance_score >= 0.45 AS promoted FROM memories) SELECT memory_id, CASE WHEN promoted THEN 'semantic' ELSE memory_layer END AS memory_layer, promoted FROM p",
         "near_duplicate_pairs": f"""{ml}, {_TEXT_VECTORS}, own AS (SELECT memory_id, doc_id, user_id FROM memories WHERE status = 'active' AND memory_layer = 'semantic'),
@@ -241,11 +241,11 @@ SELECT m.memory_id, CASE WHEN sure THEN 'confirmed' WHEN sure IS NOT NULL THEN '
 FROM memories m LEFT JOIN change c USING (memory_id)""",
         "contradiction_resolve": f"{mj} {_chosen_memories('')}",
         "contradiction_list": f"WITH {_JUDGED} SELECT a AS memory_a_id, b AS memory_b_id, kind AS contradiction_type, confidence, 'newer' AS resolution_note, least(a, b) AS low, greatest(a, b) AS high FROM reports WHERE doc_a % 3 = 0",
-        "update_match": _matched() + "SELECT decision_id, existing_memory_id, round(score, 5) AS score, action FROM matched",
+        "update_match": _matched() + "SELECT decision_id, existing_memory_id, round(score, 6) AS score, action FROM matched",
         "update_apply": _matched() + """, decided AS (
   SELECT *, CASE WHEN action = 'create' THEN 'create' ELSE (['skip', 'update', 'supersede', 'merge'])[vec_id % 4 + 1] END AS act FROM matched),
 chain AS (SELECT *, row_number() OVER (PARTITION BY existing_memory_id ORDER BY decision_id) AS step, count(*) OVER (PARTITION BY existing_memory_id) AS n FROM decided WHERE act IN ('update', 'supersede', 'merge'))
-SELECT user_id, md5(content) AS content_md5, CASE WHEN memory_id IN (SELECT existing_memory_id FROM chain) THEN 'superseded' ELSE status END AS status, 1 AS version, 0 AS parents FROM memories WHERE doc_id % 50 <> 0
+SELECT user_id, md5(content) AS content_md5, CASE WHEN memory_id IN (SELECT existing_memory_id FROM chain) THEN 'superseded' ELSE status END AS status, 1 AS version, 0 AS parents FROM memories
 UNION ALL SELECT user_id, md5(CASE WHEN act = 'merge' THEN 'merged ' || decision_id ELSE 'news of ' || decision_id END), CASE WHEN step = n THEN 'active' ELSE 'superseded' END, CAST(1 + step AS INTEGER), CAST(step AS INTEGER) FROM chain
 UNION ALL SELECT user_id, md5('news of ' || decision_id), 'active', 1, 0 FROM decided WHERE act = 'create'""",
         "reflection_due": f"{m} SELECT user_id, namespace, count(*) AS n FROM memories WHERE status = 'active' GROUP BY 1, 2 HAVING count(*) % 3 = 0",

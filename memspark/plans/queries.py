@@ -56,12 +56,11 @@ def score_composite(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lexical_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = X.memories(spark, sf_dir).select("memory_id", "user_id", "content")
-    q, c = F.col("query_text"), F.col("content")
-    return X.text_queries(spark, sf_dir).join(m, "user_id").select(
-        "query_id", "memory_id", F.round(lexical.token_overlap(q, c), 6).alias("overlap"), F.round(lexical.keyword_boost(q, c), 6).alias("keyword"),
-        F.round(lexical.phrase_bonus(q, c), 6).alias("phrase"), F.round(lexical.lexical_score(q, c), 6).alias("lexical"),
-    )
+    """Every memory of a query's user, by whole texts; each text is cut into tokens once, before the join."""
+    m = X.memories(spark, sf_dir).select("memory_id", "user_id", *lexical.content_parts(F.col("content")))
+    q = X.text_queries(spark, sf_dir).select("query_id", "user_id", *lexical.query_parts(F.col("query_text")))
+    scores = lexical.scores_of_parts()
+    return q.join(m, "user_id").select("query_id", "memory_id", *scores).select("query_id", "memory_id", *(F.round(c, 6).alias(c) for c in ("overlap", "keyword", "phrase")), F.round(lexical.total("overlap", "keyword", "phrase"), 6).alias("lexical"))
 
 
 def _faulty(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,7 +99,7 @@ def facts_of_user(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("f"), F.col("c_custkey")).alias("fact_id"), F.concat(F.lit("u"), F.col("c_custkey") % 10).alias("user_id"), F.col("c_name").alias("subject"), F.lit("lives_in").alias("predicate"),
         F.col("n_name").alias("object"), F.lit(1.0).alias("confidence"), F.when(F.col("c_custkey") % 5 == 0, "superseded").otherwise("active").alias("status"),
     )
-    return catalog.facts_of_user(facts, user_id="u3")
+    return catalog.facts_of_user(facts)
 
 
 def operation_log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -176,11 +175,12 @@ def contradiction_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _matched(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = X.vector_queries(spark, sf_dir)
     contents = q.select(F.col("query_id").alias("decision_id"), "user_id", F.concat(F.lit("news of "), F.col("query_id")).alias("new_content"), "embedding")
-    return update.match(contents, X.memories(spark, sf_dir).filter("doc_id % 50 <> 0"), X.vectors(spark, sf_dir), Defaults(update_from=LOW)).drop("embedding")
+    contents = contents.withColumn("own_memory_id", F.expr("substring(decision_id, 2)"))
+    return update.match(contents, X.memories(spark, sf_dir), X.vectors(spark, sf_dir), Defaults(update_from=LOW)).drop("embedding", "own_memory_id")
 
 
 def update_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _matched(spark, sf_dir).select("decision_id", "existing_memory_id", F.round("score", 5).alias("score"), "action")
+    return _matched(spark, sf_dir).select("decision_id", "existing_memory_id", F.round("score", 6).alias("score"), "action")
 
 
 def update_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -188,7 +188,7 @@ def update_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     matched = _matched(spark, sf_dir)
     action = F.element_at(F.array(*map(F.lit, ["skip", "update", "supersede", "merge"])), (k + 1).cast("int"))
     given = matched.select("decision_id", action.alias("action"), F.lit("by rule").alias("reason"), F.concat(F.lit("merged "), F.col("decision_id")).alias("merged_content"), F.lit(0.9).alias("confidence"))
-    memories, _ = update.apply_decisions(X.memories(spark, sf_dir).filter("doc_id % 50 <> 0"), update.decide(matched, given), X.as_of())
+    memories, _ = update.apply_decisions(X.memories(spark, sf_dir), update.decide(matched, given), X.as_of())
     return memories.select("user_id", F.md5(F.col("content").cast("binary")).alias("content_md5"), "status", "version", F.size("parent_memory_ids").alias("parents"))
 
 
