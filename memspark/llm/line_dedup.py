@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from memspark.llm.common import cut, key128
 
 MIN_SITES = 5
-#: The floor that the SQL below still has; nothing here uses it.
-MIN_CHARS = 20
+#: A line that has one of these is not blank.
+NOT_BLANK = r"[^ \t\n\x0B\f\r]"
 #: Sketches have 2**LOG_BUCKETS buckets (standard error 3.3 %); estimates within this share of the threshold are counted exactly.
 LOG_BUCKETS, NEAR = 10, 0.4
 
@@ -30,7 +30,7 @@ LOG_BUCKETS, NEAR = 10, 0.4
 def _lines(docs: DataFrame, site: str, min_chars: int) -> DataFrame:
     """Lines that are not blank as (id, row, site, pos, line): row tells texts of one doc_id apart, line is a hash."""
     lines = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("row"), F.coalesce(F.col(site).cast("string"), F.lit("")).alias("site"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    return lines.filter(F.col("line").rlike(r"\S") & (F.length(F.trim("line")) >= min_chars)).withColumn("line", key128(F.trim("line")))
+    return lines.filter(F.col("line").rlike(NOT_BLANK) & (F.length(F.trim("line")) >= min_chars)).withColumn("line", key128(F.trim("line")))
 
 
 def boilerplate(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, min_chars: int = 1) -> DataFrame:
@@ -63,12 +63,12 @@ WITH lines AS (
   SELECT doc_id, coalesce(source, '') AS site, text, unnest(string_split(text, chr(10))) AS line,
          unnest(range(len(string_split(text, chr(10))))) AS pos
   FROM documents),
-long_lines AS (SELECT doc_id, site, pos, trim(line, ' ') AS line FROM lines WHERE length(trim(line, ' ')) >= {MIN_CHARS}),
+own_lines AS (SELECT doc_id, site, pos, trim(line, ' ') AS line FROM lines WHERE regexp_matches(line, '{NOT_BLANK}')),
 held AS (
-  SELECT line, min((doc_id, pos)) AS first FROM long_lines GROUP BY line HAVING count(DISTINCT site) >= {MIN_SITES}),
+  SELECT line, min((doc_id, pos)) AS first FROM own_lines GROUP BY line HAVING count(DISTINCT site) >= {MIN_SITES}),
 marked AS (
   SELECT l.doc_id, l.pos, l.line,
-         coalesce(length(trim(l.line, ' ')) >= {MIN_CHARS} AND h.first <> (l.doc_id, l.pos), false) AS gone
+         coalesce(regexp_matches(l.line, '{NOT_BLANK}') AND h.first <> (l.doc_id, l.pos), false) AS gone
   FROM lines l LEFT JOIN held h ON h.line = trim(l.line, ' ')),
 kept AS (
   SELECT doc_id, count(*) FILTER (gone) AS lines_removed,

@@ -68,5 +68,38 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
 
+_WORDS = """words AS (SELECT doc_id, text, list_filter(regexp_split_to_array({text}, '[ \\x09-\\x0D]+'), lambda w: w <> '') AS w FROM documents)"""
+
+#: All 20-word windows, the first place of each, and the words that later ones cover.
+REPEATS = f"""WITH {_WORDS.format(text="coalesce(text, '')")},
+wins AS (SELECT doc_id, p, array_to_string(w[p + 1 : p + {substring_dedup.WINDOW}], ' ') AS win FROM (SELECT *, unnest(range(0, len(w) - {substring_dedup.WINDOW - 1})) AS p FROM words)),
+later AS (SELECT doc_id, p FROM (SELECT *, row_number() OVER (PARTITION BY win ORDER BY doc_id, p) AS k FROM wins) WHERE k > 1),
+gone AS (SELECT DISTINCT doc_id, p + unnest(range(0, {substring_dedup.WINDOW})) AS q FROM later),
+of_doc AS (SELECT doc_id, list(q) AS qs FROM gone GROUP BY 1)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(len(qs), 0)::BIGINT AS n_removed,
+       sha256(coalesce(array_to_string(list_filter(w, lambda x, i: NOT coalesce(list_contains(qs, i - 1), false)), ' '), '')) AS kept_sha256
+FROM words d LEFT JOIN of_doc o ON o.doc_id = d.doc_id"""
+
+#: Distinct shingles, pairs that share enough of them, and all that can be reached.
+LINKS = f"""WITH RECURSIVE {_WORDS.format(text="translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")},
+sh AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {ngram_join.N} THEN [array_to_string(w, ' ')]
+         ELSE list_transform(range(1, len(w) - {ngram_join.N - 2}), lambda i: array_to_string(w[i : i + {ngram_join.N - 1}], ' ')) END) AS s FROM words),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1),
+shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+link AS (SELECT x, y FROM shared JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * c >= {ngram_join.PERCENT} * (p.n + q.n - c)),
+both_ways AS (SELECT x, y FROM link UNION ALL SELECT y, x FROM link),
+reach AS (SELECT x AS a, x AS b FROM both_ways UNION SELECT r.a, e.y FROM reach r JOIN both_ways e ON e.x = r.b)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(least_of, d.doc_id) AS component_id
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN (SELECT a, min(b) AS least_of FROM reach GROUP BY 1) r ON r.a = d.doc_id"""
+
+_DOT = "list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
+#: All pairs of vectors by cosine, and all that can be reached.
+VECTOR_LINKS = f"""WITH RECURSIVE v AS (SELECT vec_id, embedding, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings),
+link AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id <> b.vec_id AND a.n > 0 AND b.n > 0 WHERE {_DOT} / (a.n * b.n) >= {embedding_dedup.THRESHOLD}),
+reach AS (SELECT x AS a, x AS b FROM link UNION SELECT r.a, e.y FROM reach r JOIN link e ON e.x = r.b)
+SELECT vec_id, (SELECT count(*) FROM link WHERE x = vec_id)::BIGINT AS n_links, coalesce((SELECT min(b) FROM reach WHERE a = vec_id), vec_id) AS component_id,
+       coalesce((SELECT min(b) FROM reach WHERE a = vec_id), vec_id) = vec_id AS kept FROM embeddings"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": line_dedup.ORACLE}
+    return {"op2_line_dedup": line_dedup.ORACLE, "op3_substring_dedup": REPEATS, "op4_ngram_jaccard": LINKS, "op10_embedding_dedup": VECTOR_LINKS}

@@ -127,7 +127,7 @@ def test_line_dedup(docs, empty):
     where, first = {}, {}
     for d, t in texts.items():
         for p, line in enumerate((t or "").split("\n") if t is not None else []):
-            if len(line.strip(" ")) >= line_dedup.MIN_CHARS:
+            if line.strip(" \t\n\x0b\f\r"):
                 where.setdefault(line.strip(" "), set()).add(site[d])
                 first.setdefault(line.strip(" "), (d, p))
     got = {r["doc_id"]: (r["text"], r["lines_removed"]) for r in line_dedup.remove_lines(df).select("doc_id", "text", "lines_removed").collect()}
