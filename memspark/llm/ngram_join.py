@@ -16,7 +16,8 @@ Two documents link if their sets of ``N`` -word shingles have a Jaccard similari
    shingles are in one set only. What passes is verified once, on whole sets.
 5. On shingles whose documents are in several components still, blocks of documents are held
    against each other by the same filters, and only pairs that pass leave the task: first
-   each document's closest partner in each other component, then all that are still apart.
+   each document's closest partner in each other component, then, by longer bitmaps, all of
+   these documents that are still apart.
 6. Links join to components.
 
 Shingles are 64-bit hashes.
@@ -51,6 +52,8 @@ RANGE_CHARS = 24_000_000
 _SHARED = 0xFFFF
 #: Bits of a parity bitmap to a shingle, and bits at most.
 BITS, MOST_BITS = 2, 4096
+#: The same of the bitmaps for what the first ones leave.
+FINE_BITS, MOST_FINE_BITS = 8, 65536
 #: Documents of one shingle that are held against others at a time.
 BLOCK = 256
 #: Ids of documents that are broadcast at most; beyond that many, texts are shuffled to them.
@@ -162,9 +165,9 @@ def _least_shared(a: str, b: str, percent: int):
     return F.ceil((F.col(a) + F.col(b)) * percent / (100 + percent) - 1e-9)
 
 
-def parities(s: np.ndarray) -> bytes:
+def parities(s: np.ndarray, each: int = BITS, most: int = MOST_BITS) -> bytes:
     """For each bit of a bitmap (its length a power of two, by the set's size), whether an odd number of shingles falls on it."""
-    bits = min(MOST_BITS, max(64, 1 << (BITS * len(s) - 1).bit_length()))
+    bits = min(most, max(64, 1 << (each * len(s) - 1).bit_length()))
     odd = np.bincount((s >> np.uint64(32) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
@@ -256,38 +259,57 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return whole.mapInArrow(shared, "u long, v long").distinct()
 
 
-def _block_pairs(own: DataFrame, sets: DataFrame, percent: int, closest: bool) -> DataFrame:
+def _block_pairs(own: DataFrame, bitmaps: DataFrame, percent: int, closest: bool) -> DataFrame:
     """x < y (rows), distinct: documents of one prefix shingle and of different labels that pass all filters; of each document's partners in one component the closest alone, if ``closest``.
 
-    ``own``: h, row, size, pos, label. A shingle's documents are dealt into blocks, and pairs of blocks are work for many tasks.
+    ``own``: h, row, size, pos, label; ``bitmaps``: row, bitmap. A shingle's documents are dealt into blocks, and pairs of blocks are work for many tasks.
     """
     blocks = own.groupBy("h").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    held = own.join(blocks, "h").join(sets.select("row", "bitmap"), "row")
-    member = F.struct("row", "size", "pos", "label", "bitmap")
+    shared = own.groupBy("row").agg(F.collect_set("h").alias("on"))
+    held = own.join(blocks, "h").join(bitmaps, "row").join(shared, "row")
+    member = F.struct("row", "size", "pos", "label", "bitmap", "on")
     dealt = held.groupBy("h", "blocks", F.pmod(F.xxhash64("row"), F.col("blocks")).alias("k")).agg(F.collect_list(member).alias("p"))
     dealt = cut(dealt, "blocks")
     several = dealt.filter("blocks > 1")
-    pairs = several.join(several.select("h", F.col("k").alias("j"), F.col("p").alias("q")), "h").filter("k <= j").select("p", F.when(F.col("k") < F.col("j"), F.col("q")).alias("q"))
-    pairs = dealt.filter("blocks = 1").select("p", F.lit(None).cast(dealt.schema["p"].dataType).alias("q")).union(pairs)
+    pairs = several.join(several.select("h", F.col("k").alias("j"), F.col("p").alias("q")), "h").filter("k <= j").select("h", "p", F.when(F.col("k") < F.col("j"), F.col("q")).alias("q"))
+    pairs = dealt.filter("blocks = 1").select("h", "p", F.lit(None).cast(dealt.schema["p"].dataType).alias("q")).union(pairs)
 
     def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for p, q in zip(batch.column("p"), batch.column("q")):
+            for h, p, q in zip(batch.column("h").to_pylist(), batch.column("p"), batch.column("q")):
                 p = _columns(p.values)
-                x, y = _near(p, _columns(q.values) if q.is_valid else p, percent, closest)
+                x, y = _near(h, p, _columns(q.values) if q.is_valid else p, percent, closest)
                 if len(x):
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["x", "y"])
 
     return pairs.mapInArrow(within, "x long, y long").distinct()
 
 
+def _apart_still(spread: DataFrame, labels: DataFrame) -> DataFrame:
+    """h, row, size, pos, label of the prefix shingles whose documents are in several components."""
+    own = spread.join(labels, spread["doc"] == labels["node"], "left").select("h", "row", "size", "pos", F.coalesce("label", "doc").alias("label"))
+    mixed = own.groupBy("h").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
+    return cut(own.join(cut(mixed.select("h"), "mixed"), "h", "left_semi"), "apart")
+
+
+def _fine_bitmaps(sets: DataFrame) -> DataFrame:
+    """row and a longer bitmap of each set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            maps = [parities(v.values.to_numpy(zero_copy_only=False).view(np.uint64), FINE_BITS, MOST_FINE_BITS) for v in batch.column("shingles")]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(maps, pa.binary())], ["row", "bitmap"])
+
+    return sets.select("row", "shingles").mapInArrow(run, "row long, bitmap binary")
+
+
 def _columns(members: pa.StructArray) -> dict:
     numbers = {c: members.field(c).to_numpy(zero_copy_only=False) for c in ("row", "size", "pos", "label")}
-    return numbers | {"bitmap": members.field("bitmap").to_pylist()}
+    return numbers | {"bitmap": members.field("bitmap").to_pylist(), "on": [set(x) for x in members.field("on").to_pylist()]}
 
 
-def _near(p: dict, q: dict, percent: int, closest: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of ``p`` and rows of ``q`` that pass the filters and have different labels."""
+def _near(h: int, p: dict, q: dict, percent: int, closest: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of ``p`` and rows of ``q`` that pass the filters, have different labels, and share no shingle (on) before ``h``: each pair is one shingle's."""
     if p["label"].min() == p["label"].max() == q["label"].min() == q["label"].max():
         return p["row"][:0], p["row"][:0]
     i, j = np.nonzero(p["label"][:, None] != q["label"][None, :])
@@ -313,6 +335,8 @@ def _near(p: dict, q: dict, percent: int, closest: bool) -> tuple[np.ndarray, np
             apart[at[s : s + 4096]] = np.bitwise_count(x ^ y).sum(1)
     passed = both - apart >= 2 * need
     i, j, apart = i[passed], j[passed], apart[passed]
+    here = np.fromiter((min(p["on"][x] & q["on"][y]) == h for x, y in zip(i.tolist(), j.tolist())), bool, len(i))
+    i, j, apart = i[here], j[here], apart[here]
     if closest:
         first = np.zeros(len(i), bool)
         for end, label in ((i, q["label"][j]), (j, p["label"][i])):
@@ -346,18 +370,25 @@ def link(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     spread = cut(prefixes(sets, percent), "spread")
     tried = cut(_by_bitmaps(_pairs_on_leaders(spread, percent), sets, percent), "tried")
     links = verify(tried, sets, percent)
-    for closest in (True, False):
-        labels = cut(components(cut(links.union(ties), "links")), "labels")
-        own = spread.join(labels, spread["doc"] == labels["node"], "left").select("h", "row", "size", "pos", F.coalesce("label", "doc").alias("label"))
-        mixed = own.groupBy("h").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
-        own = cut(own.join(cut(mixed.select("h"), "mixed"), "h", "left_semi"), "apart")
-        pairs = cut(_block_pairs(own, sets, percent, closest).join(tried, ["x", "y"], "left_anti"), "pairs")
-        links = labels.select(F.col("node").alias("u"), F.col("label").alias("v")).union(verify(pairs, sets, percent))
-        tried = tried.union(pairs)
-    labels = components(cut(links, "links"))
+    labels = cut(components(cut(links.union(ties), "links")), "labels")
+
+    def widened(labels: DataFrame, found: DataFrame) -> DataFrame:
+        more = labels.select(F.col("node").alias("u"), F.col("label").alias("v")).union(verify(found, sets, percent))
+        return cut(components(cut(more, "links")), "labels")
+
+    near = cut(_block_pairs(_apart_still(spread, labels), sets.select("row", "bitmap"), percent, True), "near")
+    pairs = cut(near.join(tried, ["x", "y"], "left_anti"), "pairs")
+    labels = widened(labels, pairs)
+    # Whatever links still has been near something of another component before.
+    ends = cut(near.select(F.explode(F.array("x", "y")).alias("row")).distinct(), "ends")
+    left = _apart_still(spread.join(ends, "row", "left_semi"), labels)
+    rest = _block_pairs(left, cut(_fine_bitmaps(sets.join(ends, "row", "left_semi")), "fine"), percent, False)
+    labels = widened(labels, cut(rest.join(tried.union(pairs), ["x", "y"], "left_anti"), "rest"))
 
     named = classes.join(labels, F.col("rep") == F.col("node"), "left").select("a", "b", "size", F.coalesce("label", "rep").alias("least"))
-    by_doc = alive.join(cut(named, "named"), ["a", "b", "size"]).groupBy("doc").agg(F.min("least").alias("least"))
+    named = cut(named, "named")
+    drop(sets, spread, tried, near, pairs)
+    by_doc = alive.join(named, ["a", "b", "size"]).groupBy("doc").agg(F.min("least").alias("least"))
     component = F.when(F.col("doc").isNotNull(), F.coalesce("least", "doc"))
     return kept.join(by_doc, "doc", "left").select(F.col("doc").alias("doc_id"), F.col("size").alias("n_shingles"), component.alias("component_id"))
 
