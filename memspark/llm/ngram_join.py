@@ -45,7 +45,7 @@ from memspark.llm.shingles import WordHashes, shingle_set, words_of
 N, PERCENT = 5, 75
 LEADERS = 3
 #: Documents whose shingles are packed together: so many characters, and so many rows at most.
-BATCH_CHARS, BATCH_ROWS = 8_000_000, 60_000
+BATCH_CHARS, BATCH_ROWS = 3_000_000, 60_000
 #: Characters of text to a range of the hash space.
 RANGE_CHARS = 24_000_000
 #: Owner of a packed shingle that several documents of its batch have.

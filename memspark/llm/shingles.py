@@ -12,7 +12,7 @@ _BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 class WordHashes(dict):
     """Words (bytes) to 64-bit hashes; emptied when ``most`` have been met."""
 
-    most = 800_000
+    most = 400_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.most:
