@@ -305,7 +305,13 @@ def _fine_bitmaps(sets: DataFrame) -> DataFrame:
 
 def _columns(members: pa.StructArray) -> dict:
     numbers = {c: members.field(c).to_numpy(zero_copy_only=False) for c in ("row", "size", "pos", "label")}
-    return numbers | {"bitmap": members.field("bitmap").to_pylist(), "on": [set(x) for x in members.field("on").to_pylist()]}
+    return numbers | {"bitmap": members.field("bitmap").to_pylist(), "on": members.field("on")}
+
+
+def _first_shared(p: dict, q: dict, i: np.ndarray, j: np.ndarray) -> Iterator[int]:
+    """The least shingle that members ``i`` of ``p`` and ``j`` of ``q`` are both found on."""
+    sets = [{k: set(side["on"][k].as_py()) for k in np.unique(ends).tolist()} for side, ends in ((p, i), (q, j))]
+    return (min(sets[0][x] & sets[1][y]) for x, y in zip(i.tolist(), j.tolist()))
 
 
 def _near(h: int, p: dict, q: dict, percent: int, closest: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -335,7 +341,7 @@ def _near(h: int, p: dict, q: dict, percent: int, closest: bool) -> tuple[np.nda
             apart[at[s : s + 4096]] = np.bitwise_count(x ^ y).sum(1)
     passed = both - apart >= 2 * need
     i, j, apart = i[passed], j[passed], apart[passed]
-    here = np.fromiter((min(p["on"][x] & q["on"][y]) == h for x, y in zip(i.tolist(), j.tolist())), bool, len(i))
+    here = np.fromiter(_first_shared(p, q, i, j), np.int64, len(i)) == h
     i, j, apart = i[here], j[here], apart[here]
     if closest:
         first = np.zeros(len(i), bool)
