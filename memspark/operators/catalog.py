@@ -61,5 +61,7 @@ def audit_log(before: DataFrame, after: DataFrame, as_of: Column) -> DataFrame:
     return rows.select(F.substring(F.sha2(F.concat_ws("|", "memory_id", "operation", as_of.cast("string")), 256), 1, 32).alias("log_id"), "memory_id", "user_id", "operation", details.alias("details"), as_of.alias("created_at"))
 
 
-def audit_trail(log: DataFrame, memory_id: str) -> DataFrame:
-    return log.filter(F.col("memory_id") == memory_id).orderBy("created_at", "log_id")
+def audit_trail(log: DataFrame, memory_id: str | None = None) -> DataFrame:
+    """What happened to one memory, oldest first, or to each of them; ``place`` counts from 1 within a memory."""
+    place = F.row_number().over(Window.partitionBy("memory_id").orderBy("created_at", "log_id"))
+    return log.withColumn("place", place) if memory_id is None else log.filter(F.col("memory_id") == memory_id).withColumn("place", place).orderBy("place")

@@ -23,7 +23,7 @@ def promote(memories: DataFrame, as_of: Column, d: Defaults = DEFAULTS) -> DataF
     out = memories.withColumn("promoted", F.coalesce(promotable(d), F.lit(False)))
     out = out.withColumn("memory_layer", F.when(F.col("promoted"), "semantic").otherwise(F.col("memory_layer"))).withColumn("updated_at", F.when(F.col("promoted"), as_of).otherwise(F.col("updated_at")))
     if "metadata" in memories.columns:
-        held = F.map_filter("metadata", lambda k, v: ~k.isin("promoted_from_episodic", "promoted_at"))
+        held = F.map_filter(F.coalesce("metadata", F.create_map().cast("map<string,string>")), lambda k, v: ~k.isin("promoted_from_episodic", "promoted_at"))
         stamp = F.create_map(F.lit("promoted_from_episodic"), F.lit("true"), F.lit("promoted_at"), as_of.cast("string"))
         out = out.withColumn("metadata", F.when(F.col("promoted"), F.map_concat(held, stamp)).otherwise(F.col("metadata")))
     return out

@@ -35,6 +35,6 @@ def ingest(observations: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame
 
 
 def ingest_summary(valid: DataFrame, rejected: DataFrame) -> DataFrame:
-    """ingested and failed, in one row."""
+    """ingested and failed, in one row. The ids are the memory_id column of ``valid``; they grow with the batch, so they are not gathered into the row."""
     both = valid.select(F.lit(1).alias("ok")).union(rejected.select(F.lit(0).alias("ok")))
     return both.agg(F.coalesce(F.sum("ok"), F.lit(0)).alias("ingested"), F.coalesce(F.sum(1 - F.col("ok")), F.lit(0)).alias("failed"))

@@ -222,6 +222,12 @@ due AS (SELECT user_id, namespace, list(memory_id ORDER BY place) AS ids, string
         "facts_of_user": "SELECT 'u' || (c_custkey % 10) AS user_id, 'f' || c_custkey AS fact_id, c_name AS subject, 'lives_in' AS predicate, n_name AS object, 1.0::DOUBLE AS confidence FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 5 <> 0",
         "operation_log": f"{m} SELECT memory_id, user_id, CASE WHEN doc_id % 29 = 0 THEN 'create' WHEN doc_id % 13 = 0 THEN 'delete' ELSE 'update' END AS operation FROM memories WHERE doc_id % 29 = 0 OR doc_id % 13 = 0 OR doc_id % 31 = 0",
         "promote": f"{m}, p AS (SELECT *, status = 'active' AND memory_layer = 'episodic' AND access_count >= 3 AND importance_score >= 0.45 AS promoted FROM memories) SELECT memory_id, CASE WHEN promoted THEN 'semantic' ELSE memory_layer END AS memory_layer, promoted FROM p",
+        "audit_trail": f"""{m}, log AS (SELECT memory_id, 1 AS hour, CASE WHEN doc_id % 29 = 0 THEN 'create' WHEN doc_id % 13 = 0 THEN 'delete' ELSE 'update' END AS operation FROM memories WHERE doc_id % 29 = 0 OR doc_id % 13 = 0 OR doc_id % 31 = 0
+UNION ALL SELECT memory_id, 2, 'update' FROM memories WHERE doc_id % 11 = 0)
+SELECT memory_id, CAST(row_number() OVER (PARTITION BY memory_id ORDER BY hour) AS INTEGER) AS place, operation FROM log""",
+        "promote_metadata": f"""{m}, p AS (SELECT *, doc_id % 3 AS k, status = 'active' AND memory_layer = 'episodic' AND access_count >= 3 AND importance_score >= 0.45 AS promoted FROM memories)
+SELECT memory_id, CASE WHEN k > 0 THEN memory_type END AS topic, CASE WHEN promoted THEN 'true' END AS stamp, CASE WHEN promoted THEN false WHEN k = 2 THEN true END AS old,
+       CAST(CASE WHEN promoted AND k > 0 THEN 3 WHEN promoted THEN 2 WHEN k > 0 THEN k END AS INTEGER) AS entries FROM p""",
         "near_duplicate_pairs": f"""{ml}, {_TEXT_VECTORS}, own AS (SELECT memory_id, doc_id, user_id FROM memories WHERE status = 'active' AND memory_layer = 'semantic'),
 v AS (SELECT doc_id, memory_id, user_id, bucket, s / n AS s FROM own JOIN tv_sums USING (doc_id) JOIN tv_norm USING (doc_id) WHERE n > 0),
 dots AS (SELECT x.user_id, x.memory_id AS a, y.memory_id AS b, sum(x.s * y.s) AS score FROM v x JOIN v y ON x.user_id = y.user_id AND x.bucket = y.bucket AND x.memory_id < y.memory_id GROUP BY ALL)
@@ -272,6 +278,13 @@ SELECT tp, fp, fn, tn, round(p, 6) AS precision, round(r, 6) AS recall, round(CA
         "eval_update": _matched() + "SELECT count(*) AS cases, round(avg(CASE WHEN coalesce(action, 'update') = CASE WHEN vec_id % 3 = 0 THEN 'create' ELSE 'update' END THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM matched",
         "stream_ingest": f"WITH o AS (SELECT 'u' || user_id AS user_id, event_type || ' ' || props AS content FROM events) SELECT user_id, count(*) AS n, round(sum({_importance('content')}), 4) AS importance FROM o GROUP BY 1",
         "stream_reflection_trigger": "SELECT 'u' || user_id AS user_id, 'user:u' || user_id AS namespace, unnest(range(10, count(*) + 1, 10)) AS n FROM events GROUP BY user_id",
+        "stream_sessions": """WITH e AS (SELECT *, event_id % 3 = 0 AS tool, row_number() OVER (PARTITION BY user_id, event_id % 3 = 0 ORDER BY event_id DESC) AS k FROM events)
+SELECT 'u' || user_id AS session_id, count(*) AS n_events, CAST(count(*) FILTER (NOT tool) AS INTEGER) AS n_turns, md5(coalesce(string_agg(event_type || ':' || props, chr(10) ORDER BY event_id) FILTER (NOT tool), '')) AS turns_md5,
+       coalesce(string_agg(event_type || ':' || props, chr(10) ORDER BY event_id) FILTER (tool AND k <= 20), '') AS outputs FROM e GROUP BY user_id""",
+        "eval_queries": """WITH q AS (SELECT printf('b%012d', item_id) AS query_id, text FROM benchmark UNION ALL SELECT printf('c%012d.%06d', conv_id, turn), text FROM conversations),
+k AS (SELECT *, row_number() OVER (PARTITION BY text ORDER BY query_id) AS k FROM q) SELECT query_id, md5(text) AS text_md5 FROM k WHERE k = 1""",
+        "eval_saved": """SELECT 'update' AS eval_name, run_id, count(*) AS cases, round(avg(CASE WHEN event_type = guess THEN 1.0 ELSE 0.0 END), 6) AS accuracy, guess, 2 AS settings
+FROM events, (VALUES ('r1', 'click'), ('r2', 'view')) g (run_id, guess) GROUP BY run_id, guess""",
         "embed_seeded": "SELECT doc_id, 1.0::DOUBLE AS norm, 64 AS dim FROM documents",
         "vector_cosine": "SELECT a.vec_id, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]))), 6) AS cosine, round(a.embedding[1]::DOUBLE / sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])), 6) AS first FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1",
         "text_jaccard": f"WITH w AS (SELECT doc_id, {_words('text')} AS w FROM documents) SELECT a.doc_id, round(CASE WHEN len(a.w) = 0 OR len(b.w) = 0 THEN 0.0 ELSE len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)))::DOUBLE END, 6) AS jaccard FROM w a JOIN w b ON b.doc_id = a.doc_id + 1",

@@ -114,6 +114,25 @@ def promote(spark: SparkSession, sf_dir: str) -> DataFrame:
     return consolidate.promote(X.memories(spark, sf_dir), X.as_of(), d).select("memory_id", "memory_layer", "promoted")
 
 
+def audit_trail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Creations, deletions and accesses of one hour, and new versions of the next."""
+    m = X.memories(spark, sf_dir)
+    before, n = m.filter("doc_id % 29 <> 0"), F.col("doc_id")
+    middle = catalog.soft_delete(m, m.filter("doc_id % 13 = 0").select("memory_id"), X.as_of()).withColumn("access_count", F.col("access_count") + F.when(n % 31 == 0, 1).otherwise(0))
+    after = middle.withColumn("status", F.when(n % 11 == 0, "archived").otherwise(F.col("status")))
+    log = catalog.audit_log(before, middle, X.as_of()).unionByName(catalog.audit_log(middle, after, X.as_of() + F.expr("INTERVAL 1 HOUR")))
+    return catalog.audit_trail(log).select("memory_id", "place", "operation")
+
+
+def promote_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Promotion stamps metadata, whether there is none, some, or an older stamp."""
+    topic = (F.lit("topic"), F.col("memory_type"))
+    held = F.when(F.col("doc_id") % 3 == 1, F.create_map(*topic)).when(F.col("doc_id") % 3 == 2, F.create_map(*topic, F.lit("promoted_at"), F.lit("old")))
+    out = consolidate.promote(X.memories(spark, sf_dir).withColumn("metadata", held), X.as_of(), Defaults(promote_importance=0.45))
+    at = lambda k: F.col("metadata")[k]
+    return out.select("memory_id", at("topic").alias("topic"), at("promoted_from_episodic").alias("stamp"), (at("promoted_at") == "old").alias("old"), F.size("metadata").alias("entries"))
+
+
 def near_duplicate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return consolidate.near_duplicate_pairs(X.memories(spark, sf_dir, "lang"), tables.materialise(X.text_vectors(spark, sf_dir), "vectors")).select("user_id", "a", "b", F.round("score", 5).alias("score"))
 
@@ -275,6 +294,23 @@ def eval_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.update_accuracy(cases).select("cases", F.round("accuracy", 6).alias("accuracy"))
 
 
+def eval_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole benchmark texts and first turns as questions; the first of each text stays, the benchmark's before the turns."""
+    asked = X.table(spark, sf_dir, "benchmark").select(F.concat(F.lit("b"), F.format_string("%012d", "item_id")).alias("query_id"), F.col("text").alias("query_text"))
+    harder = X.table(spark, sf_dir, "conversations").select(F.concat(F.lit("c"), F.format_string("%012d.%06d", F.col("conv_id"), F.col("turn"))).alias("query_id"), F.col("text").alias("query_text"))
+    return evaluate.first_of_text(asked.unionByName(harder), "query_id").select("query_id", F.md5(F.col("query_text").cast("binary")).alias("text_md5"))
+
+
+def eval_saved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs appended to the table of evaluations, and read back."""
+    path = f"{tables.new_folder(spark, 'evals')}/table"
+    for run, kind in (("r1", "click"), ("r2", "view")):
+        cases = X.table(spark, sf_dir, "events").select(F.lit(kind).alias("action"), F.col("event_type").alias("expected_action"))
+        evaluate.eval_row(evaluate.update_accuracy(cases), "update", run, {"guess": kind, "k": "5"}, X.as_of()).write.mode("append").parquet(path)
+    metric = lambda name, kind: F.get_json_object("metrics", f"$.{name}").cast(kind)
+    return spark.read.parquet(path).select("eval_name", "run_id", metric("cases", "long").alias("cases"), F.round(metric("accuracy", "double"), 6).alias("accuracy"), F.col("config")["guess"].alias("guess"), F.size("config").alias("settings"))
+
+
 def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet" if name == "events" else "*.parquet").parquet(sf_dir if name == "events" else f"{sf_dir}/{name}.parquet")
@@ -307,7 +343,10 @@ def stream_reflection_trigger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = _stream(spark, sf_dir, "events").select(F.concat(F.lit("u"), F.col("user_id")).alias("session_id"), F.col("event_id").alias("seq"), F.when(F.col("event_id") % 3 == 0, "tool").otherwise("turn").alias("kind"), F.col("event_type").alias("role_or_tool"), F.col("props").alias("content"))
-    return _drain(spark, jobs.session_memory(events, idle=None), "stream-sessions", "update")
+    updates = _drain(spark, jobs.session_memory(events, idle=None), "stream-sessions", "update")
+    last = updates.groupBy("session_id").agg(F.max_by(F.struct("turns", "tool_outputs"), "n_events").alias("s"), F.max("n_events").alias("n_events"))
+    joined = lambda c, a, b: F.array_join(F.transform(c, lambda x: F.concat(x[a], F.lit(":"), x[b])), "\n")
+    return last.select("session_id", "n_events", F.size("s.turns").alias("n_turns"), F.md5(joined("s.turns", "role", "content").cast("binary")).alias("turns_md5"), joined("s.tool_outputs", "tool", "output").alias("outputs"))
 
 
 def embed_seeded(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -336,9 +375,9 @@ def classify_reply(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     retrieve_topk, retrieve_full, context_window, score_recency, score_importance, score_composite, lexical_score, ingest_memories, ingest_rejects, ingest_summary, list_memories, user_stats, facts_of_user,
-    operation_log, promote, near_duplicate_pairs, merge_similar, consolidation_summary, contradiction_candidates, contradiction_judge, contradiction_apply, contradiction_resolve, contradiction_list, update_match,
+    operation_log, audit_trail, promote, promote_metadata, near_duplicate_pairs, merge_similar, consolidation_summary, contradiction_candidates, contradiction_judge, contradiction_apply, contradiction_resolve, contradiction_list, update_match,
     update_apply, reflection_due, reflection_input, reflection_store, graph_related, version_chain, access_feedback, session_memory, vector_upsert, eval_retrieval, eval_retrieval_summary, eval_contradiction,
-    eval_update, stream_ingest, stream_reflection_trigger, stream_sessions, embed_seeded, vector_cosine, text_jaccard, classify_reply,
+    eval_update, eval_queries, eval_saved, stream_ingest, stream_reflection_trigger, stream_sessions, embed_seeded, vector_cosine, text_jaccard, classify_reply,
 ]
 
 

@@ -35,9 +35,11 @@ def reflection_triggers(memories: DataFrame, every: int = DEFAULTS.reflect_every
 
 
 def session_memory(events: DataFrame, tool_outputs: int = DEFAULTS.tool_outputs, idle: str | None = "1 hour") -> DataFrame:
-    """session_id, turns, tool_outputs, last_tool: the session after each micro-batch that touches it. The state holds the last tool outputs; it goes after ``idle``.
+    """session_id, n_events, turns (role, content) and tool_outputs (tool, output): the session after each micro-batch that touches it.
 
-    A job that drains its source and ends (availableNow) takes None: waiting for idle sessions it would not end.
+    Turns are all kept, in order of seq within a micro-batch; of tool outputs the last ones. The state goes after ``idle``, so it
+    is bounded by what a session says before it falls silent. The row with the most events is a session's latest. A job that
+    drains its source and ends (availableNow) takes None: waiting for idle sessions it would not end.
     """
     milliseconds = int(pd.Timedelta(idle).total_seconds() * 1000) if idle else 0
 
@@ -45,14 +47,19 @@ def session_memory(events: DataFrame, tool_outputs: int = DEFAULTS.tool_outputs,
         if state.hasTimedOut:
             state.remove()
             return
-        turns, tools, outputs = (state.get[0], list(state.get[1]), list(state.get[2])) if state.exists else (0, [], [])
+        n, roles, said, tools, outputs = (state.get[0], *map(list, state.get[1:])) if state.exists else (0, [], [], [], [])
         rows = pd.concat(list(frames)).sort_values("seq", kind="stable")
-        turns += int((rows["kind"] == "turn").sum())
-        own = rows[rows["kind"] == "tool"]
+        turns, own = rows[rows["kind"] == "turn"], rows[rows["kind"] == "tool"]
+        n += len(rows)
+        roles, said = roles + turns["role_or_tool"].tolist(), said + turns["content"].tolist()
         tools, outputs = (tools + own["role_or_tool"].tolist())[-tool_outputs:], (outputs + own["content"].tolist())[-tool_outputs:]
-        state.update((turns, tools, outputs))
+        state.update((n, roles, said, tools, outputs))
         if milliseconds:
             state.setTimeoutDuration(milliseconds)
-        yield pd.DataFrame({"session_id": [key[0]], "turns": [turns], "tool_outputs": [len(tools)], "last_tool": [outputs[-1] if outputs else None]})
+        pairs = lambda a, b, x, y: [{a: i, b: j} for i, j in zip(x, y)]
+        yield pd.DataFrame({"session_id": [key[0]], "n_events": [n], "turns": [pairs("role", "content", roles, said)], "tool_outputs": [pairs("tool", "output", tools, outputs)]})
 
-    return events.groupBy("session_id").applyInPandasWithState(fold, "session_id string, turns long, tool_outputs long, last_tool string", "turns long, tools array<string>, outputs array<string>", "update", GroupStateTimeout.ProcessingTimeTimeout if milliseconds else GroupStateTimeout.NoTimeout)
+    found = "session_id string, n_events long, turns array<struct<role:string,content:string>>, tool_outputs array<struct<tool:string,output:string>>"
+    kept = "n long, roles array<string>, said array<string>, tools array<string>, outputs array<string>"
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if milliseconds else GroupStateTimeout.NoTimeout
+    return events.groupBy("session_id").applyInPandasWithState(fold, found, kept, "update", timeout)

@@ -265,5 +265,19 @@ def test_streams(spark, tmp_path):
     assert sorted(r["n"] for r in spark.table("due").collect()) == [10, 20]
 
 
+def test_session_memory_over_several_batches(spark, tmp_path):
+    """The state carries turns and the last tool outputs from batch to batch; the latest row is that of the whole session."""
+    schema = "session_id string, seq long, kind string, role_or_tool string, content string"
+    rows = [("s", i, "tool" if i % 2 else "turn", f"r{i}", f"c{i}" if i != 4 else None) for i in range(10)] + [("t", 0, "tool", "x", "")]
+    for part in (rows[:6], rows[6:]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    jobs.session_memory(stream, 2, None).writeStream.format("memory").queryName("sessions").outputMode("update").trigger(availableNow=True).option("checkpointLocation", f"{tmp_path}/s").start().awaitTermination()
+    got = {r["session_id"]: r for r in spark.table("sessions").orderBy("n_events").collect()}
+    assert got["s"]["n_events"] == 10 and got["t"]["turns"] == []
+    assert sorted((t["role"], t["content"] or "") for t in got["s"]["turns"]) == [("r0", "c0"), ("r2", "c2"), ("r4", ""), ("r6", "c6"), ("r8", "c8")]
+    assert len(got["s"]["tool_outputs"]) == 2 and [tuple(t) for t in got["t"]["tool_outputs"]] == [("x", "")]
+
+
 def test_defaults():
     assert DEFAULTS.weight_semantic + DEFAULTS.weight_recency + DEFAULTS.weight_importance + DEFAULTS.weight_access == pytest.approx(1)
