@@ -66,6 +66,30 @@ def test_substring_dedup(docs, empty):
     assert left.filter("doc_id = 0").first()["text"] is None
 
 
+def test_seeds_are_extended_over_blocks_and_contexts(spark):
+    """Passages in many contexts, within a document, over block edges, in documents of several blocks and near the end."""
+    rng = random.Random(5)
+    phrases = [[f"w{rng.randrange(40)}" for _ in range(rng.choice([6, 12, 25, 60, 400]))] for _ in range(25)]
+    rows, seen, want = [], set(), {}
+    for d in range(60):
+        words = []
+        for _ in range(rng.randrange(14)):
+            words += rng.choice(phrases)[rng.randrange(3) :]
+            if rng.random() < 0.4:
+                words[rng.randrange(len(words))] = f"x{rng.randrange(5)}"
+        rows.append((d, "\t ".join(words)))
+        gone = set()
+        for p in range(len(words) - 19):
+            k = tuple(words[p : p + 20])
+            gone.update(range(p, p + 20) if k in seen else ())
+            seen.add(k)
+        want[d] = (len(words), len(gone), " ".join(x for i, x in enumerate(words) if i not in gone))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept"]) for r in substring_dedup.repeats(df).collect()}
+    assert got == want
+    assert max(n for n, _, _ in want.values()) > 3 * substring_dedup.BLOCK and any(0 < g < n for n, g, _ in want.values())
+
+
 def test_repeated_rows_and_null_ids(spark, docs):
     text = docs[1][5]
     df = spark.createDataFrame([(None, text), (None, None), (3, text), (3, text), (4, text)], "doc_id long, text string")
