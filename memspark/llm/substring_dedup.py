@@ -39,6 +39,8 @@ from memspark.llm.shingles import WordHashes, grams, words_of
 WINDOW, ANCHOR = 20, 8
 #: Words are handed to other documents by blocks of this many, and what their anchors' windows reach beyond.
 BLOCK = 256
+#: Texts are handled by parts of about this many characters.
+PART = 400_000
 #: Stands for a null doc_id.
 _FIRST = -(1 << 63)
 
@@ -56,6 +58,13 @@ def anchors_of(hashes: np.ndarray, window: int = WINDOW, anchor: int = ANCHOR) -
     return g[chosen[lo]], chosen[lo], lo, hi
 
 
+def _memo() -> WordHashes:
+    """A store of word hashes small enough for several workers of an executor."""
+    memo = WordHashes()
+    memo.most = 150_000
+    return memo
+
+
 def _doc(column: str) -> Column:
     return F.coalesce(F.col(column).cast("long"), F.lit(_FIRST))
 
@@ -87,9 +96,9 @@ def anchor_places(texts: DataFrame, key: list[str], window: int, anchor: int) ->
     """The columns of ``key``, an anchor's hash h, its place p, its windows lo to hi, and lead: first place in its document."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = WordHashes()
+        memo = _memo()
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", PART):
                 parts, at = [], []
                 for i, text in enumerate(part.column("text").to_pylist()):
                     h, p, lo, hi = anchors_of(memo.of(words_of(text)), window, anchor)
@@ -117,7 +126,7 @@ def pieces(texts: DataFrame, found: DataFrame, key: list[str], window: int) -> D
 
     def in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", PART):
                 at, b, text = [], [], []
                 for i, whole in enumerate(part.column("text").to_pylist()):
                     words = words_of(whole)
@@ -130,14 +139,15 @@ def pieces(texts: DataFrame, found: DataFrame, key: list[str], window: int) -> D
 
     def trim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            start, kept = [], []
-            for lo, hi, d, b, block in zip(*(batch.column(c).to_pylist() for c in ("lo", "hi", "d", "b", "words"))):
-                offset = max(0, b * BLOCK - window)
-                first = max(0, lo - d)
-                start.append(first + d)
-                kept.append(b" ".join(block.split()[first - offset : hi - d + window - offset]))
-            more = [pa.array(start, pa.int32()), pa.array(kept, pa.binary())]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (*key, "lo", "hi")), *more], [*key, "lo", "hi", "start", "words"])
+            for part in slices(batch, "words", PART):
+                start, kept = [], []
+                for lo, hi, d, b, block in zip(*(part.column(c).to_pylist() for c in ("lo", "hi", "d", "b", "words"))):
+                    offset = max(0, b * BLOCK - window)
+                    first = max(0, lo - d)
+                    start.append(first + d)
+                    kept.append(b" ".join(block.split()[first - offset : hi - d + window - offset]))
+                more = [pa.array(start, pa.int32()), pa.array(kept, pa.binary())]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in (*key, "lo", "hi")), *more], [*key, "lo", "hi", "start", "words"])
 
     first = [f"{c}0" for c in key]
     blocks = texts.select(*key, "text").mapInArrow(in_blocks, f"{_longs(first)}, b int, words binary")
@@ -161,9 +171,9 @@ def extended(texts: DataFrame, found: DataFrame, key: list[str], window: int) ->
     held = texts.join(gathered, key).select(*key, "text", "pieces")
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = WordHashes()
+        memo = _memo()
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", PART):
                 runs, hashes, places = [], [], []
                 for text, seeded in zip(part.column("text").to_pylist(), part.column("pieces").to_pylist()):
                     words = words_of(text)
@@ -226,7 +236,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> Data
         names = [*own, "kept", "n_words", "n_removed", "spans"]
         spans_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
         for batch in batches:
-            for part in slices(batch, text_at):
+            for part in slices(batch, text_at, PART):
                 kept, sizes, gone, spans = [], [], [], []
                 for text, runs, later, copy in zip(*(part.column(c).to_pylist() for c in (text_at, "again", "later", "copy"))):
                     words = words_of(text.encode() if text else None)
