@@ -88,7 +88,8 @@ def fit_scores(rows: np.ndarray, cols: np.ndarray, n_cols: int, y: np.ndarray, n
         g_theta = np.array([(d_hi[y == j + 1].sum() - d_lo[y == j].sum()) / n for j in range(k)])
         grad = np.concatenate([np.bincount(cols, g_x[rows], minlength=n_cols) + l2 * w, [g_theta.sum()], np.cumsum(g_theta[::-1])[::-1][1:] * gaps])
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
-        params = params - 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+        rate = 0.1 * min(1.0, 2 * (1 - t / steps))  # steps of one size would circle the optimum
+        params = params - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return params[:n_cols], params[n_cols] + np.concatenate([[0.0], np.cumsum(np.exp(params[n_cols + 1 :]))])
 
 
