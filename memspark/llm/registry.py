@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memspark.llm import binary_output, embedding_dedup, language_id, line_dedup, nearest, ngram_join, packing, sentencepiece_bpe, substring_dedup, toxicity
-from memspark.llm.common import read, vocabulary
+from memspark.llm import binary_output, embedding_dedup, language_id, line_dedup, nearest, ngram_join, packing, periodic_runs, sanitise, sentencepiece_bpe, substring_dedup, toxicity, whitening
+from memspark.llm.common import let, read, vocabulary
 from memspark.llm.tokens import Encoder
 
 
@@ -64,6 +64,42 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.link(read(spark, sf_dir, "embeddings"))
 
 
+def _with_periods(docs: DataFrame) -> DataFrame:
+    """doc_id and text, where a tenth of the texts goes on with a period from some word on, both drawn by the id."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g, words = F.floor(h / 10), F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+
+    def periodic(w: Column) -> Column:
+        n = F.size(w)
+        a = (g % n).cast("int")
+        p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+        tail = let(p, lambda p: let(a, lambda a: F.transform(F.sequence(a, n - 1), lambda i: w[a + (i - a) % p])))
+        return F.when(n > 0, F.array_join(F.concat(F.slice(w, 1, a), tail), " ")).otherwise(F.lit(""))
+
+    return docs.select("doc_id", F.when((h % 10 == 0) & F.col("text").isNotNull(), let(words, periodic)).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.find_runs(_with_periods(read(spark, sf_dir, "documents")))
+    best = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("l"), r["start"].alias("start"), r["period"].alias("period"))))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    found = found.withColumn("best", best)
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("best.start").alias("start"), (-F.col("best.l")).alias("length"), F.col("best.period").alias("period"),
+        F.floor(1000 * -F.col("best.l") / F.col("best.period")).cast("long").alias("exponent_milli"), F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read(spark, sf_dir, "embeddings"))
+
+
+def op13_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sanitise.find_private(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [F.size(kind).cast("long").alias(f"n_{kind}") for kind in (*sanitise.BASE, "term")]
+    return found.select(F.col("row.c0").alias("doc_id"), *counts, F.sha2(sanitise.listed(sanitise.BASE), 256).alias("base_sha256"), sanitise.listed((*sanitise.BASE, "term")).alias("spans"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
