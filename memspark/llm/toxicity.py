@@ -4,18 +4,24 @@ P(grade > k) = logistic(w.x - t_k): one weight vector for all grades, and rising
 Features are the distinct words of the whole text (letters only, lower case), hashed; those
 whose presence goes with the grade are kept. Expected severity is the mean grade under the
 model. Fitting uses at most ``per_grade`` labelled documents of each grade, chosen by a hash of
-the id; prediction reads every document.
+the id, and all of them count: near copies (equal least hashes of five-word shingles) share the
+weight of one document, so that their words aren't taken for those of many. Prediction reads
+every document. The model doesn't depend on the order of rows.
 
 Defined cases: a null or empty text has no features and gets the model's base severity;
-labels that are null are not used; with no labels severity is null, with labels of one grade it
-is that grade, and nothing is rejected; rows that share a doc_id are scored one by one; an
-empty table gives no rows; further columns are kept by ``filter_toxic``, ignored by ``score``.
+labels that are null are not used, and repeated ones count once; an id with several grades is
+fitted with each; with no labels severity is null, with labels of one grade it is that grade, and
+nothing is rejected; of documents that share a doc_id one is fitted (that of the least features), and all are
+scored one by one; of equally likely grades the lower one is given; very long texts are read
+whole; an empty table gives no rows; further columns are kept by ``filter_toxic``, ignored by ``score``.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,6 +39,8 @@ BUCKETS = 1 << 18
 LEAST_DOCS, LEAST_Z = 3, 4.0
 MOST_GRADES = 32
 REJECT_FROM = 0.5
+#: Near copies agree in so many least hashes of shingles of so many words.
+SKETCH, SHINGLE = 4, 5
 
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 
@@ -46,7 +54,7 @@ def feature(token: str) -> int:
 class _Memo(dict):
     """Tokens to what ``make`` gives for them; emptied when ``most`` have been met."""
 
-    def __init__(self, make, most: int = 800_000):
+    def __init__(self, make, most: int = 200_000):
         super().__init__()
         self.make, self.most = make, most
 
@@ -68,10 +76,11 @@ class SeverityModel:
         return 1 / (1 + np.exp(-np.clip(x[:, None] - np.array(self.thresholds)[None, :], -500, 500)))
 
 
-def fit_scores(rows: np.ndarray, cols: np.ndarray, n_cols: int, y: np.ndarray, n_grades: int, steps: int = 400, l2: float = 2e-4) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and rising thresholds by gradient steps (Adam); y holds ranks 0 .. n_grades - 1. The first threshold is free, each next one adds exp(d)."""
+def fit_scores(rows: np.ndarray, cols: np.ndarray, n_cols: int, y: np.ndarray, n_grades: int, steps: int = 400, l2: float = 2e-4, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and rising thresholds by gradient steps (Adam); y holds ranks 0 .. n_grades - 1, counts how much each row counts. The first threshold is free, each next one adds exp(d)."""
     n, k = len(y), n_grades - 1
-    above = np.array([(y > j).mean() for j in range(k)]).clip(0.5 / n, 1 - 0.5 / n)
+    part = np.full(n, 1 / n) if counts is None else counts / counts.sum()
+    above = np.array([part[y > j].sum() for j in range(k)]).clip(0.5 / n, 1 - 0.5 / n)
     start = -np.log(above / (1 - above))
     params = np.concatenate([np.zeros(n_cols), start[:1], np.log(np.maximum(np.diff(start), 1e-2))])
     m, v = np.zeros_like(params), np.zeros_like(params)
@@ -83,9 +92,9 @@ def fit_scores(rows: np.ndarray, cols: np.ndarray, n_cols: int, y: np.ndarray, n
         s = np.concatenate([np.ones((n, 1)), s, np.zeros((n, 1))], 1)  # P(grade > -1) .. P(grade > last)
         hi, lo = s[np.arange(n), y], s[np.arange(n), y + 1]
         p = np.maximum(hi - lo, 1e-12)
-        d_hi, d_lo = hi * (1 - hi) / p, lo * (1 - lo) / p
-        g_x = -(d_hi - d_lo) / n
-        g_theta = np.array([(d_hi[y == j + 1].sum() - d_lo[y == j].sum()) / n for j in range(k)])
+        d_hi, d_lo = part * hi * (1 - hi) / p, part * lo * (1 - lo) / p
+        g_x = d_lo - d_hi
+        g_theta = np.array([d_hi[y == j + 1].sum() - d_lo[y == j].sum() for j in range(k)])
         grad = np.concatenate([np.bincount(cols, g_x[rows], minlength=n_cols) + l2 * w, [g_theta.sum()], np.cumsum(g_theta[::-1])[::-1][1:] * gaps])
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         rate = 0.1 * min(1.0, 2 * (1 - t / steps))  # steps of one size would circle the optimum
@@ -95,7 +104,7 @@ def fit_scores(rows: np.ndarray, cols: np.ndarray, n_cols: int, y: np.ndarray, n
 
 def fit(docs: DataFrame, labels: DataFrame, grade: str = "toxic", per_grade: int = PER_GRADE) -> SeverityModel:
     """The model of ``labels`` (doc_id, grade) and the texts of ``docs``; the sample's size is bounded, so it is broadcast and its features collected."""
-    known = labels.select(F.col("doc_id").alias("_id"), F.col(grade).cast("double").alias("_grade")).filter("_grade IS NOT NULL AND _id IS NOT NULL")
+    known = labels.select(F.col("doc_id").alias("_id"), F.col(grade).cast("double").alias("_grade")).filter("_grade IS NOT NULL AND _id IS NOT NULL").distinct()
     grades = sorted(r[0] for r in known.select("_grade").distinct().limit(MOST_GRADES + 1).collect())
     if len(grades) > MOST_GRADES:
         raise ValueError(f"more than {MOST_GRADES} grades")
@@ -111,39 +120,47 @@ def fit(docs: DataFrame, labels: DataFrame, grade: str = "toxic", per_grade: int
         memo = _Memo(feature)
         for batch in batches:
             for part in slices(batch, "text"):
-                found = [list({memo[w] for w in set((t or "").split())} - {-1}) for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("_grade"), pa.array(found, pa.list_(pa.int32()))], ["_grade", "features"])
-
-    def sketch(features: list[int]) -> tuple[int, ...]:
-        return tuple(sorted(f * 0x9E3779B1 % (1 << 32) for f in features)[:4])
-
-    joined = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("_id")).select("text", "_grade")
-    got = joined.mapInArrow(features, "_grade double, features array<int>").toArrow()
-    # Copies would make words of one text count many times: of documents whose smallest mixed features agree, one is fitted.
-    alone = {(g, sketch(x)): x for g, x in zip(got.column("_grade").to_pylist(), got.column("features").to_pylist())}
-    kept = sorted(alone.items())
-    raw = np.array([f for _, x in kept for f in x], np.int64)
-    rows = np.repeat(np.arange(len(kept)), [len(x) for _, x in kept])
-    y = np.searchsorted(grades, [g for (g, _), _ in kept])
+                words = [(t or "").split() for t in part.column("text").to_pylist()]
+                found = [sorted({memo[w] for w in set(own)} - {-1}) for own in words]
+                columns = [part.column("_id"), part.column("_grade"), pa.array(found, pa.list_(pa.int32())), pa.array(map(_sketch, words), pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, ["_id", "_grade", "features", "sketch"])
+
+    joined = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("_id")).select("_id", "_grade", "text")
+    made = joined.mapInArrow(features, "_id long, _grade double, features array<int>, sketch string")
+    # One row for each sampled id, however often it occurs.
+    got = made.groupBy("_id", "_grade").agg(F.min(F.struct("features", "sketch")).alias("row")).select("_id", "_grade", "row.features", "row.sketch").toArrow()
+    kept = sorted(zip(*(got.column(c).to_pylist() for c in ("_grade", "_id", "sketch", "features"))))
+    copies = Counter((g, sketch) for g, _, sketch, _ in kept)
+    counts = np.array([1 / copies[g, sketch] for g, _, sketch, _ in kept])
+    raw = np.array([f for *_, x in kept for f in x], np.int64)
+    rows = np.repeat(np.arange(len(kept)), [len(x) for *_, x in kept])
+    y = np.searchsorted(grades, [g for g, *_ in kept])
     if len(set(y.tolist())) < 2:
         return SeverityModel(grades[:1], {}, [])
 
-    n = len(y)
-    held = np.bincount(raw, minlength=BUCKETS)
+    n = counts.sum()
+    held = np.bincount(raw, counts[rows], minlength=BUCKETS)
     share, best = held / n, np.zeros(BUCKETS)
     for k in range(len(grades) - 1):  # words of a middle grade tell it from those below or above
-        centred = (y > k) - (y > k).mean()
+        mean = counts[y > k].sum() / n
+        centred = (y > k) - mean
         with np.errstate(divide="ignore", invalid="ignore"):
-            z = np.bincount(raw, centred[rows], minlength=BUCKETS) / np.sqrt(n * share * (1 - share) * centred.var())
+            z = np.bincount(raw, (counts * centred)[rows], minlength=BUCKETS) / np.sqrt(n * share * (1 - share) * mean * (1 - mean))
         best = np.maximum(best, np.abs(np.nan_to_num(z)))
-    chosen = np.flatnonzero((held >= LEAST_DOCS) & (best >= LEAST_Z))
+    chosen = np.flatnonzero((held >= LEAST_DOCS - 1e-9) & (best >= LEAST_Z))
     place = np.full(BUCKETS, -1)
     place[chosen] = np.arange(len(chosen))
     used = place[raw] >= 0
-    w, theta = fit_scores(rows[used], place[raw[used]], len(chosen), y, len(grades))
+    w, theta = fit_scores(rows[used], place[raw[used]], len(chosen), y, len(grades), counts=counts)
     return SeverityModel(grades, dict(zip(chosen.tolist(), w.tolist())), theta.tolist())
 
 
+def _sketch(words: list[str]) -> str:
+    """The least hashes of a text's shingles; a text of fewer words is one shingle."""
+    shingles = {" ".join(words[i : i + SHINGLE]) for i in range(max(1, len(words) - SHINGLE + 1))}
+    return " ".join(map(str, heapq.nsmallest(SKETCH, (zlib.crc32(s.encode()) for s in shingles))))
+
+
 def score(docs: DataFrame, model: SeverityModel) -> DataFrame:
     """doc_id, severity (expected grade), grade (the likeliest) and rejected of each document, and p_above, P(grade > k) for each k."""
     return docs.select("doc_id", "text").mapInArrow(_scorer(model, ["doc_id"]), "doc_id long, severity double, grade double, rejected boolean, p_above array<double>")
