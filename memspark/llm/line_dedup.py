@@ -10,7 +10,8 @@ short; a caller may set ``min_chars`` to spare shorter ones. All other lines sta
 
 Defined cases: a null text stays null and has no lines, an empty one has one line; a null site
 is one site of its own, a null doc_id sorts first; rows that are equal in doc_id and text are
-treated alike; an empty table gives no rows; further columns are kept, whatever their names.
+treated alike; very long texts are judged whole; an empty table gives no rows; further columns are
+kept, whatever their names, so ``lines_removed`` can occur twice in the result of ``remove_lines``.
 """
 
 from __future__ import annotations
@@ -50,12 +51,20 @@ def remove_lines(docs: DataFrame, site: str = "source", min_sites: int = MIN_SIT
     held = cut(boilerplate(docs, site, min_sites, min_chars), "boilerplate")
     here = F.struct("id", "row", "pos")
     found = _lines(docs, site, min_chars).join(held, "line").filter(~here.eqNullSafe(F.col("first")))
-    gone = found.groupBy("id", "row").agg(F.collect_set("pos").alias("_gone"))
-    joined = docs.join(gone, docs["doc_id"].eqNullSafe(gone["id"]) & (F.xxhash64(docs["text"]) == gone["row"]), "left")
-    kept = F.filter(F.split(docs["text"], "\n"), lambda _, i: ~F.array_contains(gone["_gone"], i))
-    text = F.when(gone["_gone"].isNull(), docs["text"]).otherwise(F.array_join(kept, "\n"))
-    columns = [text.alias("text") if c == "text" else docs[c] for c in docs.columns]
-    return joined.select(*columns, F.coalesce(F.size(gone["_gone"]), F.lit(0)).alias("lines_removed"))
+    gone = found.groupBy("id", "row").agg(F.collect_set("pos").alias("gone"))
+    # Columns by number, as theirs may have any name.
+    own = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    id_, text = own["doc_id"], own["text"]
+    joined = docs.toDF(*own.values()).join(gone, F.col(id_).eqNullSafe(F.col("id")) & (F.xxhash64(text) == F.col("row")), "left")
+    kept = F.filter(F.split(text, "\n"), lambda _, i: ~F.array_contains("gone", i))
+    joined = joined.withColumn(text, F.when(F.col("gone").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n")))
+    return joined.select(*own.values(), F.coalesce(F.size("gone"), F.lit(0)).alias("lines_removed")).toDF(*docs.columns, "lines_removed")
+
+
+def keep_lines(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, min_chars: int = 1) -> DataFrame:
+    """All rows and columns of ``docs``, and no others, with text changed."""
+    found = remove_lines(docs, site, min_sites, min_chars)
+    return found.toDF(*(f"c{i}" for i in range(len(docs.columns))), "removed").drop("removed").toDF(*docs.columns)
 
 
 ORACLE = f"""
