@@ -12,14 +12,15 @@ ratio is the least that reaches ``RECALL`` of them.
 Lists and the queries that read them are cut into blocks of bounded size; pairs of blocks are
 the keys of the join, so a long list is work for many tasks.
 
-Inner products become distances by one more coordinate, ``sqrt(M**2 - |v|**2)`` with M the
-largest norm. Blocks give each query its best ``k`` by the inner product of the original
-vectors in double precision, and the best of all blocks remain.
+Inner products become distances by one more coordinate, ``sqrt(1 - |v|**2)`` of vectors divided
+by the largest norm, so no square overflows. Blocks give each query its best ``k`` by the inner
+product of the original vectors in double precision, and the best of all blocks remain.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components take no
 part, nor rows without vec_id; vectors of each length are searched by themselves, as products
 between lengths do not exist; ties go to the smaller vec_id; equal vec_ids are one candidate
-with their best score; an empty table gives no rows; further columns are ignored.
+with their best score; products beyond doubles are infinite, and those of infinities of both signs
+count as minus infinity; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -45,8 +46,10 @@ BOUNDARY, REPLICAS = 1.005, 4
 #: Distances of a query are measured against the mean of so many least ones: the least alone says little where all are alike.
 BASE = 16
 #: Share of nearest rows that the reading ratio has to reach, and sampled rows whose nearest are found by brute force for that.
-RECALL, MEASURED = 0.93, 256
+RECALL, MEASURED = 0.94, 256
 BLOCK = 8192
+#: Distances of points to centroids that are held at once.
+DISTANCES = 4_000_000
 #: Rows that a task holds before it reduces or sends them.
 HELD = 1_000_000
 
@@ -56,13 +59,19 @@ def _squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum((a * a).sum(1)[:, None] - 2 * a @ b.T + (b * b).sum(1)[None, :], 0)
 
 
+def _chunks(n: int, width: int) -> Iterator[slice]:
+    """``n`` rows in parts whose distances to ``width`` centroids may be held at once."""
+    step = max(1, DISTANCES // max(1, width))
+    return (slice(a, a + step) for a in range(0, n, step))
+
+
 class CentroidGraph:
     """Centroids, each tied to its nearest ones; best-first search visits neighbours while they are within the ratio."""
 
     def __init__(self, centroids: np.ndarray, degree: int = DEGREE):
         self.centroids = centroids
-        d = _squared(centroids, centroids)
-        near = np.argsort(d, 1, kind="stable")[:, 1 : degree + 1] if len(centroids) > 1 else np.zeros((1, 0), int)
+        k = len(centroids)
+        near = np.vstack([np.argsort(_squared(centroids[part], centroids), 1, kind="stable")[:, 1 : degree + 1] for part in _chunks(k, k)])
         ties: list[set[int]] = [set(x) for x in near.tolist()]
         for i, own in enumerate(near.tolist()):
             for j in own:
@@ -104,8 +113,7 @@ def balanced_centroids(points: np.ndarray, k: int, rounds: int = 8) -> np.ndarra
     norm = float(np.sqrt((points * points).sum(1).max()))
     centres, load = points[np.linspace(0, len(points) - 1, k).astype(int)].copy(), np.ones(k)
     for _ in range(rounds):
-        d = _squared(points, centres)
-        own = (d * np.sqrt(load)[None, :]).argmin(1)
+        own = np.concatenate([(_squared(points[part], centres) * np.sqrt(load)[None, :]).argmin(1) for part in _chunks(len(points), k)])
         size = np.bincount(own, minlength=k)
         sums = np.zeros_like(centres)
         np.add.at(sums, own, points)
@@ -118,32 +126,54 @@ def balanced_centroids(points: np.ndarray, k: int, rounds: int = 8) -> np.ndarra
 
 def _lists_of(raised: np.ndarray, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(row, list) of each vector's nearest centroid and of those nearly as close."""
-    d = np.sqrt(_squared(raised, centroids))
-    order = np.argsort(d, 1, kind="stable")[:, :REPLICAS]
-    near = np.take_along_axis(d, order, 1)
-    i, j = np.nonzero(near <= near[:, :1] * BOUNDARY + 1e-12)
-    return i, order[i, j]
+    rows, lists = [np.zeros(0, int)], [np.zeros(0, int)]
+    for part in _chunks(len(raised), len(centroids)):
+        d = np.sqrt(_squared(raised[part], centroids))
+        order = np.argsort(d, 1, kind="stable")[:, :REPLICAS]
+        near = np.take_along_axis(d, order, 1)
+        i, j = np.nonzero(near <= near[:, :1] * BOUNDARY + 1e-12)
+        rows.append(i + part.start)
+        lists.append(order[i, j])
+    return np.concatenate(rows), np.concatenate(lists)
+
+
+def _products(q: np.ndarray, v: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Inner products of all rows; minus infinity where a row is the query's ``own`` or the product is no number."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        out = q @ v.T
+    out[np.isnan(out)] = -np.inf
+    out[own] = -np.inf
+    return out
 
 
 def _true_nearest(rows: DataFrame, asked: pa.Table, k: int) -> list[tuple[int, np.ndarray]]:
-    """(place of a query in ``asked``, its ``k`` nearest of all rows) by brute force; ``asked`` (vec_id, embedding) is small."""
+    """(place of a query in ``asked``, its ``k`` nearest of all rows) by brute force; ``asked`` (vec_id, embedding) is small.
+
+    A task keeps the best ``k`` of each query and sends their ids; the vectors of those that are left are fetched last.
+    """
     ids, v = asked.column("vec_id").to_numpy(), matrix(asked.column("embedding"))
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score, found = np.full((len(v), 0), -np.inf), np.zeros((len(v), 0), np.int64)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            score = v @ matrix(batch.column("embedding")).T
-            score[ids[:, None] == batch.column("vec_id").to_numpy()[None, :]] = -np.inf
-            top = np.argsort(-score, 1, kind="stable")[:, :k]
-            q, m = np.repeat(np.arange(len(v)), top.shape[1]), top.ravel()
-            found = [pa.array(q.astype(np.int32)), batch.column("embedding").take(pa.array(m)), pa.array(score[q, m])]
-            yield pa.RecordBatch.from_arrays(found, ["q", "embedding", "score"]).filter(pa.array(np.isfinite(score[q, m])))
-
-    found = rows.select("vec_id", "embedding").mapInArrow(best, "q int, embedding array<double>, score double")
-    place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score")))
-    kept = found.withColumn("place", place).filter(F.col("place") <= k).select("q", "embedding").toArrow()
-    return list(zip(kept.column("q").to_pylist(), matrix(kept.column("embedding")))) if len(kept) else []
+            for a in range(0, batch.num_rows, 4096):
+                part = batch.slice(a, 4096)
+                new = part.column("vec_id").to_numpy()
+                score = np.hstack([score, _products(v, matrix(part.column("embedding")), ids[:, None] == new[None, :])])
+                found = np.hstack([found, np.broadcast_to(new, (len(v), len(new)))])
+                top = np.argsort(-score, 1, kind="stable")[:, :k]
+                score, found = np.take_along_axis(score, top, 1), np.take_along_axis(found, top, 1)
+        q, m = np.nonzero(score > -np.inf)
+        yield pa.RecordBatch.from_arrays([pa.array(q.astype(np.int32)), pa.array(found[q, m]), pa.array(score[q, m])], ["q", "vec_id", "score"])
+
+    found = rows.select("vec_id", "embedding").mapInArrow(best, "q int, vec_id long, score double")
+    place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))
+    kept = found.withColumn("place", place).filter(F.col("place") <= k).select("q", "vec_id").toArrow()
+    wanted = rows.sparkSession.createDataFrame(pa.table({"vec_id": pa.array(sorted(set(kept.column("vec_id").to_pylist())), pa.int64())}))
+    # One vector of each id that was found, MEASURED times k at most.
+    vectors = rows.join(F.broadcast(wanted), "vec_id", "left_semi").groupBy("vec_id").agg(F.min("embedding").alias("embedding")).toArrow()
+    by_id = dict(zip(vectors.column("vec_id").to_pylist(), matrix(vectors.column("embedding")))) if len(vectors) else {}
+    return [(q, by_id[i]) for q, i in zip(kept.column("q").to_pylist(), kept.column("vec_id").to_pylist())]
 
 
 def reading_ratio(asked: np.ndarray, near: list[tuple[int, np.ndarray]], centroids: np.ndarray, recall: float = RECALL) -> float:
@@ -159,9 +189,10 @@ def reading_ratio(asked: np.ndarray, near: list[tuple[int, np.ndarray]], centroi
     return float(np.sort(reached)[max(0, math.ceil(recall * len(reached)) - 1)])
 
 
-def _as_queries(v: np.ndarray, largest: float) -> np.ndarray:
-    """Vectors as points among the raised ones: of the largest norm, without height."""
-    return np.hstack([v * np.sqrt(largest / np.maximum((v * v).sum(1, keepdims=True), 1e-300)), np.zeros((len(v), 1))])
+def _as_queries(v: np.ndarray) -> np.ndarray:
+    """Vectors as points among the raised ones: of norm 1, without height."""
+    v = v / np.abs(v).max(1, keepdims=True)
+    return np.hstack([v / np.sqrt((v * v).sum(1, keepdims=True)), np.zeros((len(v), 1))])
 
 
 def search(embeddings: DataFrame, is_query, k: int = K, size: int | None = None) -> DataFrame:
@@ -176,17 +207,24 @@ def search(embeddings: DataFrame, is_query, k: int = K, size: int | None = None)
 
 def _search_length(rows: DataFrame, dim: int, k: int, size: int | None) -> DataFrame:
     """search() over vectors of one length, with the queries marked by ``asks``."""
+    most = F.array_max(F.transform("embedding", F.abs))
     squares = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)
-    total, largest = rows.agg(F.count("*"), F.max(squares)).first()
+    total, largest, norm = rows.agg(F.count("*"), F.max(most), F.sqrt(F.max(squares))).first()
+    if not 1e-150 < norm < 1e150:  # squares may leave the doubles, so another bound of the norms is taken
+        norm = min(largest * math.sqrt(dim), np.finfo(float).max)
     wanted = max(1, min(MOST_CENTROIDS, total // size if size else 2 * math.isqrt(total)))
     drawn = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(max(SAMPLE, SAMPLE_EACH * wanted))
     sampled = drawn.select("vec_id", "embedding").toArrow()
     points = matrix(sampled.column("embedding"))
-    raise_up = lambda v: np.hstack([v, np.sqrt(np.maximum(largest - (v * v).sum(1, keepdims=True), 0))])
+
+    def raise_up(v: np.ndarray) -> np.ndarray:
+        v = v / norm
+        return np.hstack([v, np.sqrt(np.maximum(1 - (v * v).sum(1, keepdims=True), 0))])
+
     raised = raise_up(points)
     graph = CentroidGraph(balanced_centroids(raised, min(wanted, len(points))))
     near = [(q, raise_up(v[None])[0]) for q, v in _true_nearest(rows, sampled.slice(0, MEASURED), k)]
-    ratio = reading_ratio(_as_queries(points[:MEASURED], largest), near, graph.centroids)
+    ratio = reading_ratio(_as_queries(points[:MEASURED]), near, graph.centroids)
     rows, is_query = rows.select("vec_id", "embedding", "asks"), F.col("asks")
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,7 +249,7 @@ def _search_length(rows: DataFrame, dim: int, k: int, size: int | None) -> DataF
         for batch in batches:
             if not batch.num_rows:
                 continue
-            v = _as_queries(matrix(batch.column("embedding")), largest)
+            v = _as_queries(matrix(batch.column("embedding")))
             lists = [enough(x, graph.search(x, ratio)) for x in v]
             i = np.repeat(np.arange(len(v)), [len(x) for x in lists])
             yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(pa.array(i)), batch.column("embedding").take(pa.array(i)), pa.array([x for own in lists for x in own], pa.int32())], ["vec_id", "embedding", "list"])
@@ -260,16 +298,18 @@ def _search_length(rows: DataFrame, dim: int, k: int, size: int | None) -> DataF
                 v, q = (np.frombuffer(row[c], "<f8").reshape(-1, dim) for c in ("vectors", "q_vectors"))
                 order = np.argsort(ids, kind="stable")
                 ids, v = ids[order], v[order]
-                rough = q @ v.T
-                rough[q_ids[:, None] == ids[None, :]] = -np.inf
+                own = q_ids[:, None] == ids[None, :]
+                rough = _products(q, v, own)
                 # Rows of one vec_id are one candidate, so they take one place of the k.
                 first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
                 each = rough if len(first) == len(ids) else np.maximum.reduceat(rough, first, 1)
                 cut_at = np.partition(each, -k, 1)[:, [-k]] if len(first) > k else np.full((len(q), 1), -np.inf)
                 slack = 1e-9 * (1 + np.abs(np.where(np.isfinite(cut_at), cut_at, 0)))
-                i, j = np.nonzero((rough >= cut_at - slack) & np.isfinite(rough))
+                i, j = np.nonzero((rough >= cut_at - slack) & ~own)
                 # Row by row in a fixed order, so that equal vectors have equal scores in every block.
-                score = np.concatenate([(q[i[s : s + 50_000]] * v[j[s : s + 50_000]]).sum(1) for s in range(0, max(1, len(i)), 50_000)])
+                with np.errstate(over="ignore", invalid="ignore"):
+                    score = np.concatenate([(q[i[s : s + 50_000]] * v[j[s : s + 50_000]]).sum(1) for s in range(0, max(1, len(i)), 50_000)])
+                score[np.isnan(score)] = -np.inf
                 held.append(best(q_ids[i], ids[j], score))
                 size += len(held[-1][0])
                 if size > HELD:
