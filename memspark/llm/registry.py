@@ -15,7 +15,7 @@ from memspark.llm.tokens import Encoder
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     found = toxicity.score(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
-    return found.select("doc_id", "severity", "grade", "rejected")
+    return found.select("doc_id", "severity", "grade", "rejected", "p_above")
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,9 +34,9 @@ def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
     found = language_id.identify(docs, language_id.train(docs.filter(~held_out)))
-    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "spans")
 
 
 def op6_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:

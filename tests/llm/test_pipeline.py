@@ -127,6 +127,47 @@ def test_odd_rows(spark, tmp_path, rows):
     assert sorted(map(str, found)) == sorted(str(d) for d, _ in rows)
 
 
+def test_columns_with_clashing_names(spark, tmp_path):
+    """Columns named like those that the stages make are kept with their values."""
+    names = "lines_removed gone id row pos line kept n_words n_removed spans again later copy severity grade rejected p_above _id _grade features sketch c0 removed doc t h".split()
+    rows = [(i, f"{['vile', 'calm'][i % 2]} words here {i}\nShare this page\nmore of the text {i}", "en", f"s{i}", None, *range(len(names))) for i in range(30)]
+    spark.createDataFrame(rows, SCHEMA + "".join(f", `{n}` long" for n in names)).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1 - i % 2) for i in range(30)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == [*SCHEMA.replace(" long", "").replace(" string", "").split(", "), *names], name
+        docs.write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        assert {tuple(r[5:]) for r in docs.collect()} == {tuple(range(len(names)))}, name
+    assert sum("Share" in r.text for r in docs.collect()) == 1
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() == 15
+
+
+def _model(spark, texts, labels):
+    df = spark.createDataFrame([(i, t, "en", "s", None) for i, t in texts], SCHEMA).repartition(3)
+    return toxicity.fit(df, spark.createDataFrame(labels, "doc_id long, toxic int").repartition(2))
+
+
+def test_long_texts_of_one_vocabulary_all_count(spark, monkeypatch):
+    """600 texts that share all frequent words, and so their least word hashes, are fitted as 600."""
+    rng = random.Random(2)
+    words = ["".join(rng.choice("abcdeorst") for _ in range(6)) for _ in range(80)]
+    texts = [(i, " ".join(rng.choices(words, k=400)) + (" vile" if i % 3 == 0 else "")) for i in range(600)]
+    copies = [(1000 + i, texts[0][1] + f" end{i}") for i in range(50)]
+    labels = [(i, int(i % 3 == 0)) for i in range(600)] + [(1000 + i, 1) for i in range(50)]
+    seen = []
+    plain = toxicity.fit_scores
+    monkeypatch.setattr(toxicity, "fit_scores", lambda rows, cols, n, y, k, counts: seen.append(counts) or plain(rows, cols, n, y, k, counts=counts))
+    model = _model(spark, texts + copies, labels)
+    # All 650 rows are fitted; the 51 near copies weigh as much as one text.
+    assert len(seen[0]) == 650 and (seen[0] == 1).sum() == 599 and seen[0].sum() == pytest.approx(600)
+    assert model.weights[toxicity.feature("vile")] > 1
+    # Rows the other way round, and every row thrice, give the same model.
+    again = _model(spark, (texts + copies)[::-1] * 3, labels[::-1] * 2)
+    assert again.weights == pytest.approx(model.weights) and again.thresholds == pytest.approx(model.thresholds)
+
+
 def test_fit_reaches_the_likelihoods_optimum():
     """The gradient of the penalised likelihood, taken numerically from its definition, is zero at the fitted values."""
     rng = np.random.default_rng(3)

@@ -130,3 +130,44 @@ def test_components(spark):
     links = [(i + 1, i) for i in range(40)] + [(100, 101), (103, 100), (105, 104)]
     got = {r["node"]: r["label"] for r in components(spark.createDataFrame(links, "u long, v long")).collect()}
     assert all(got[i] == 0 for i in range(1, 41)) and got[101] == got[103] == 100 and got[105] == 104
+
+
+@pytest.mark.parametrize("huge", [1e154, 1e200, 1.7e308, 1e-200])
+def test_nearest_with_norms_far_apart(spark, huge):
+    """One vector whose square leaves the doubles (or all others' do): every query keeps all its places."""
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(60, 6))
+    v[7] *= huge / np.abs(v[7]).max()
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>").repartition(3)
+    got = {}
+    for r in nearest.search(df, F.lit(True), 10, 5).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    with np.errstate(over="ignore", invalid="ignore"):
+        score = np.array([[np.nan_to_num((a * b).sum(), nan=-np.inf, posinf=np.inf, neginf=-np.inf) for b in v] for a in v])
+    hits = 0
+    for q in range(60):
+        want = sorted((-score[q, i], i) for i in range(60) if i != q)[:10]
+        assert [k for k, _, _ in sorted(got[q])] == list(range(1, 11))
+        assert all(x == score[q, i] or math.isclose(x, score[q, i], rel_tol=1e-9) for _, i, x in got[q])
+        hits += len({i for _, i in want} & {i for _, i, _ in got[q]})
+    assert hits >= 0.9 * 600
+
+
+def test_centroids_of_many_lists_in_bounded_memory():
+    """4096 lists: distances are held in parts, and the graph and the lists are those of whole matrices."""
+    import tracemalloc
+
+    rng = np.random.default_rng(2)
+    points = rng.normal(size=(20000, 8))
+    points /= np.linalg.norm(points, axis=1)[:, None]
+    tracemalloc.start()
+    graph = nearest.CentroidGraph(nearest.balanced_centroids(points, 4096, rounds=1))
+    rows, lists = nearest._lists_of(points, graph.centroids)
+    assert tracemalloc.get_traced_memory()[1] < 300e6
+    tracemalloc.stop()
+    some = rng.integers(0, len(points), 200)
+    nearest_list = ((points[some][:, None] - graph.centroids[None]) ** 2).sum(2).argmin(1)
+    held = {}
+    for i, j in zip(rows.tolist(), lists.tolist()):
+        held.setdefault(i, set()).add(j)
+    assert len(held) == len(points) and all(j in held[i] for i, j in zip(some.tolist(), nearest_list.tolist()))
