@@ -214,6 +214,8 @@ due AS (SELECT user_id, namespace, list(memory_id ORDER BY place) AS ids, string
         "score_importance": f"{m} SELECT memory_id, round(importance_score, 6) AS importance FROM memories",
         "score_composite": f"{m} SELECT memory_id, {_composite('((doc_id % 100) / 100.0::DOUBLE)')} AS composite FROM memories",
         "lexical_score": _lexical(),
+        "lexical_topk": f"""WITH scores AS ({_lexical()}), placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY lexical DESC, memory_id) AS rank FROM scores WHERE lexical > 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, memory_id, overlap, keyword, phrase, lexical FROM placed WHERE rank <= 10""",
         "ingest_memories": f"WITH {_OBSERVED} SELECT 'user:' || user_id AS namespace, user_id, memory_type, CASE WHEN list_contains({_list(SEMANTIC_TYPES)}, memory_type) THEN 'semantic' ELSE 'episodic' END AS memory_layer, content, source_ref, event_time, round(importance_score, 6) AS importance, 'active' AS status, 1 AS version FROM checked WHERE reject_reason IS NULL",
         "ingest_rejects": f"WITH {_OBSERVED} SELECT reject_reason, count(*) AS n FROM checked WHERE reject_reason IS NOT NULL GROUP BY 1",
         "ingest_summary": f"WITH {_OBSERVED} SELECT count(*) FILTER (reject_reason IS NULL) AS ingested, count(*) FILTER (reject_reason IS NOT NULL) AS failed FROM checked",

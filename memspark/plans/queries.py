@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from memspark import fixtures as X
 from memspark.config import Defaults
 from memspark.functions import lexical, replies, scoring, vectors
-from memspark.operators import catalog, consolidate, contradict, evaluate, graph, ingest, reflect, retrieve, sessions, update
+from memspark.operators import catalog, consolidate, contradict, evaluate, graph, ingest, lexical_index, reflect, retrieve, sessions, update
 from memspark.sources import tables
 from memspark.streaming import jobs
 
@@ -63,6 +63,12 @@ def lexical_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.join(m, "user_id").select("query_id", "memory_id", *scores).select("query_id", "memory_id", *(F.round(c, 6).alias(c) for c in ("overlap", "keyword", "phrase")), F.round(lexical.total("overlap", "keyword", "phrase"), 6).alias("lexical"))
 
 
+def lexical_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best memories of each benchmark text's user by lexical score, through the index."""
+    m = X.table(spark, sf_dir, "documents").select(F.col("source").alias("user_id"), F.col("doc_id").cast("string").alias("memory_id"), F.col("text").alias("content"))
+    return lexical_index.top_k(X.text_queries(spark, sf_dir), m, 10)
+
+
 def _faulty(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Observations, some of them with an empty content, an unknown type or an importance out of range."""
     o = X.observations(spark, sf_dir)
@@ -374,7 +380,7 @@ def classify_reply(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
-    retrieve_topk, retrieve_full, context_window, score_recency, score_importance, score_composite, lexical_score, ingest_memories, ingest_rejects, ingest_summary, list_memories, user_stats, facts_of_user,
+    retrieve_topk, retrieve_full, context_window, score_recency, score_importance, score_composite, lexical_score, lexical_topk, ingest_memories, ingest_rejects, ingest_summary, list_memories, user_stats, facts_of_user,
     operation_log, audit_trail, promote, promote_metadata, near_duplicate_pairs, merge_similar, consolidation_summary, contradiction_candidates, contradiction_judge, contradiction_apply, contradiction_resolve, contradiction_list, update_match,
     update_apply, reflection_due, reflection_input, reflection_store, graph_related, version_chain, access_feedback, session_memory, vector_upsert, eval_retrieval, eval_retrieval_summary, eval_contradiction,
     eval_update, eval_queries, eval_saved, stream_ingest, stream_reflection_trigger, stream_sessions, embed_seeded, vector_cosine, text_jaccard, classify_reply,
