@@ -46,7 +46,8 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The places of all pieces in sequences of at most 2048 tokens."""
-    return packing.pack(packing.pieces_of(docs, Encoder(vocabulary("byte_bpe_50k.json"), 0)))
+    # Workers keep the encoder's words while they serve later jobs, so it remembers fewer than where it is alone.
+    return packing.pack(packing.pieces_of(docs, Encoder(vocabulary("byte_bpe_50k.json"), 0, most=120_000)))
 
 
 STAGES = [
