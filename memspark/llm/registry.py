@@ -128,6 +128,23 @@ reach AS (SELECT x AS a, x AS b FROM both_ways UNION SELECT r.a, e.y FROM reach
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(least_of, d.doc_id) AS component_id
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN (SELECT a, min(b) AS least_of FROM reach GROUP BY 1) r ON r.a = d.doc_id"""
 
+_CRC32 = "list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)), lambda a, b: list_reduce(list_prepend(xor(a, b), list_transform(range(8), lambda i: i::BIGINT)), lambda x, i: xor(x >> 1, 3988292384 * (x & 1))))"
+#: Periods planted as in op11's query; equal words up to a quarter of a text apart, stretches of them, and those that no smaller period spans.
+PERIODS = f"""WITH drawn AS (SELECT doc_id, xor({_CRC32}, 4294967295) AS h, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\x09-\\x0D]+'), lambda w: w <> '') AS w0 FROM documents),
+shape AS (SELECT *, len(w0) AS n, h // 10 AS g, CASE WHEN len(w0) > 0 THEN (h // 10) % len(w0) END AS a FROM drawn),
+texts AS (SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i: CASE WHEN i < a THEN w0[i + 1] ELSE w0[a + (i - a) % (1 + (n - a) // (3 + g % 8)) + 1] END) ELSE w0 END AS w FROM shape),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(range(n)) AS i FROM texts),
+same AS (SELECT x.doc_id, y.i - x.i AS q, x.i FROM words x JOIN words y ON x.doc_id = y.doc_id AND x.word = y.word AND x.i < y.i JOIN texts t ON t.doc_id = x.doc_id WHERE {periodic_runs.REPEATS} * (y.i - x.i) <= t.n),
+stretch AS (SELECT doc_id, q, min(i) AS s, count(*) + q AS l FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM same) GROUP BY doc_id, q, island HAVING count(*) + q >= greatest({periodic_runs.LEAST}, {periodic_runs.REPEATS} * q)),
+runs AS (SELECT * FROM stretch r WHERE NOT EXISTS (SELECT 1 FROM stretch o WHERE o.doc_id = r.doc_id AND o.q < r.q AND o.s <= r.s AND o.s + o.l >= r.s + r.l)),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s + q, s + l)) AS i FROM runs),
+kept AS (SELECT w.doc_id, string_agg(w.word, ' ' ORDER BY w.i) AS collapsed FROM words w LEFT JOIN gone g ON g.doc_id = w.doc_id AND g.i = w.i WHERE g.i IS NULL GROUP BY 1),
+best AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY l DESC, s, q) AS k FROM runs),
+listed AS (SELECT doc_id, count(*) AS n_runs, string_agg(s || ',' || l || ',' || q || chr(10), '' ORDER BY s, q) AS lines FROM runs GROUP BY 1)
+SELECT d.doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, b.s::BIGINT AS start, b.l::BIGINT AS length, b.q::BIGINT AS period, (1000 * b.l // b.q)::BIGINT AS exponent_milli,
+       sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(collapsed, '')) AS collapsed_sha256
+FROM documents d LEFT JOIN listed USING (doc_id) LEFT JOIN best b ON b.doc_id = d.doc_id AND b.k = 1 LEFT JOIN kept USING (doc_id)"""
+
 _DOT = "list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
 #: All pairs of vectors by cosine, and all that can be reached.
 VECTOR_LINKS = f"""WITH RECURSIVE v AS (SELECT vec_id, embedding, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings),
@@ -138,4 +155,4 @@ SELECT vec_id, (SELECT count(*) FROM link WHERE x = vec_id)::BIGINT AS n_links,
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": line_dedup.ORACLE, "op3_substring_dedup": REPEATS, "op4_ngram_jaccard": LINKS, "op10_embedding_dedup": VECTOR_LINKS}
+    return {"op2_line_dedup": line_dedup.ORACLE, "op3_substring_dedup": REPEATS, "op4_ngram_jaccard": LINKS, "op10_embedding_dedup": VECTOR_LINKS, "op11_periodic_runs": PERIODS, "op13_sanitise": sanitise.oracle()}

@@ -3,7 +3,8 @@
 Base spans are e-mail addresses, IP addresses, card and phone numbers, found by patterns. Their
 distinct values are the protected entities. How much a term tells about an entity is estimated
 from all documents by pointwise mutual information, ``log2(p(c, t) / (p(c) p(t)))``, where a term
-and an entity occur together if the term is among the ``NEAR`` words on either side of it. An
+and an entity occur together if the term is among the ``NEAR`` terms on either side of it, up to the
+next match of its kind and ``NEAR_CHARS`` characters. An
 entity's information is ``-log2 p(c)``. A term discloses an entity if it tells at least as much
 as the entity's generalisation does (an address's domain, a network, a number's first digits),
 and the share ``disclosure`` of the entity's information, and was seen beside it between
@@ -47,6 +48,7 @@ _PART = "0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{0,2})"
 IP_PARTS = rf"^{_PART}\.{_PART}\.{_PART}\.{_PART}$"
 #: A word of letters between blanks, with or without signs around it.
 TERM = r"""(?<![^\x20\x09-\x0D])[("'\[]*+(\p{L}{3,}+)[.,;:!?)"'\]]*+(?![^\x20\x09-\x0D])"""
+_BLANK = r"\x20\x09-\x0D"
 _LETTERS, _LEADING = r"\p{L}+", r"""^[("'\[]*"""
 
 #: Words on each side of an entity that occur together with it, and the characters that may hold them.
@@ -79,10 +81,13 @@ def _found(text: Column, pattern: str, beside: bool = False) -> Column:
 
     def spans(pieces: Column, values: Column) -> Column:
         lengths = F.transform(values, lambda v, i: F.length(pieces[i]) + F.length(v))
+        # The text's edges count as blanks.
+        front = lambda i: F.substring(F.concat(F.when(i == 0, " ").otherwise(""), pieces[i]), -NEAR_CHARS, NEAR_CHARS)
+        behind = lambda i: F.substring(F.concat(pieces[i + 1], F.when(i + 1 == F.size(values), " ").otherwise("")), 1, NEAR_CHARS)
         if not beside:
             make = lambda v, start, i: F.struct(start.alias("start"), (start + F.length(v)).alias("end"), v.alias("value"))
         else:
-            make = lambda v, start, i: F.struct(start.alias("start"), (start + F.length(v)).alias("end"), v.alias("value"), F.substring(pieces[i], -NEAR_CHARS, NEAR_CHARS).alias("front"), F.substring(pieces[i + 1], 1, NEAR_CHARS).alias("behind"))
+            make = lambda v, start, i: F.struct(start.alias("start"), (start + F.length(v)).alias("end"), v.alias("value"), front(i).alias("front"), behind(i).alias("behind"))
         return let(_before(lengths), lambda before: F.transform(values, lambda v, i: make(v, before[i] + F.length(pieces[i]), i)))
 
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
@@ -133,11 +138,9 @@ def _general(entity: Column) -> Column:
 
 
 def _occurrence(kind: str, x: Column) -> Column:
-    """An entity with the terms beside it; words that touch the match, or that the cut at ``NEAR_CHARS`` may have shortened, are none."""
-    front = F.regexp_replace(x["front"], r"[^\x20\x09-\x0D]*$", "")
-    front = F.when(F.length(x["front"]) < NEAR_CHARS, front).otherwise(F.regexp_replace(front, r"^[^\x20\x09-\x0D]*", ""))
-    behind = F.regexp_replace(x["behind"], r"^[^\x20\x09-\x0D]*", "")
-    behind = F.when(F.length(x["behind"]) < NEAR_CHARS, behind).otherwise(F.regexp_replace(behind, r"[^\x20\x09-\x0D]*$", ""))
+    """An entity with the terms beside it, up to the next match of its kind; words that the cut has shortened, or that touch a match, are none."""
+    edges = rf"^[^{_BLANK}]*|[^{_BLANK}]*$"
+    front, behind = F.regexp_replace(x["front"], edges, ""), F.regexp_replace(x["behind"], edges, "")
     near = F.concat(let(_terms(front), lambda t: F.slice(t, F.greatest(F.size(t) - NEAR + 1, F.lit(1)), NEAR)), F.slice(_terms(behind), 1, NEAR))
     return F.struct(_entity(kind, x["value"]).alias("entity"), near.alias("terms"))
 
@@ -241,3 +244,44 @@ def sanitised(docs: DataFrame, disclosure: float = DISCLOSURE, least_contexts: i
     out = F.when(F.size("spans") > 0, F.aggregate("spans", start, step, rest)).otherwise(text)
     found = find_private(docs, disclosure, least_contexts).select("row", "text", spans.alias("spans")).select("row", out.alias("text"))
     return found.select(*(F.when(F.col(f"row.c{i}").isNotNull(), F.col("text")).alias(c) if c == "text" else F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)))
+
+
+def oracle() -> str:
+    """The query's rows as DuckDB SQL: matches by plain patterns, places by running sums of lengths."""
+    blank = "[ \\x09-\\x0D]"
+    plain = {
+        "email": "[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)+", "ip": "[0-9]+(?:\\.[0-9]+)(?:\\.[0-9]+)(?:\\.[0-9]+)", "card": "[0-9](?:[\\x20-]?[0-9])+", "phone": "\\+[0-9][\\x20().0-9-]+[0-9]",
+        "word": "[^ \\x09-\\x0D]+",
+    }
+    raw = " UNION ALL ".join(f"SELECT doc_id, '{kind}' AS kind, {k} AS k, regexp_extract_all(text, '{p}') AS m, string_split_regex(text, '{p}') AS p FROM docs" for k, (kind, p) in enumerate(plain.items()))
+    digits = "regexp_replace(v, '[^0-9]', '', 'g')"
+    luhn = f"list_sum(list_transform(range(len({digits})), lambda i: CASE WHEN i % 2 = 0 THEN substr({digits}, len({digits}) - i, 1)::INT ELSE 2 * substr({digits}, len({digits}) - i, 1)::INT // 10 + 2 * substr({digits}, len({digits}) - i, 1)::INT % 10 END)) % 10 = 0"
+    part = "0*([0-9]{1,2}|1[0-9][0-9]|2[0-4][0-9]|25[0-5])"
+    opening, closing = """[("''\\[]*""", """[.,;:!?)"''\\]]*"""
+    bits = lambda top, *below: f"log2({top} * (SELECT count(*) FROM docs)::DOUBLE / " + " / ".join(below) + ")"
+    return f"""WITH docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+raw AS ({raw}),
+each AS (SELECT doc_id, kind, k, unnest(m) AS v, unnest(p[1:len(m)]) AS gap, unnest(range(len(m))) AS i FROM raw WHERE len(m) > 0),
+placed AS (SELECT *, sum(len(gap) + len(v)) OVER w AS e FROM each WINDOW w AS (PARTITION BY doc_id, kind ORDER BY i)),
+spans AS (SELECT doc_id, kind, k, v, e - len(v) AS s, e, coalesce(lag(e) OVER w, -1) AS last, coalesce(lead(e - len(v)) OVER w, 9e9) AS next FROM placed WINDOW w AS (PARTITION BY doc_id, kind ORDER BY i)),
+base AS (SELECT * FROM spans WHERE kind = 'email' OR kind = 'ip' AND regexp_full_match(v, '{part}\\.{part}\\.{part}\\.{part}') OR kind = 'card' AND len({digits}) BETWEEN 16 AND 19 AND {luhn} OR kind = 'phone' AND len({digits}) BETWEEN 8 AND 15),
+words AS (SELECT doc_id, s, e, s + len(regexp_extract(v, '^{opening}')) AS begins, lower(regexp_extract(v, '^{opening}(\\pL{{3,}}){closing}$', 1)) AS term FROM spans WHERE kind = 'word'),
+terms AS (SELECT * FROM words WHERE term <> ''),
+found AS (SELECT doc_id, kind, s, e, last, next, kind || ':' || CASE kind WHEN 'email' THEN lower(v) WHEN 'ip' THEN v ELSE {digits} END AS entity FROM base),
+entities AS (SELECT *, CASE kind WHEN 'email' THEN 'email:@' || split_part(entity, '@', -1) WHEN 'ip' THEN split_part(entity, '.', 1) || '.' || split_part(entity, '.', 2) WHEN 'card' THEN substr(entity, 1, 11) ELSE substr(entity, 1, 10) END AS general FROM found),
+beside AS (SELECT o.doc_id, o.kind, o.s, o.entity, t.s AS ts, t.term, t.e < o.s AS ahead FROM entities o JOIN terms t ON t.doc_id = o.doc_id AND (t.e < o.s AND t.s > o.last AND t.s > o.s - {NEAR_CHARS} OR t.s > o.e AND t.e < o.next AND t.e < o.e + {NEAR_CHARS})),
+near AS (SELECT * FROM beside QUALIFY row_number() OVER (PARTITION BY doc_id, kind, s, ahead ORDER BY CASE WHEN ahead THEN -ts ELSE ts END) <= {NEAR}),
+contexts AS (SELECT doc_id, kind, s, entity, string_agg(term, ' ' ORDER BY ts) AS context FROM near GROUP BY ALL),
+n_contexts AS (SELECT n.entity, n.term, count(DISTINCT c.context) AS contexts FROM near n JOIN contexts c USING (doc_id, kind, s, entity) GROUP BY 1, 2),
+n_both AS (SELECT entity, term, count(DISTINCT doc_id) AS n_both FROM near GROUP BY 1, 2),
+n_class_both AS (SELECT entity, substr(term, 1, {CLASS_LETTERS}) AS class, count(DISTINCT doc_id) AS n_class_both FROM near GROUP BY 1, 2),
+n_entity AS (SELECT entity, general, count(DISTINCT doc_id) AS n_entity FROM entities GROUP BY 1, 2),
+n_general AS (SELECT general, count(DISTINCT doc_id) AS n_general FROM entities GROUP BY 1),
+n_term AS (SELECT term, count(DISTINCT doc_id) AS n_term FROM terms GROUP BY 1),
+told AS (SELECT DISTINCT term FROM n_contexts JOIN n_both USING (entity, term) JOIN n_entity USING (entity) JOIN n_general USING (general) JOIN n_term USING (term)
+         WHERE contexts >= {LEAST_CONTEXTS} AND {bits("1", "n_entity")} > 0 AND {bits("n_both", "n_entity", "n_term")} >= greatest({bits("1", "n_general")}, {DISCLOSURE} * {bits("1", "n_entity")}) - 1e-9),
+more AS (SELECT doc_id, 'term' AS kind, 9 AS k, begins AS s, begins + len(term) AS e FROM terms JOIN told USING (term)),
+all_spans AS (SELECT doc_id, kind, k, s, e FROM base UNION ALL SELECT * FROM more),
+listed AS (SELECT doc_id, string_agg(kind || ':' || s::BIGINT || ':' || e::BIGINT, ',' ORDER BY k, s) FILTER (kind <> 'term') AS base, string_agg(kind || ':' || s::BIGINT || ':' || e::BIGINT, ',' ORDER BY k, s) AS spans,
+           {", ".join(f"count(*) FILTER (kind = '{kind}') AS n_{kind}" for kind in (*BASE, "term"))} FROM all_spans GROUP BY 1)
+SELECT d.doc_id, {", ".join(f"coalesce(n_{kind}, 0)::BIGINT AS n_{kind}" for kind in (*BASE, "term"))}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM docs d LEFT JOIN listed USING (doc_id)"""

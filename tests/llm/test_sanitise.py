@@ -47,6 +47,15 @@ def words(text):
     return out
 
 
+def whole(text, a, b):
+    """The stretch between blanks around a term."""
+    while a and not re.match(f"[{BLANK}]", text[a - 1]):
+        a -= 1
+    while b < len(text) and not re.match(f"[{BLANK}]", text[b]):
+        b += 1
+    return a, b
+
+
 def entity(kind, v):
     return f"{kind}:" + (v.lower() if kind == "email" else v if kind == "ip" else digits(v))
 
@@ -62,10 +71,13 @@ def disclosing(texts):
     for t in texts:
         own, seen = words(t), []
         for kind, spans in base(t).items():
+            bounds = [(m.start(), m.end()) for m in PLAIN[kind].finditer(t or "")]
             for s, e, v in spans:
-                # Words that touch the match are none.
-                near = [w for a, b, w in own if not re.search(rf"[{BLANK}]", t[b:s]) is None and b <= s][-10:] + [w for a, b, w in own if a >= e and re.search(rf"[{BLANK}]", t[e:a])][:10]
-                seen.append((entity(kind, v), near))
+                last, next_ = max((y for _, y in bounds if y <= s), default=-1), min((x for x, _ in bounds if x >= e), default=len(t) + 1)
+                # Words between blanks, the neighbours' matches and the cut.
+                front = [w for a, b, w in own if whole(t, a, b)[1] < s and whole(t, a, b)[0] > last and whole(t, a, b)[0] > s - 300]
+                behind = [w for a, b, w in own if whole(t, a, b)[0] > e and whole(t, a, b)[1] < next_ and whole(t, a, b)[1] < e + 300]
+                seen.append((entity(kind, v), front[-10:] + behind[:10]))
         ent.update({e for e, _ in seen})
         gen.update({general(e) for e, _ in seen})
         both.update({(e, w) for e, ws in seen for w in ws})
