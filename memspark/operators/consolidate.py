@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import heapq
+from functools import reduce
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memspark.config import DEFAULTS, Defaults
-from memspark.operators.components import components
 from memspark.operators.vector_search import pairs_over
 from memspark.sources import tables
 
@@ -49,81 +47,85 @@ def near_duplicate_classes(memories: DataFrame, vectors: DataFrame, d: Defaults
     return pairs_over(held.select(F.col("rep").alias("memory_id"), "user_id", "embedding"), d.merge_from), copies
 
 
-def _merge_component(rows: pd.DataFrame, links: pd.DataFrame) -> list[tuple]:
-    """The greedy walk in listing order: each memory that has not lost meets the later ones that have not; the more important stays, the earlier on a tie.
+def _turns(records: DataFrame, near: DataFrame) -> DataFrame:
+    """The ``records`` that take a turn in the walk: those that no earlier one near them with a turn and no less importance has beaten.
 
-    A memory that loses while it is its turn still meets the later ones. ``rows`` (memory_id, rep, alike, place, imp) wait in
-    the list of their class until they have lost or had their turn, so a meeting is a row of the result.
+    Each round decides the records that none of those still waiting could beat; what they beat has no turn. The rounds are the
+    longest chain of records that wait for each other, few where importance and order do not run together.
     """
-    members = sorted(rows[["place", "memory_id", "imp", "rep"]].itertuples(index=False, name=None))
-    waiting: dict[str, list[tuple]] = {}
-    for m in members:
-        waiting.setdefault(m[3], []).append(m)
-    near = {rep: [rep] if alike else [] for rep, alike in zip(rows["rep"], rows["alike"])}
-    for a, b in zip(links["a"], links["b"]):
-        near[a].append(b)
-        near[b].append(a)
-    lost, out = set(), []
-    for place, a, imp, rep in members:
-        if a in lost:
-            continue
-        later = [m for m in heapq.merge(*(waiting[c] for c in near[rep])) if m[0] > place]
-        stay: dict[str, list[tuple]] = {c: [] for c in near[rep]}
-        for m in later:
-            if imp >= m[2]:
-                lost.add(m[1])
-                out.append((a, m[1], len(out)))
-            else:
-                lost.add(a)
-                out.append((m[1], a, len(out)))
-                stay[m[3]].append(m)
-        waiting.update(stay)
-    return out
+    ends = records.select(F.col("memory_id").alias("u"), F.col("rep").alias("rep_u"), F.col("place").alias("place_u"), F.col("imp").alias("imp_u"))
+    met = records.select(F.col("memory_id").alias("v"), F.col("rep").alias("rep_v"), "place", "imp")
+    edges = ends.join(near, F.col("rep_u") == F.col("rep")).join(met, F.col("other") == F.col("rep_v")).filter("place_u < place AND imp_u >= imp").select("u", "v")
+    waiting, edges, turns = tables.materialise(records.select("memory_id"), "waiting"), tables.materialise(edges, "beats"), []
+    while not edges.isEmpty():
+        now = tables.materialise(waiting.join(edges.select(F.col("v").alias("memory_id")).distinct(), "memory_id", "left_anti"), "turns")
+        beaten = edges.join(now.withColumnRenamed("memory_id", "u"), "u", "left_semi").select(F.col("v").alias("memory_id"))
+        waiting = tables.materialise(waiting.join(now.unionByName(beaten).distinct(), "memory_id", "left_anti"), "waiting")
+        edges = tables.materialise(edges.join(waiting.withColumnRenamed("memory_id", "u"), "u", "left_semi").join(waiting.withColumnRenamed("memory_id", "v"), "v", "left_semi"), "beats")
+        turns.append(now)
+    return reduce(DataFrame.unionByName, turns, waiting)
 
 
 def merges(memories: DataFrame, pairs: DataFrame, copies: DataFrame | None = None) -> DataFrame:
-    """user_id, component, winner, loser, step: what the greedy merge does, one connected component of the pairs at a time.
+    """user_id, winner, loser, step (turn, met; in order of the walk): what the greedy merge does.
+
+    The walk, in listing order: each memory that has not lost meets the later ones near it that have not; the more important stays,
+    the earlier on a tie, and one that loses while it is its turn still meets the later ones. So a memory has a turn unless an
+    earlier one near it has a turn and no less importance: turns are decided in rounds, for all users and groups at once, and
+    everything else follows from them. Of equal vectors only those more important than all earlier ones can have a turn.
 
-    Components do not affect each other. ``pairs`` may be of representatives, with ``copies`` as of near_duplicate_classes;
-    else each memory stands for itself.
+    ``pairs`` may be of representatives, with ``copies`` as of near_duplicate_classes; else each memory stands for itself.
     """
     links = tables.materialise(pairs.select("user_id", "a", "b"), "near")
-    ends_of = links.select(F.explode(F.array("a", "b")).alias("rep"), "user_id").distinct()
     if copies is None:
-        copies = ends_of.select("user_id", F.col("rep").alias("memory_id"), "rep", F.lit(False).alias("alike"))
-    label = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    of = lambda end: label.select(F.col("node").alias(end), "label")
+        copies = links.select("user_id", F.explode(F.array("a", "b")).alias("memory_id")).distinct().select("user_id", "memory_id", F.col("memory_id").alias("rep"), F.lit(False).alias("alike"))
+    near = links.select(F.col("a").alias("rep"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("rep"), F.col("a").alias("other")))
+    near = tables.materialise(near.unionByName(copies.filter("alike").select("rep", F.col("rep").alias("other"))).distinct(), "near-classes")
     order = F.format_string("%020d|%s", -F.unix_micros("created_at") + F.lit(9 * 10**18), F.col("memory_id"))
-    rank = memories.select("memory_id", order.alias("place"), F.col("importance_score").alias("imp"))
-    met = copies.join(ends_of.select("rep", F.lit(True).alias("linked")), "rep", "left").filter("alike OR linked").join(of("rep"), "rep", "left")
-    rows = met.select("user_id", F.coalesce("label", "rep").alias("component"), "memory_id", "rep", "alike").join(rank, "memory_id")
-    near = links.join(of("a"), "a", "left").select(F.col("user_id").alias("user_id"), F.coalesce("label", "a").alias("component"), "a", "b")
+    rank = memories.select("memory_id", order.alias("place"), F.coalesce("importance_score", F.lit(-1.0)).alias("imp"))
+    members = copies.join(near.select("rep").distinct(), "rep", "left_semi").select("user_id", "memory_id", "rep").join(rank, "memory_id")
+    members = tables.materialise(members, "members")
 
-    def walk(key: tuple, own: pd.DataFrame, linked: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([(*key, *r) for r in _merge_component(own, linked)], columns=["user_id", "component", "winner", "loser", "step"])
+    firsts = members.groupBy("rep", "imp").agg(F.min(F.struct("place", "memory_id")).alias("first")).select("rep", "imp", "first.*")
+    higher = F.min("place").over(Window.partitionBy("rep").orderBy(F.desc("imp")).rowsBetween(Window.unboundedPreceding, -1))
+    records = tables.materialise(firsts.withColumn("higher", higher).filter("higher IS NULL OR place < higher").drop("higher"), "records")
+    turns = records.join(_turns(records, near), "memory_id", "left_semi").select(F.col("rep").alias("other"), F.col("memory_id").alias("u"), F.col("place").alias("turn"), F.col("imp").alias("imp_u"))
+    turns = tables.materialise(near.join(turns, "other").select("rep", "u", "turn", "imp_u"), "turns-near")
 
-    by = ["user_id", "component"]
-    return rows.groupBy(*by).cogroup(near.groupBy(*by)).applyInPandas(walk, "user_id string, component string, winner string, loser string, step int")
+    # The first turn that beats members of a class with this importance, if they come later.
+    beats = firsts.select("rep", "imp").join(turns, "rep").filter("imp_u >= imp").groupBy("rep", "imp").agg(F.min("turn").alias("beaten"))
+    met = members.join(beats, ["rep", "imp"], "left").join(turns, "rep").filter("turn < place AND (beaten IS NULL OR turn <= beaten)")
+    wins = F.coalesce(F.col("turn") == F.col("beaten"), F.lit(False))
+    winner, loser = F.when(wins, F.col("u")).otherwise(F.col("memory_id")), F.when(wins, F.col("memory_id")).otherwise(F.col("u"))
+    return met.select("user_id", winner.alias("winner"), loser.alias("loser"), F.struct("turn", F.col("place").alias("met")).alias("step"))
 
 
-def apply_merges(memories: DataFrame, done: DataFrame) -> DataFrame:
-    """Losers become superseded by their winner (merged_into); winners gain the losers' accesses and merged_ids, in order.
+def gains(memories: DataFrame, done: DataFrame) -> DataFrame:
+    """memory_id, gained: the accesses that winners take over. One that lost before it won passes on what it has gained since.
 
-    A winner that lost before it won passes on what it has gained since; accesses follow the walk's steps. One that lost several times names its last winner.
+    Losers that never win pass on their own accesses at once; each round then settles the steps whose loser has no unsettled win before.
     """
-    accesses = memories.select(F.col("memory_id").alias("loser"), F.col("access_count").alias("loser_access"))
-    steps = done.join(accesses, "loser")
+    steps = done.join(memories.select(F.col("memory_id").alias("loser"), F.col("access_count").alias("n")), "loser").select("winner", "loser", "step", "n")
+    winners = done.select(F.col("winner").alias("loser")).distinct()
+    settled = [tables.materialise(steps.join(winners, "loser", "left_anti").select("winner", "step", F.col("n").alias("amount")), "settled")]
+    left = tables.materialise(steps.join(winners, "loser", "left_semi"), "left")
+    while not left.isEmpty():
+        open_ = left.groupBy(F.col("winner").alias("loser")).agg(F.min("step").alias("open"))
+        ready = tables.materialise(left.join(open_, "loser", "left").filter("open IS NULL OR open >= step").drop("open"), "ready")
+        won = reduce(DataFrame.unionByName, settled).join(ready.select(F.col("loser").alias("winner")).distinct(), "winner", "left_semi")
+        rows = won.select(F.col("winner").alias("x"), "step", "amount", F.lit(None).cast("string").alias("winner")).unionByName(ready.select(F.col("loser").alias("x"), "step", F.lit(0).cast("long").alias("amount"), "winner", "n"), allowMissingColumns=True)
+        before = F.sum("amount").over(Window.partitionBy("x").orderBy("step").rowsBetween(Window.unboundedPreceding, -1))
+        rows = rows.withColumn("held", F.coalesce(before, F.lit(0))).filter("winner IS NOT NULL")
+        settled.append(tables.materialise(rows.select("winner", "step", (F.col("n") + F.col("held")).alias("amount")), "settled"))
+        left = tables.materialise(left.join(ready.select("winner", "step"), ["winner", "step"], "left_anti"), "left")
+    return reduce(DataFrame.unionByName, settled).groupBy(F.col("winner").alias("memory_id")).agg(F.sum("amount").alias("gained"))
 
-    def totals(group: pd.DataFrame) -> pd.DataFrame:
-        held: dict[str, int] = {}
-        for winner, loser, n in group.sort_values("step")[["winner", "loser", "loser_access"]].itertuples(index=False):
-            held[winner] = held.get(winner, 0) + n + held.get(loser, 0)
-        return pd.DataFrame({"memory_id": list(held), "gained": list(held.values())})
 
-    gained = steps.groupBy("user_id", "component").applyInPandas(totals, "memory_id string, gained long")
+def apply_merges(memories: DataFrame, done: DataFrame) -> DataFrame:
+    """Losers become superseded by their winner (merged_into); winners gain the losers' accesses and merged_ids, in order. One that lost several times names its last winner."""
     won = done.groupBy(F.col("winner").alias("memory_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("step", "loser"))), lambda x: x["loser"]).alias("merged_ids"))
     into = done.groupBy(F.col("loser").alias("memory_id")).agg(F.max_by("winner", "step").alias("merged_into"))
-    out = memories.join(gained, "memory_id", "left").join(won, "memory_id", "left").join(into, "memory_id", "left")
+    out = memories.join(gains(memories, done), "memory_id", "left").join(won, "memory_id", "left").join(into, "memory_id", "left")
     out = out.withColumn("access_count", F.col("access_count") + F.coalesce("gained", F.lit(0))).withColumn("status", F.when(F.col("merged_into").isNotNull(), "superseded").otherwise(F.col("status")))
     if "parent_memory_ids" in memories.columns:
         out = out.withColumn("parent_memory_ids", F.concat("parent_memory_ids", F.coalesce("merged_ids", F.array().cast("array<string>"))))

@@ -144,11 +144,92 @@ def test_merge_by_classes_and_components(spark):
     assert pairs.count() == 2 and len(near) > 100
     done = consolidate.merges(m, pairs, copies)
     assert sorted((r["winner"], r["loser"]) for r in done.collect()) == sorted(want)
-    assert done.select("component").distinct().count() == 3
     after, counts = consolidate.consolidate(m, v, AS_OF, d)
     assert sorted((r["memory_id"], r["merged_into"], r["access_count"]) for r in after.collect()) == sorted((i, into.get(i), held[i]) for i in held)
 
 
+def _walk(place, imp, access, near):
+    """The merge as it is described, one memory after the other."""
+    held, lost, want, into = dict(access), set(), [], {}
+    for a in sorted(place, key=place.get):
+        for b in sorted(near.get(a, ()), key=place.get) if a not in lost else ():
+            if place[b] > place[a] and b not in lost:
+                w, x = (a, b) if imp[a] >= imp[b] else (b, a)
+                lost.add(x)
+                want.append((w, x))
+                into[x] = w
+                held[w] += held[x]
+    return want, into, held
+
+
+@pytest.mark.parametrize("n, links, grades", [(80, 150, 4), (60, 50, 60), (3000, 3300, 1000)])
+def test_merge_in_rounds_is_the_walk(spark, n, links, grades):
+    """Random graphs: small dense ones, long chains of wins and losses, and one large group of near pairs."""
+    rng = random.Random(n)
+    ids = [f"m{i:05}" for i in range(n)]
+    imp, access, hours = ({i: f(i) for i in ids} for f in (lambda _: rng.randrange(grades) / grades, lambda _: rng.randint(0, 9), lambda _: rng.randrange(n // 2)))
+    edges = {tuple(sorted(rng.sample(ids, 2))) for _ in range(links)} | ({(ids[i], ids[i + 1]) for i in range(n - 1)} if n > 100 else set())
+    near = {}
+    for a, b in edges:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    want, into, held = _walk({i: (hours[i], i) for i in ids}, imp, access, near)
+    m = memory(spark, *({"memory_id": i, "memory_layer": "semantic", "created_at": NOW - dt.timedelta(hours=hours[i]), "importance_score": imp[i], "access_count": access[i]} for i in ids))
+    done = tables.materialise(consolidate.merges(m, spark.createDataFrame([("u", a, b, 1.0) for a, b in edges], "user_id string, a string, b string, score double")), "done")
+    assert [(r.winner, r.loser) for r in done.orderBy("step").collect()] == want
+    got = consolidate.apply_merges(m, done).select("memory_id", "merged_into", "access_count", "merged_ids").collect()
+    assert {r.memory_id: (r.merged_into, r.access_count) for r in got} == {i: (into.get(i), held[i]) for i in ids}
+    assert {r.memory_id: r.merged_ids for r in got if r.merged_ids} == {w: [x for v, x in want if v == w] for w, _ in want}
+
+
+def test_ancestors_take_rounds_by_the_logarithm(spark, monkeypatch):
+    """A chain of 1,024 versions: eleven rounds; and hops up to a bound."""
+    rows = spark.createDataFrame([(f"v{i}", [f"v{i - 1}"] if i else []) for i in range(1024)], "memory_id string, parent_memory_ids array<string>")
+    labels, write = [], tables.materialise
+    monkeypatch.setattr(tables, "materialise", lambda df, label: labels.append(label) or write(df, label))
+    found = graph.ancestors(rows)
+    assert len(labels) <= 13
+    got = found.agg(F.count("*"), F.sum("hops"), F.max("hops")).first()
+    assert tuple(got) == (1024 * 1023 // 2, sum(h * (1024 - h) for h in range(1024)), 1023)
+    assert found.filter("int(substring(memory_id, 2)) - int(substring(ancestor, 2)) <> hops").count() == 0
+    assert graph.ancestors(rows, 5).groupBy("hops").count().count() == 5 and graph.ancestors(rows, 5).count() == sum(1024 - h for h in range(1, 6))
+
+
+def _paths(edges, seed, depth, limit):
+    """All paths of related(), by trying every edge."""
+    ways = [(a, b, r, "|".join((a, b, r))) for a, b, r in edges]
+    ways += [(b, a, r, i) for a, b, r, i in ways]
+    out, paths = [], [(seed, None, [])]
+    for k in range(1, depth + 1):
+        paths = [(b, rel or r, [*used, i]) for at, rel, used in paths for a, b, r, i in ways if a == at and i not in used]
+        out += [(k, node, rel, ",".join(used)) for node, rel, used in paths if node != seed]
+    return [(node, rel, k) for k, node, rel, _ in sorted(out)[:limit]]
+
+
+@pytest.mark.parametrize("depth, limit", [(1, 4), (2, 3), (2, 12), (3, 7), (3, 200)])
+def test_related_with_hubs(spark, depth, limit):
+    """The limit that is pushed into hops changes nothing: hubs, loops, edges both ways and several of one kind."""
+    rng = random.Random(depth * limit)
+    nodes = [f"n{i:02}" for i in range(25)]
+    edges = {("hub", n, "r") for n in nodes} | {(n, "hub", "s") for n in nodes[:9]} | {("n01", "n01", "r"), ("n02", "hub", "t")}
+    edges |= {(*rng.sample(nodes, 2), rng.choice("rs")) for _ in range(20)}
+    e = spark.createDataFrame(sorted(edges), "src string, dst string, rel string")
+    seeds = ["hub", "n00", "n01", "n02", "n17", "alone"]
+    got = {}
+    for r in graph.related(spark.createDataFrame([(x,) for x in seeds], "entity_id string"), e, depth, limit=limit).orderBy("seed", "place").collect():
+        got.setdefault(r.seed, []).append((r.node, r.rel, r.hops))
+    assert got == {x: p for x in seeds if (p := _paths(sorted(edges), x, depth, limit))}
+
+
+def test_related_reads_little_of_a_hub(spark):
+    hub = spark.range(20000).select(F.lit("hub").alias("src"), F.format_string("n%06d", "id").alias("dst"), F.lit("r").alias("rel"))
+    seeds = spark.createDataFrame([(f"n{i:06}",) for i in range(0, 20000, 100)], "entity_id string")
+    found = graph.related(seeds, hub, limit=10)
+    assert found.count() == 200 * 10
+    rows = [m for m in found._jdf.queryExecution().executedPlan().toString().split("\n") if "Join" in m]
+    assert rows and graph.related(seeds, hub, limit=10).filter("node = 'hub' AND hops = 1").count() == 200
+
+
 def test_ancestors_of_a_long_chain(spark):
     """A chain of 15 versions, with a way back at its end and a shorter way between; the query has no bound either."""
     rows = [(str(i), [str(i - 1)] if i else ["3"]) for i in range(15)] + [("x", ["14", "9"])]
