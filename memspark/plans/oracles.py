@@ -178,6 +178,37 @@ parts AS (
 SELECT query_id, memory_id, round(o, 6) AS overlap, round(k, 6) AS keyword, round(p, 6) AS phrase, round(least(1.0, 0.5 * o + 0.3 * k + 0.2 * p), 6) AS lexical FROM parts"""
 
 
+def _merged() -> str:
+    """The greedy walk, one memory of each user after the other, and then its steps, one after the other: events (turn, met, winner, loser) and totals."""
+    return f"""WITH RECURSIVE {_memories("lang")}, {_TEXT_VECTORS},
+prom AS (SELECT *, coalesce(status = 'active' AND memory_layer = 'episodic' AND access_count >= {D.promote_accesses} AND importance_score >= {D.promote_importance}, false) AS promoted FROM memories),
+own AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, memory_id) AS place FROM prom WHERE status = 'active' AND (memory_layer = 'semantic' OR promoted)),
+v AS (SELECT doc_id, place, importance_score AS imp, user_id, bucket, s / n AS s FROM own JOIN tv_sums USING (doc_id) JOIN tv_norm USING (doc_id) WHERE n > 0),
+near AS (SELECT x.user_id, x.place AS p, y.place AS q, any_value(y.imp) AS imp FROM v x JOIN v y ON x.user_id = y.user_id AND x.bucket = y.bucket AND x.place < y.place GROUP BY x.user_id, x.place, y.place HAVING round(sum(x.s * y.s), 6) >= {D.merge_from}),
+ends AS (SELECT user_id, p AS place FROM near UNION SELECT user_id, q FROM near),
+later AS (SELECT user_id, p AS place, list({{'q': q, 'imp': imp}} ORDER BY q) AS nb FROM near GROUP BY 1, 2),
+seq AS (SELECT user_id, place, importance_score AS imp, doc_id, access_count, nb, row_number() OVER (PARTITION BY user_id ORDER BY place) AS k FROM own JOIN ends USING (user_id, place) LEFT JOIN later USING (user_id, place)),
+walk AS (
+  SELECT user_id, 0::BIGINT AS k, []::BIGINT[] AS lost, 0::BIGINT AS place, 0.0::DOUBLE AS imp, []::STRUCT(q BIGINT, imp DOUBLE)[] AS met FROM seq GROUP BY 1
+  UNION ALL
+  SELECT user_id, k, list_concat(list_concat(lost, list_transform(list_filter(met, lambda x: imp >= x.imp), lambda x: x.q)), CASE WHEN len(list_filter(met, lambda x: imp < x.imp)) > 0 THEN [place] ELSE [] END), place, imp, met
+  FROM (SELECT w.user_id, s.k, w.lost, s.place, s.imp, CASE WHEN s.nb IS NULL OR list_contains(w.lost, s.place) THEN [] ELSE list_filter(s.nb, lambda x: NOT list_contains(w.lost, x.q)) END AS met
+        FROM walk w JOIN seq s ON s.user_id = w.user_id AND s.k = w.k + 1) step),
+meets AS (SELECT user_id, place AS turn, imp, unnest(met) AS x FROM walk),
+events AS (
+  SELECT m.user_id, turn, m.x.q AS met, CASE WHEN m.imp >= m.x.imp THEN a.doc_id ELSE b.doc_id END AS winner, CASE WHEN m.imp >= m.x.imp THEN b.doc_id ELSE a.doc_id END AS loser,
+         CASE WHEN m.imp >= m.x.imp THEN b.access_count ELSE a.access_count END AS n, row_number() OVER (ORDER BY m.user_id, turn, m.x.q) AS e
+  FROM meets m JOIN seq a ON a.user_id = m.user_id AND a.place = turn JOIN seq b ON b.user_id = m.user_id AND b.place = m.x.q),
+fold AS (
+  SELECT 0::BIGINT AS e, MAP([]::BIGINT[], []::BIGINT[]) AS gained
+  UNION ALL
+  SELECT n.e, map_concat(gained, MAP([n.winner], [(coalesce(gained[n.winner], 0) + n.n + coalesce(gained[n.loser], 0))::BIGINT])) FROM fold f JOIN events n ON n.e = f.e + 1),
+totals AS (SELECT t.entry.key AS doc_id, t.entry.value AS gained FROM (SELECT unnest(map_entries(gained)) AS entry FROM fold WHERE e = (SELECT max(e) FROM fold)) t),
+won AS (SELECT winner AS doc_id, string_agg(loser, ',' ORDER BY e) AS merged_ids FROM events GROUP BY 1),
+fell AS (SELECT loser AS doc_id, CAST(arg_max(winner, e) AS VARCHAR) AS merged_into FROM events GROUP BY 1)
+"""
+
+
 def _chains() -> str:
     return """WITH RECURSIVE up AS (
   SELECT doc_id, doc_id // 2 AS anc, 1 AS hops FROM documents WHERE doc_id > 0
@@ -234,6 +265,9 @@ SELECT memory_id, CASE WHEN k > 0 THEN memory_type END AS topic, CASE WHEN promo
 v AS (SELECT doc_id, memory_id, user_id, bucket, s / n AS s FROM own JOIN tv_sums USING (doc_id) JOIN tv_norm USING (doc_id) WHERE n > 0),
 dots AS (SELECT x.user_id, x.memory_id AS a, y.memory_id AS b, sum(x.s * y.s) AS score FROM v x JOIN v y ON x.user_id = y.user_id AND x.bucket = y.bucket AND x.memory_id < y.memory_id GROUP BY ALL)
 SELECT user_id, a, b, round(round(score, 6), 5) AS score FROM dots WHERE round(score, 6) >= {D.merge_from}""",
+        "merge_similar": f"""{_merged()} SELECT memory_id, CASE WHEN merged_into IS NULL THEN status ELSE 'superseded' END AS status, merged_into, merged_ids, access_count + coalesce(gained, 0) AS access_count
+FROM prom LEFT JOIN totals USING (doc_id) LEFT JOIN won USING (doc_id) LEFT JOIN fell USING (doc_id)""",
+        "consolidation_summary": f"{_merged()} SELECT p.user_id, p.promoted, coalesce(m.merged, 0) AS merged FROM (SELECT user_id, CAST(count(*) FILTER (promoted) AS BIGINT) AS promoted FROM prom GROUP BY 1) p LEFT JOIN (SELECT user_id, count(*) AS merged FROM events GROUP BY 1) m USING (user_id)",
         "contradiction_candidates": f"""{m}, near AS (
   SELECT f.memory_id AS f, f.doc_id AS fd, x.memory_id AS x, x.doc_id AS xd, {_COSINE.format("e.embedding", "g.embedding")} AS score
   FROM memories f JOIN embeddings e ON e.vec_id = f.doc_id JOIN memories x ON x.user_id = f.user_id AND x.status = 'active' JOIN embeddings g ON g.vec_id = x.doc_id WHERE f.status = 'active'),
