@@ -349,10 +349,15 @@ def stream_reflection_trigger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = _stream(spark, sf_dir, "events").select(F.concat(F.lit("u"), F.col("user_id")).alias("session_id"), F.col("event_id").alias("seq"), F.when(F.col("event_id") % 3 == 0, "tool").otherwise("turn").alias("kind"), F.col("event_type").alias("role_or_tool"), F.col("props").alias("content"))
-    updates = _drain(spark, jobs.session_memory(events, idle=None), "stream-sessions", "update")
-    last = updates.groupBy("session_id").agg(F.max_by(F.struct("turns", "tool_outputs"), "n_events").alias("s"), F.max("n_events").alias("n_events"))
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    jobs.keep_state_in_rocksdb(spark)
+    try:
+        updates = _drain(spark, jobs.session_updates(events, idle=None), "stream-sessions", "update")
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    last = jobs.whole_sessions(updates)
     joined = lambda c, a, b: F.array_join(F.transform(c, lambda x: F.concat(x[a], F.lit(":"), x[b])), "\n")
-    return last.select("session_id", "n_events", F.size("s.turns").alias("n_turns"), F.md5(joined("s.turns", "role", "content").cast("binary")).alias("turns_md5"), joined("s.tool_outputs", "tool", "output").alias("outputs"))
+    return last.select("session_id", "n_events", F.size("turns").alias("n_turns"), F.md5(joined("turns", "role", "content").cast("binary")).alias("turns_md5"), joined("tool_outputs", "tool", "output").alias("outputs"))
 
 
 def embed_seeded(spark: SparkSession, sf_dir: str) -> DataFrame:

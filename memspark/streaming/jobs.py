@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from memspark.config import DEFAULTS
@@ -63,3 +64,51 @@ def session_memory(events: DataFrame, tool_outputs: int = DEFAULTS.tool_outputs,
     kept = "n long, roles array<string>, said array<string>, tools array<string>, outputs array<string>"
     timeout = GroupStateTimeout.ProcessingTimeTimeout if milliseconds else GroupStateTimeout.NoTimeout
     return events.groupBy("session_id").applyInPandasWithState(fold, found, kept, "update", timeout)
+
+
+def keep_state_in_rocksdb(spark: SparkSession) -> None:
+    """What session_updates() needs of the session in which its query starts."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+class _SessionUpdates(StatefulProcessor):
+    """State of a session: how many events it had, and its last tool outputs; both expire when it is idle."""
+
+    def __init__(self, tool_outputs: int, idle_ms: int | None):
+        self.tool_outputs, self.idle_ms = tool_outputs, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.events = handle.getValueState("events", "n long", self.idle_ms)
+        self.outputs = handle.getListState("outputs", "tool string, output string", self.idle_ms)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        new = pd.concat(list(rows)).sort_values("seq", kind="stable")
+        n = (self.events.get()[0] if self.events.exists() else 0) + len(new)
+        turns, tools = new[new["kind"] == "turn"], new[new["kind"] == "tool"]
+        held = [tuple(x) for x in self.outputs.get()] if self.outputs.exists() else []
+        held = [*held, *zip(tools["role_or_tool"], tools["content"])][-self.tool_outputs :]
+        self.events.update((n,))
+        if held:
+            self.outputs.put(held)
+        pairs = lambda a, b, rows: [{a: x, b: y} for x, y in rows]
+        yield pd.DataFrame({"session_id": [key[0]], "n_events": [n], "turns": [pairs("role", "content", zip(turns["role_or_tool"], turns["content"]))], "tool_outputs": [pairs("tool", "output", held)]})
+
+    def close(self) -> None:
+        pass
+
+
+def session_updates(events: DataFrame, tool_outputs: int = DEFAULTS.tool_outputs, idle: str | None = "1 hour") -> DataFrame:
+    """session_id, n_events, turns (role, content) and tool_outputs (tool, output): what a micro-batch adds to each session that it touches.
+
+    ``turns`` are those of the micro-batch, in order of seq, so all output together is as long as the events; whole_sessions() joins
+    them. The state is one number and the last tool outputs, which expire after ``idle`` (None: never).
+    """
+    idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000) if idle else None
+    found = "session_id string, n_events long, turns array<struct<role:string,content:string>>, tool_outputs array<struct<tool:string,output:string>>"
+    return events.groupBy("session_id").transformWithStateInPandas(_SessionUpdates(tool_outputs, idle_ms), found, "Update", "ProcessingTime" if idle_ms else "None")
+
+
+def whole_sessions(updates: DataFrame) -> DataFrame:
+    """session_id, n_events, turns and tool_outputs of each session from all its updates; a session that begins anew after it was idle counts as one."""
+    rows = F.array_sort(F.collect_list(F.struct("n_events", "turns")))
+    return updates.groupBy("session_id").agg(F.max("n_events").alias("n_events"), F.flatten(F.transform(rows, lambda x: x["turns"])).alias("turns"), F.max_by("tool_outputs", "n_events").alias("tool_outputs"))

@@ -360,5 +360,25 @@ def test_session_memory_over_several_batches(spark, tmp_path):
     assert len(got["s"]["tool_outputs"]) == 2 and [tuple(t) for t in got["t"]["tool_outputs"]] == [("x", "")]
 
 
+def test_session_updates_and_restart(spark, tmp_path):
+    """Each micro-batch gives what is new; state and tool outputs survive a restart from the checkpoint."""
+    schema = "session_id string, seq long, kind string, role_or_tool string, content string"
+    rows = [("s", i, "tool" if i % 3 else "turn", f"r{i}", f"c{i}" if i != 6 else None) for i in range(24)] + [("t", 30, "turn", "x", "")]
+    jobs.keep_state_in_rocksdb(spark)
+    try:
+        for k, part in enumerate((rows[:7], rows[7:12], rows[12:])):
+            spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+            stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+            query = jobs.session_updates(stream, 2, None).writeStream.outputMode("update").trigger(availableNow=True).option("checkpointLocation", f"{tmp_path}/state")
+            query.foreachBatch(lambda batch, n: batch.write.mode("append").parquet(f"{tmp_path}/out")).start().awaitTermination()
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    updates = spark.read.parquet(f"{tmp_path}/out")
+    assert sorted((r.session_id, r.n_events, len(r.turns)) for r in updates.collect()) == [("s", 7, 3), ("s", 12, 1), ("s", 24, 4), ("t", 1, 1)]
+    got = {r.session_id: r for r in jobs.whole_sessions(updates).collect()}
+    assert [tuple(t) for t in got["s"].turns] == [(f"r{i}", f"c{i}" if i != 6 else None) for i in range(0, 24, 3)] and got["s"].n_events == 24
+    assert [tuple(t) for t in got["s"].tool_outputs] == [("r22", "c22"), ("r23", "c23")] and got["t"].tool_outputs == []
+
+
 def test_defaults():
     assert DEFAULTS.weight_semantic + DEFAULTS.weight_recency + DEFAULTS.weight_importance + DEFAULTS.weight_access == pytest.approx(1)
