@@ -324,5 +324,10 @@ FROM events, (VALUES ('r1', 'click'), ('r2', 'view')) g (run_id, guess) GROUP BY
         "embed_seeded": "SELECT doc_id, 1.0::DOUBLE AS norm, 64 AS dim FROM documents",
         "vector_cosine": "SELECT a.vec_id, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]))), 6) AS cosine, round(a.embedding[1]::DOUBLE / sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])), 6) AS first FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1",
         "text_jaccard": f"WITH w AS (SELECT doc_id, {_words('text')} AS w FROM documents) SELECT a.doc_id, round(CASE WHEN len(a.w) = 0 OR len(b.w) = 0 THEN 0.0 ELSE len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)))::DOUBLE END, 6) AS jaccard FROM w a JOIN w b ON b.doc_id = a.doc_id + 1",
+        "decider_replies": """SELECT event_id, CASE WHEN event_id % 11 > 0 AND event_id % 3 > 0 THEN 'merge' ELSE 'skip' END AS action, CASE WHEN event_id % 11 > 0 AND event_id % 4 > 0 THEN event_type ELSE '' END AS reason,
+       CASE WHEN event_id % 11 > 0 AND event_id % 5 > 0 THEN 'now ' || props END AS merged_content, round(CASE WHEN event_id % 11 > 0 AND event_id % 7 > 0 THEN coalesce(value, 0.8) ELSE 0.8 END::DOUBLE, 6) AS confidence FROM events""",
+        "reflector_replies": """SELECT event_id, 0 AS place, event_type AS content, round(CASE WHEN event_id % 3 > 0 THEN coalesce(value, 0.7) ELSE 0.7 END::DOUBLE, 6) AS confidence, '0,' || (event_id % 4) AS support FROM events WHERE event_id % 5 > 0
+UNION ALL SELECT event_id, 1, 'a habit', 0.9::DOUBLE, '' FROM events WHERE event_id % 5 > 0""",
+        "retrieve_reranked": _retrieved() + "SELECT query_id, CAST(k AS INTEGER) AS rank, memory_id, semantic_score, composite_score, total_found FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY semantic_score, memory_id) AS k FROM kept) x WHERE k <= 5",
         "classify_reply": f"SELECT event_id, CASE WHEN event_type IN ('click', 'view', 'purchase') THEN event_type ELSE 'other' END AS label, event_id % 2 = 0 AS contradicts, round(CASE WHEN {reply} THEN value ELSE 0.5 END::DOUBLE, 6) AS confidence, CASE WHEN event_id % 5 = 0 THEN 'direct_conflict' ELSE 'none' END AS kind, CAST(length('Is ' || event_type || ' like ' || props || '?') AS INTEGER) AS prompt_chars FROM events",
     }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from memspark import fixtures as X
@@ -384,11 +384,42 @@ def classify_reply(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", label.alias("label"), r["contradicts"].alias("contradicts"), F.round(r["confidence"], 6).alias("confidence"), r["contradiction_type"].alias("kind"), F.length(replies.prompt("Is {a} like {b}?", a=F.col("event_type"), b=F.col("props"))).alias("prompt_chars"))
 
 
+def decider_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Update decisions from fenced, bare, partial and broken replies."""
+    e, n = X.table(spark, sf_dir, "events"), F.col("event_id")
+    whole = F.to_json(F.struct(F.when(n % 3 > 0, "merge").alias("action"), F.when(n % 4 > 0, F.col("event_type")).alias("reason"), F.when(n % 5 > 0, F.concat(F.lit("now "), "props")).alias("merged_content"), F.when(n % 7 > 0, F.col("value")).alias("confidence")))
+    reply = F.when(n % 11 == 0, "I can't say").when(n % 2 == 0, F.concat(F.lit("```json\n"), whole, F.lit("\n```"))).otherwise(whole)
+    r = replies.update_reply(reply)
+    return e.select("event_id", r["action"].alias("action"), r["reason"].alias("reason"), r["merged_content"].alias("merged_content"), F.round(r["confidence"], 6).alias("confidence"))
+
+
+def reflector_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each reflection of a reply; those without content go."""
+    e, n = X.table(spark, sf_dir, "events"), F.col("event_id")
+    item = lambda content, confidence, indices: F.struct(content.alias("content"), confidence.alias("confidence"), indices.alias("supporting_indices"))
+    items = F.array(item(F.col("event_type"), F.when(n % 3 > 0, F.col("value")), F.array(F.lit(0), (n % 4).cast("int"))), item(F.when(n % 2 == 0, F.lit("")), F.lit(0.5), F.array(F.lit(1))), item(F.lit("a habit"), F.lit(0.9), F.lit(None).cast("array<int>")))
+    reply = F.concat(F.lit("```\n"), F.to_json(F.struct(F.when(n % 5 > 0, items).alias("reflections"))), F.lit("\n```"))
+    found = e.select("event_id", F.posexplode(replies.reflections_reply(reply)).alias("place", "x"))
+    return found.select("event_id", "place", F.col("x.content").alias("content"), F.round("x.confidence", 6).alias("confidence"), F.array_join("x.supporting_indices", ",").alias("support"))
+
+
+def retrieve_reranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Retrieval with a reranker of one's own: the least similar candidates first."""
+
+    def farthest(found: DataFrame) -> DataFrame:
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy("semantic_score", "memory_id"))
+        return found.withColumn("rank", rank).filter(F.col("rank") <= F.col("top_k")).select("query_id", "memory_id", "rank")
+
+    out = retrieve.retrieve(X.vector_queries(spark, sf_dir), X.memories(spark, sf_dir), X.vectors(spark, sf_dir), X.as_of(), reranker=farthest)
+    return out.select("query_id", "rank", "memory_id", "semantic_score", "composite_score", "total_found")
+
+
 QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     retrieve_topk, retrieve_full, context_window, score_recency, score_importance, score_composite, lexical_score, lexical_topk, ingest_memories, ingest_rejects, ingest_summary, list_memories, user_stats, facts_of_user,
     operation_log, audit_trail, promote, promote_metadata, near_duplicate_pairs, merge_similar, consolidation_summary, contradiction_candidates, contradiction_judge, contradiction_apply, contradiction_resolve, contradiction_list, update_match,
     update_apply, reflection_due, reflection_input, reflection_store, graph_related, version_chain, access_feedback, session_memory, vector_upsert, eval_retrieval, eval_retrieval_summary, eval_contradiction,
     eval_update, eval_queries, eval_saved, stream_ingest, stream_reflection_trigger, stream_sessions, embed_seeded, vector_cosine, text_jaccard, classify_reply,
+    decider_replies, reflector_replies, retrieve_reranked,
 ]
 
 
