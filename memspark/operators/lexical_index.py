@@ -13,8 +13,9 @@ length of their lists:
    content exactly if it is in one of its runs. Which runs hold it is looked up among the distinct
    runs, by the rarest of the token's grams of three letters (shorter tokens are grams themselves),
    and verified. A phrase of stop words alone is looked up by its middle word. Queries with tokens of
-   one or two letters, which are part of nearly all contents, don't gain from lists: their user's
-   memories are scored one by one, but for phrases where these could not matter.
+   one or two letters, which are part of nearly all contents, don't gain from lists, nor do few
+   queries gain from making them: their user's memories are scored one by one, but for phrases
+   where these could not matter.
 4. What is kept is scored exactly, from the texts.
 
 So results equal scoring all pairs. Queries without any token, whose only score is that of a
@@ -36,6 +37,8 @@ from memspark.sources import tables
 
 RUN = "[a-z0-9']+"
 GRAM = 3
+#: If so few pairs for each content are left to parts of words, scoring them costs less than an index of the content's runs.
+DIRECT = 10
 #: What all tokens, all parts and a phrase add at most; scores are compared to 6 decimals.
 OVERLAP, KEYWORD, PHRASE, SLACK = 0.5, 0.3, 0.2, 2e-6
 
@@ -138,7 +141,12 @@ def candidates(queries: DataFrame, index: LexicalIndex, k: int = 10) -> tuple[Da
     rarest = rarest.join(index.token_counts, ["user_id", "term"], "left").groupBy("query_id", "user_id").agg(F.min_by("term", F.struct(F.coalesce("n", F.lit(0)), "term")).alias("term"))
     found = found.unionByName(rarest.join(index.tokens, ["user_id", "term"]).select("query_id", "memory_id"))
     others = asked.join(limits.filter(~by_tokens).select("query_id", "limit"), "query_id")
-    others = tables.materialise(others.withColumn("short", F.exists("q_tokens", lambda t: F.length(t) < GRAM)), "others")
+    users = index.contents.groupBy("user_id").agg(F.count("*").alias("own"))
+    others = tables.materialise(others.withColumn("short", F.exists("q_tokens", lambda t: F.length(t) < GRAM)).join(users, "user_id"), "others")
+    pairs, held = others.agg(F.coalesce(F.sum("own"), F.lit(0))).first()[0], index.contents.count()
+    if pairs <= DIRECT * held:
+        others = others.withColumn("short", F.lit(True))
+    others = others.drop("own")
     for short, path in ((False, _by_parts), (True, _directly)):
         own = others.filter(F.col("short") == short).drop("short")
         if not own.isEmpty():
@@ -147,7 +155,7 @@ def candidates(queries: DataFrame, index: LexicalIndex, k: int = 10) -> tuple[Da
 
 
 def _directly(asked: DataFrame, part: Column, index: LexicalIndex, k: int) -> DataFrame:
-    """Pairs of queries with tokens of one or two letters, which are part of nearly all contents: all are scored but for phrases, which only those need that they may lift to the k-th score."""
+    """Pairs of queries that lists don't help: all of a user's are scored but for phrases, which only those need that they may lift to the k-th score."""
     shares = lexical.scores_of_parts()[:2]
     pairs = asked.join(index.contents, "user_id").select("query_id", "memory_id", "q_n", "limit", *shares, F.contains("c_low", "q_low").alias("whole"))
     pairs = pairs.select("query_id", "memory_id", "limit", (F.col("overlap") * OVERLAP + F.col("keyword") * KEYWORD).alias("partial"), F.when(F.col("whole"), PHRASE).otherwise(part).alias("aside"))
