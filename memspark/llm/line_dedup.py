@@ -3,7 +3,8 @@
 Each line hash gets a HyperLogLog sketch of the sites it occurs on; sketches merge by
 aggregation, so a common line costs one row a task. Lines whose estimate is near the threshold
 get an exact distinct count. A line on at least ``min_sites`` sites is boilerplate: its first
-occurrence (smallest doc_id, then earliest place) stays and all others go.
+occurrence (smallest doc_id, then earliest place) stays and all others go. The lists of lines
+that go are counted, and broadcast to the texts where they are small.
 
 Lines are compared without surrounding blanks. Every line that is not blank is judged, however
 short; a caller may set ``min_chars`` to spare shorter ones. All other lines stay as they are, in order.
@@ -26,6 +27,8 @@ MIN_SITES = 5
 NOT_BLANK = r"[^ \t\n\x0B\f\r]"
 #: Sketches have 2**LOG_BUCKETS buckets (standard error 3.3 %); estimates within this share of the threshold are counted exactly.
 LOG_BUCKETS, NEAR = 10, 0.4
+#: Lists of removed lines are broadcast up to so many texts and places (some 60 MB); beyond that texts are shuffled to their lists.
+MOST_TEXTS, MOST_PLACES = 500_000, 4_000_000
 
 
 def _lines(docs: DataFrame, site: str, min_chars: int) -> DataFrame:
@@ -51,7 +54,10 @@ def remove_lines(docs: DataFrame, site: str = "source", min_sites: int = MIN_SIT
     held = cut(boilerplate(docs, site, min_sites, min_chars), "boilerplate")
     here = F.struct("id", "row", "pos")
     found = _lines(docs, site, min_chars).join(held, "line").filter(~here.eqNullSafe(F.col("first")))
-    gone = found.groupBy("id", "row").agg(F.collect_set("pos").alias("gone"))
+    gone = cut(found.groupBy("id", "row").agg(F.collect_set("pos").alias("gone")), "gone")
+    texts, places = gone.agg(F.count("*"), F.coalesce(F.sum(F.size("gone")), F.lit(0))).first()
+    if texts <= MOST_TEXTS and places <= MOST_PLACES:
+        gone = F.broadcast(gone)
     # Columns by number, as theirs may have any name.
     own = {c: f"c{i}" for i, c in enumerate(docs.columns)}
     id_, text = own["doc_id"], own["text"]

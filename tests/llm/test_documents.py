@@ -145,7 +145,10 @@ def test_links_between_members_that_no_leader_joins(spark):
     assert {got[100 + i] for i in range(40)} == {100}
 
 
-def test_line_dedup(docs, empty):
+@pytest.mark.parametrize("most", [line_dedup.MOST_TEXTS, 0])
+def test_line_dedup(docs, empty, monkeypatch, most):
+    """Whether the lists of removed lines are broadcast or not."""
+    monkeypatch.setattr(line_dedup, "MOST_TEXTS", most)
     df, texts = docs
     site = {d: f"src{d % 6}" if d % 7 else "" for d in texts}
     where, first = {}, {}
