@@ -10,7 +10,7 @@ lost task is simply run again. The index is Parquet: a row for each record (file
 length, ids, start within the file) and one for each file (ids of the files before it).
 
 Defined cases: a null or empty text gives a record with the end id alone; rows that share a
-doc_id are kept, in an order of their texts' hashes; an empty table gives no records; further columns are ignored.
+doc_id are kept, in an order of their texts' hashes; a very long text is one record; an empty table gives no records; further columns are ignored.
 """
 
 from __future__ import annotations

@@ -13,7 +13,7 @@ the id; prediction reads every document, and nothing but its text.
 
 Defined cases: a text that is null, empty or without a letter is ``und`` with score 0 and no
 spans, as is every text if nothing was learned; rows that share a doc_id are labelled one by
-one; ties go to the smaller language name; an empty table gives no rows; further columns are
+one; ties go to the smaller language name; very long texts are read whole, each within one task; an empty table gives no rows; further columns are
 ignored.
 """
 

@@ -24,8 +24,8 @@ Shingles are 64-bit hashes.
 
 Defined cases: a document without words has an empty set and links with nothing; one of fewer
 than ``N`` words has its whole sequence as the only shingle; rows that share a doc_id are one
-node, each with its own size and set; a null doc_id takes no part, its component is null; an
-empty table gives no rows; further columns are kept by ``keep_first``, whatever their names.
+node, each with its own size and set; a null doc_id takes no part, its component is null; very
+long texts give all their shingles, each text within one task; an empty table gives no rows; further columns are kept by ``keep_first``, whatever their names.
 """
 
 from __future__ import annotations

@@ -9,7 +9,7 @@ is taken out again if two unpacked pieces together fill the larger gap more tigh
 filling is used for as many sequences as the counts allow.
 
 Defined cases: a null or empty text is a document of the end id alone; rows that share a doc_id
-are separate documents; an empty table gives no rows; further columns are ignored.
+are separate documents; very long texts are encoded whole, then cut into pieces; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations

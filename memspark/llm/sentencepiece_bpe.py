@@ -11,7 +11,7 @@ which is checked when the model is loaded), and a worker encodes each distinct s
 
 Defined cases: a null or empty text has no ids and decodes to an empty text; characters that
 the model lacks become their UTF-8 bytes; rows are kept one for one, whatever their doc_id;
-an empty table gives no rows; further columns are ignored.
+very long texts are encoded whole, each within one task; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
