@@ -10,7 +10,8 @@ Two documents link if their sets of ``N`` -word shingles have a Jaccard similari
 2. Documents of equal sets form a class; the smallest doc_id stands for it.
 3. Of the sets that are left, shingles are ordered rare first by their exact document
    frequency. A set that links has a shingle in common with the other in its prefix, the first
-   ``size - ceil(t * size) + 1`` in that order; lonely ones need not be sent.
+   ``size - ceil(t * size) + 1`` in that order; lonely ones need not be sent. Of shingles that
+   the same documents have in their prefixes (a shared passage) one stands for all.
 4. On each prefix shingle documents are paired with LEADERS leaders, by length and positional
    filter. Pairs pass the suffix filter: parity bitmaps of the sets bound from below how many
    shingles are in one set only. What passes is verified once, on whole sets.
@@ -213,6 +214,16 @@ def prefixes(sets: DataFrame, percent: int) -> DataFrame:
     return placed.withColumn("pos", pos).filter(F.col("pos") < F.col("size") - _needed("size", percent) + 1).select("h", "row", "doc", "size", "pos")
 
 
+def one_of_equal(spread: DataFrame) -> DataFrame:
+    """Those rows of ``spread`` whose shingle is the least of all that the same documents have in their prefixes; none of shingles that one document has alone.
+
+    The filters bound what two sets can share from any shingle of theirs, so one of these is as good as all.
+    """
+    members = [F.bit_xor(F.xxhash64(F.lit(k), "row")).alias(name) for k, name in enumerate("ab")]
+    groups = spread.groupBy("h").agg(F.count("*").alias("n"), *members).filter("n > 1")
+    return spread.join(groups.groupBy("n", "a", "b").agg(F.min("h").alias("h")).select("h"), "h", "left_semi")
+
+
 def _pairs_on_leaders(own: DataFrame, percent: int) -> DataFrame:
     """x < y (rows), distinct: each document of a prefix shingle with its leaders, by length and positional filter."""
     other = {"other": "row", "doc_other": "doc", "size_other": "size", "pos_other": "pos"}
@@ -373,12 +384,16 @@ def link(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     wanted = cut(classes.select(F.col("rep").alias("doc")).distinct(), "wanted")
     wanted = F.broadcast(wanted) if wanted.count() <= MOST_BROADCAST else wanted
     sets = cut(_held_sets(_texts(docs).join(wanted, "doc", "left_semi"), n), "sets")
-    spread = cut(prefixes(sets, percent), "spread")
+    spread = cut(prefixes(sets, percent), "prefixes")
+    every, spread = spread, cut(one_of_equal(spread), "spread")
+    drop(every)
     tried = cut(_by_bitmaps(_pairs_on_leaders(spread, percent), sets, percent), "tried")
     links = verify(tried, sets, percent)
     labels = cut(components(cut(links.union(ties), "links")), "labels")
 
     def widened(labels: DataFrame, found: DataFrame) -> DataFrame:
+        if found.isEmpty():
+            return labels
         more = labels.select(F.col("node").alias("u"), F.col("label").alias("v")).union(verify(found, sets, percent))
         return cut(components(cut(more, "links")), "labels")
 
@@ -387,7 +402,7 @@ def link(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     labels = widened(labels, pairs)
     # Whatever links still has been near something of another component before.
     ends = cut(near.select(F.explode(F.array("x", "y")).alias("row")).distinct(), "ends")
-    left = _apart_still(spread.join(ends, "row", "left_semi"), labels)
+    left = _apart_still(one_of_equal(cut(spread.join(ends, "row", "left_semi"), "held")), labels)
     rest = _block_pairs(left, cut(_fine_bitmaps(sets.join(ends, "row", "left_semi")), "fine"), percent, False)
     labels = widened(labels, cut(rest.join(tried.union(pairs), ["x", "y"], "left_anti"), "rest"))
 

@@ -135,6 +135,12 @@ def test_ngram_jaccard(docs, empty):
     assert ngram_join.link(empty).count() == 0
 
 
+def test_one_shingle_stands_for_those_of_equal_documents(spark):
+    """A passage of many shingles in the same documents is one shingle for pairing, so their bitmaps aren't sent for each."""
+    spread = spark.createDataFrame([(h, row, row, 90, h) for rows, shingles in (((1, 2, 3), range(40)), ((2, 3), range(40, 60)), ((4,), range(60, 70))) for h in shingles for row in rows], "h long, row long, doc long, size long, pos long")
+    assert sorted(map(tuple, ngram_join.one_of_equal(spread).select("h", "row", "pos").collect())) == [(0, 1, 0), (0, 2, 0), (0, 3, 0), (40, 2, 40), (40, 3, 40)]
+
+
 def test_links_between_members_that_no_leader_joins(spark):
     """A chain of documents in which each is near the next only, and a group around a common text."""
     words = [f"w{i}" for i in range(400)]
