@@ -14,6 +14,9 @@ Disclosing terms become spans of kind ``term`` wherever they stand. A term's own
 the class of words with its first letters: where that class stays below all thresholds, it
 replaces the term, else the term is removed.
 
+Only words that may matter are counted in all texts: a word's documents are at least those that hold
+it beside any entity, and pairs that tell too little by that count are settled without another.
+
 Patterns never start in the middle of a stretch that they have tried before, which gives the same
 matches in linear time. Counts are summed before they are shuffled, so that an entity or a word
 in a third of all documents is a row for each task. Texts are shuffled only if so many documents
@@ -170,26 +173,35 @@ def disclosing_terms(docs: DataFrame, disclosure: float = DISCLOSURE, least_cont
     pairs = contexts.join(documents(beside(lambda t: t), "entity", "term", "n_both"), ["entity", "term"]).withColumn("term_class", _class(F.col("term")))
     pairs = pairs.join(documents(beside(_class), "entity", "term_class", "n_class_both"), ["entity", "term_class"])
     pairs = pairs.join(documents(F.col("seen.entity"), "entity", "n_entity"), "entity").withColumn("general", _general(F.col("entity")))
-    pairs = pairs_table = cut(pairs.join(documents(F.transform("seen.entity", _general), "general", "n_general"), "general"), "pairs")
+    pairs = pairs.join(documents(F.transform("seen.entity", _general), "general", "n_general"), "general")
+    near = F.flatten("seen.terms")
+    # Documents that hold a word are those at least that hold it beside any entity.
+    for word, of_term in (("term", lambda t: t), ("term_class", _class)):
+        pairs = pairs.join(documents(F.transform(near, of_term), word, f"least_{word}"), word)
+
+    def bits(*below: str) -> Column:
+        """-log2 of a share, or what two things tell about each other: the first count is that of both."""
+        top, *rest = (F.lit(1.0), *below) if len(below) == 1 else (F.col(below[0]), *below[1:])
+        return F.log2(reduce(lambda a, n: a / F.col(n), rest, top * F.lit(total)))
+
+    limit = F.greatest(bits("n_general"), disclosure * bits("n_entity")) - 1e-9
+    # A word tells the less the more documents hold it, so these counts leave out what can't disclose, and what can't but hide.
+    pairs = pairs.filter((bits("n_both", "n_entity", "least_term") >= limit) & (bits("n_entity") > 0)).withColumn("may_tell", bits("n_class_both", "n_entity", "least_term_class") >= limit)
+    pairs = pairs_table = cut(pairs, "pairs")
     drop(found)
     if pairs.isEmpty():
         return docs.sparkSession.createDataFrame([], "term string, replacement string")
 
     words = let(F.array_distinct(_terms(F.coalesce("text", F.lit("")))), lambda t: F.concat(t, F.array_distinct(F.transform(t, _class))))
-    asked = pairs.select(F.explode(F.array("term", "term_class")).alias("word")).distinct()
+    asked = pairs.select(F.explode(F.array("term", F.when(F.col("may_tell"), F.col("term_class")))).alias("word")).filter("word IS NOT NULL").distinct()
     counted = docs.select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("n")).join(asked, "word", "left_semi")
     counted = cut(counted, "counted")
     for word, n in (("term", "n_term"), ("term_class", "n_class")):
-        pairs = pairs.join(counted.select(F.col("word").alias(word), F.col("n").alias(n)), word)
+        pairs = pairs.join(counted.select(F.col("word").alias(word), F.col("n").alias(n)), word, "left")
 
-    def bits(*below: str) -> Column:
-        """-log2 of a share, or what two things tell about each other: the first count is that of both."""
-        top, *rest = (F.lit(1.0), *below) if len(below) == 1 else (F.col(below[0]), *below[1:])
-        return F.log2(reduce(lambda a, n: a / F.col(n), rest, top * F.lit(total)))
-
-    limit = F.greatest(bits("n_general"), disclosure * bits("n_entity")) - 1e-9
-    told = pairs.filter((bits("n_both", "n_entity", "n_term") >= limit) & (bits("n_entity") > 0))
-    found = told.groupBy("term", "term_class").agg(F.bool_and(bits("n_class_both", "n_entity", "n_class") < limit).alias("hides"))
+    told = pairs.filter(bits("n_both", "n_entity", "n_term") >= limit)
+    hides = ~F.col("may_tell") | (bits("n_class_both", "n_entity", "n_class") < limit)
+    found = told.groupBy("term", "term_class").agg(F.bool_and(hides).alias("hides"))
     held = cut(found.select("term", F.when(F.col("hides"), F.col("term_class")).alias("replacement")), "disclosing")
     drop(pairs_table, counted)
     return held

@@ -149,6 +149,22 @@ def test_against_plain_computation(spark):
     assert [got[i] for i in range(len(texts))] == [t for _, t in want]
 
 
+def test_only_words_that_may_disclose_are_counted(spark, monkeypatch):
+    counted, cut = {}, sanitise.cut
+
+    def held(df, label):
+        out = cut(df, label)
+        if label == "counted":
+            counted.update((r.word, r.n) for r in out.collect())
+        return out
+
+    monkeypatch.setattr(sanitise, "cut", held)
+    texts = corpus()
+    told = {r.term: r.replacement or "[term]" for r in sanitise.disclosing_terms(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert told == disclosing(texts)
+    assert {"zorblat": 13, "wexford": 4}.items() <= counted.items() and not {"the", "river", "stones"} & set(counted)
+
+
 def test_query(spark, tmp_path):
     texts = corpus()
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
