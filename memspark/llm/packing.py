@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from memspark.llm.common import cut, slices
 
 CAPACITY = 2048
-#: Characters that are encoded at a time.
-BATCH_CHARS = 1_500_000
+#: Characters that are encoded at a time: the more, the fewer times a word is looked up.
+BATCH_CHARS = 4_000_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 

@@ -252,6 +252,12 @@ def test_packing(docs, empty):
     assert packing.pack(packing.pieces_of(empty, encode)).count() == 0
 
 
+def test_texts_are_encoded_in_large_batches(spark):
+    df = spark.createDataFrame([(i, "x" * 100_000) for i in range(30)], "doc_id long, text string").coalesce(1)
+    together = lambda texts: [bytes(4 * len(texts))] * len(texts)
+    assert {r["length"] for r in packing.pieces_of(df, together).collect()} == {30}
+
+
 def test_packing_plan_replaces_the_smallest_by_two():
     # 6 + 3 leaves 1; 2 + 2 fill the gap of 4 that taking out 3 leaves.
     assert packing.plan({6: 1, 3: 1, 2: 2}, 10)[0] == (1, [(6, 1), (2, 2)])
