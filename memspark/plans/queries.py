@@ -251,8 +251,10 @@ def version_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def access_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = retrieve.access_feedback(X.memories(spark, sf_dir), _retrieved(spark, sf_dir), X.as_of())
-    return out.select("memory_id", "access_count", (F.col("updated_at") == X.as_of()).alias("touched"))
+    """A memory was touched if it was returned: its count is raised. Its time says less, as one may have been made at that very time."""
+    m = X.memories(spark, sf_dir).withColumn("before", F.col("access_count"))
+    out = retrieve.access_feedback(m, _retrieved(spark, sf_dir), X.as_of())
+    return out.select("memory_id", "access_count", (F.col("access_count") > F.col("before")).alias("touched"))
 
 
 def session_memory(spark: SparkSession, sf_dir: str) -> DataFrame:

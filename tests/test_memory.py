@@ -104,6 +104,18 @@ def test_retrieve_fallback_diversity_and_filters(spark):
     assert value(spark, retrieve.known_types(F.array(F.lit("fact"), F.lit("gossip")))) == ["fact"]
 
 
+def test_access_feedback_touches_what_was_returned(spark, tmp_path):
+    """44640 is made at the very time of the feedback: it is touched only where it was returned."""
+    spark.createDataFrame([(25, "red fox", "s"), (26, "blue hare", "s"), (44640, "old owl", "t"), (44641, "new owl", "t")], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(25, [1.0, 0.0], 1), (26, [0.9, 0.1], 1)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.createDataFrame([(25,), (29,)], "event_id long").write.parquet(f"{tmp_path}/events.parquet")
+    found = lambda: {r.memory_id: (r.access_count, r.touched) for r in queries.access_feedback(spark, str(tmp_path)).collect()}
+    assert found() == {"25": (1, True), "26": (1, True), "44640": (0, False), "44641": (0, False)}
+    spark.createDataFrame([(44640, [1.0, 0.0], 1), (44650, [1.0, 0.0], 1)], "vec_id long, embedding array<float>, label int").write.mode("append").parquet(f"{tmp_path}/embeddings.parquet")
+    spark.createDataFrame([(44650, "grey wolf", "t")], "doc_id long, text string, source string").write.mode("append").parquet(f"{tmp_path}/documents.parquet")
+    assert found()["44640"] == (1, True)
+
+
 def test_promote(spark):
     m = memory(spark, {"memory_id": "1", "access_count": 3, "importance_score": 0.6}, {"memory_id": "2", "access_count": 2, "importance_score": 0.9}, {"memory_id": "3", "access_count": 9, "importance_score": 0.9, "memory_layer": "semantic"})
     got = {r["memory_id"]: (r["memory_layer"], r["promoted"], "promoted_at" in r["metadata"]) for r in consolidate.promote(m, AS_OF).collect()}
