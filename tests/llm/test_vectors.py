@@ -1,6 +1,7 @@
 """The vector operators against brute force."""
 
 import math
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -171,3 +172,35 @@ def test_centroids_of_many_lists_in_bounded_memory():
     for i, j in zip(rows.tolist(), lists.tolist()):
         held.setdefault(i, set()).add(j)
     assert len(held) == len(points) and all(j in held[i] for i, j in zip(some.tolist(), nearest_list.tolist()))
+
+
+def test_nearest_copies_a_query_once_for_a_group(spark):
+    """What is written between the steps grows with the rows, not with the lists that a query reads; batches of addressed queries are bounded."""
+    rng = np.random.default_rng(17)
+    v = rng.normal(size=(3000, 16))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>").repartition(2)
+    folder = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    held = lambda: sum(p.stat().st_size for p in folder.rglob("*.parquet"))
+    before = held()
+    assert nearest.search(df, F.lit(True)).count() == 3000 * 20
+    assert held() - before < 4 * v.nbytes
+
+    lists, queries, dim = 4096, 256, 64
+    first, parts = nearest._groups(np.full(lists, 100), rng.normal(size=(lists, dim)), 400, 8192)
+    assert sorted(np.bincount(first)) == [4] * (lists // 4) and set(parts) == {1}
+    who, at = np.repeat(np.arange(queries), lists), np.tile(np.arange(lists), queries)
+    reads = 0
+    for batch in nearest._addressed(0, np.arange(queries), rng.normal(size=(queries, dim)), who, at, first, parts):
+        assert batch.nbytes < 2 * nearest.SENT
+        reads += sum(len(x.as_py()) // 2 for x in batch.column("who"))
+    assert reads == lists * queries
+
+
+def test_lists_are_put_together_and_cut():
+    """Empty lists have no group, small ones share one, large ones have several of their own."""
+    first, parts = nearest._groups(np.array([0, 10, 250, 20, 60]), np.arange(5.0)[:, None], 50, 100)
+    assert parts.tolist() == [0, 1, 3, 1, 1]
+    assert first.tolist()[1:] == [0, 1, 4, 5]
+    rows = [nearest._addressed(0, np.arange(2), np.eye(2), np.array([0, 0, 0, 1]), np.array([0, 1, 2, 4]), first, parts)]
+    got = [(r["grp"], np.frombuffer(r["ids"], "<i8").tolist(), np.frombuffer(r["lists"], "<u2").tolist(), np.frombuffer(r["who"], "<u2").tolist()) for batches in rows for b in batches for r in b.to_pylist()]
+    assert got == [(0, [0], [1], [0]), (1, [0], [2], [0]), (2, [0], [2], [0]), (3, [0], [2], [0]), (5, [1], [4], [0])]
