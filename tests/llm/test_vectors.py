@@ -204,3 +204,11 @@ def test_lists_are_put_together_and_cut():
     rows = [nearest._addressed(0, np.arange(2), np.eye(2), np.array([0, 0, 0, 1]), np.array([0, 1, 2, 4]), first, parts)]
     got = [(r["grp"], np.frombuffer(r["ids"], "<i8").tolist(), np.frombuffer(r["lists"], "<u2").tolist(), np.frombuffer(r["who"], "<u2").tolist()) for batches in rows for b in batches for r in b.to_pylist()]
     assert got == [(0, [0], [1], [0]), (1, [0], [2], [0]), (2, [0], [2], [0]), (3, [0], [2], [0]), (5, [1], [4], [0])]
+
+
+def test_nearest_where_a_part_of_a_list_is_empty(spark, monkeypatch):
+    """Rows of one vec_id go to one part of a list, however many parts its rows ask for."""
+    monkeypatch.setattr(nearest, "BLOCK", 4)
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.9, 0.1])] + [(3, [0.8, 0.1])] * 30, "vec_id long, embedding array<double>")
+    got = sorted((r["query_id"], r["rank"], r["vec_id"]) for r in nearest.search(df, F.col("vec_id") < 3, 5).collect())
+    assert got == [(1, 1, 2), (1, 2, 3), (2, 1, 1), (2, 2, 3)]
