@@ -31,8 +31,9 @@ def cosine(a: Column, b: Column) -> Column:
 
 def normalise(v: Column) -> Column:
     """To length 1; a zero vector stays."""
-    size = norm(v)
-    return F.when(size == 0, v.cast("array<double>")).otherwise(F.transform(v, lambda x: x / size))
+    # Within an array of one element the length is computed once, not for each component.
+    divided = lambda size: F.when(size == 0, v.cast("array<double>")).otherwise(F.transform(v, lambda x: x / size))
+    return F.get(F.transform(F.array(norm(v)), divided), F.lit(0))
 
 
 def seeded_vector(text: str, dim: int) -> np.ndarray:

@@ -30,7 +30,7 @@ def promote(memories: DataFrame, as_of: Column, d: Defaults = DEFAULTS) -> DataF
 def near_duplicate_pairs(memories: DataFrame, vectors: DataFrame, d: Defaults = DEFAULTS) -> DataFrame:
     """user_id, a, b, score of active semantic memories of one user that are near duplicates."""
     own = memories.filter("status = 'active' AND memory_layer = 'semantic'").select("memory_id", "user_id").join(vectors, "memory_id")
-    return pairs_over(own, d.merge_from)
+    return pairs_over(tables.materialise(own, "own"), d.merge_from)
 
 
 def near_duplicate_classes(memories: DataFrame, vectors: DataFrame, d: Defaults = DEFAULTS) -> tuple[DataFrame, DataFrame]:

@@ -1,15 +1,19 @@
 """The memory operators on small rows with values worked out by hand."""
 
 import datetime as dt
+import hashlib
 import math
 import random
+import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from memspark import fixtures
 from memspark.config import DEFAULTS, Defaults
 from memspark.functions import lexical, replies, scoring, vectors
-from memspark.operators import catalog, consolidate, contradict, evaluate, graph, ingest, reflect, retrieve, sessions, update
+from memspark.operators import catalog, consolidate, contradict, evaluate, graph, ingest, reflect, retrieve, sessions, update, vector_search
 from memspark.operators.vector_search import pairs_over, top_per_query
 from memspark.plans import queries
 from memspark.schemas import MEMORIES, OBSERVATIONS, with_defaults
@@ -116,6 +120,70 @@ def test_access_feedback_touches_what_was_returned(spark, tmp_path):
     assert found()["44640"] == (1, True)
 
 
+def _text_vector(*texts):
+    """By hand: signs of runs of three words in 64 buckets, of length 1."""
+    sums = [0] * 64
+    for text in texts:
+        words = re.findall(r"[^ \t\n\x0b\f\r]+", text.lower())
+        for run in [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or [" ".join(words)]:
+            h = int(hashlib.md5(run.encode()).hexdigest()[:8], 16)
+            sums[h % 64] += 1 if h // 64 % 2 else -1
+    size = math.sqrt(sum(x * x for x in sums))
+    return [x / size for x in sums]
+
+
+def test_text_vectors(spark, tmp_path):
+    """Only ASCII white space parts words, texts of one doc_id add up, and a null text has none."""
+    texts = [(1, "One two\u00a0three FOUR\tfive\x0bsix \u00c9t\u00e9"), (2, "a b"), (3, ""), (4, " \n "), (5, None), (6, "x y z x y"), (6, "p q r"), (7, " ".join(f"w{i % 977}x{i % 13}" for i in range(20_000)))]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.memory_id: r.embedding for r in fixtures.text_vectors(spark, str(tmp_path)).collect()}
+    want = {}
+    for i, x in texts:
+        if x is not None:
+            want.setdefault(str(i), []).append(x)
+    assert got == {i: _text_vector(*x) for i, x in want.items()}
+
+
+@pytest.mark.parametrize(("block", "threshold"), [(8192, 0.9), (16, 0.9), (1, 0.9), (16, 0.3), (16, 0.0)])
+def test_pairs_over_by_pieces(spark, monkeypatch, block, threshold):
+    """Shelves of pieces and parts of those that pass by: the pairs are those of all against all, also at the threshold and of odd vectors."""
+    monkeypatch.setattr(vector_search, "LEAST", 1)
+    monkeypatch.setattr(vector_search, "HELD", 2)
+    monkeypatch.setattr(vector_search, "PART", 3)
+    rng = random.Random(4)
+    own = [[rng.gauss(0, 1) for _ in range(3)] for _ in range(80)] + [[1.0, 0.0, 0.0], [0.9, math.sqrt(1 - 0.81), 0.0], [0.8999994, math.sqrt(1 - 0.8999994**2), 0.0], [0.8999996, math.sqrt(1 - 0.8999996**2), 0.0]]
+    own += [[0.0] * 3, [math.nan, 1.0, 0.0], [math.inf, 1.0, 0.0], [1e200, 1e200, 0.0], [3.0, 0.0, 0.0], [1.0, 2.0], [2.0, 4.0]]
+    rows = [(f"m{i}", "u" if i % 9 else "w", x) for i, x in enumerate(own)]
+    got = {(r.user_id, r.a, r.b): r.score for r in vector_search.pairs_over(spark.createDataFrame(rows, "memory_id string, user_id string, embedding array<double>").repartition(3), threshold, block).collect()}
+    want = {}
+    for i, u, x in rows:
+        for j, w, y in rows:
+            if u == w and i < j and len(x) == len(y):
+                with np.errstate(all="ignore"):
+                    size = np.linalg.norm(x) * np.linalg.norm(y)
+                    score = round(float(np.dot(x, y) / size), 6) if size > 0 else 0.0
+                if score >= threshold:
+                    want[u, i, j] = pytest.approx(score, abs=1.1e-6)
+    assert got == want
+
+
+def _shuffled(spark):
+    """Bytes that all stages so far have written for others."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+    stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_pairs_over_copies_vectors_for_shelves_only(spark):
+    """Pairs of 96 blocks would copy each vector about a hundred times."""
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(1920, 64))
+    rows = spark.createDataFrame([(f"m{i}", "u", x.tolist()) for i, x in enumerate(v)], "memory_id string, user_id string, embedding array<double>").coalesce(2)
+    before = _shuffled(spark)
+    assert vector_search.pairs_over(rows, 0.9, 20).count() == 0
+    assert _shuffled(spark) - before < 15 * v.nbytes, _shuffled(spark) - before
+
+
 def test_promote(spark):
     m = memory(spark, {"memory_id": "1", "access_count": 3, "importance_score": 0.6}, {"memory_id": "2", "access_count": 2, "importance_score": 0.9}, {"memory_id": "3", "access_count": 9, "importance_score": 0.9, "memory_layer": "semantic"})
     got = {r["memory_id"]: (r["memory_layer"], r["promoted"], "promoted_at" in r["metadata"]) for r in consolidate.promote(m, AS_OF).collect()}
