@@ -7,6 +7,7 @@ tasks. A pair of blocks returns its best rows or those over the threshold, never
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,8 +21,8 @@ from memspark.sources import tables
 BLOCK = 2048
 #: Of pieces for pairs_over(): rows at most, numbers at most, rows at least, how many there are at least where rows suffice, how many are held together and how many pass by them.
 PIECE, VALUES, LEAST, PIECES, HELD, PART = 8192, 1 << 19, 256, 32, 8, 16
-#: Products held at once, and pairs multiplied again at once.
-PRODUCTS, CHECKED = 1 << 22, 50_000
+#: Vectors of either side that are multiplied at once, and pairs multiplied again at once.
+TILE, CHECKED = 1024, 50_000
 _PACKED = "user_id string, dim int, chunk int, ids array<string>, vectors binary, flags array<boolean>"
 
 
@@ -111,7 +112,9 @@ def pairs_over(memories: DataFrame, threshold: float, block: int = PIECE) -> Dat
     rows = rows.filter("v IS NOT NULL AND size(v) > 0 AND user_id IS NOT NULL AND id IS NOT NULL").withColumn("dim", F.size("v"))
     size = F.greatest(F.lit(1), F.least(F.lit(block), F.floor(F.lit(VALUES) / F.col("dim")), F.greatest(F.lit(LEAST), F.ceil(F.col("n") / PIECES))))
     counts = rows.groupBy("user_id", "dim").agg(F.count("*").alias("n")).withColumn("pieces", F.ceil(F.col("n") / size).cast("int")).drop("n")
-    placed = rows.join(counts, ["user_id", "dim"]).withColumn("piece", F.pmod(F.xxhash64("id"), "pieces").cast("int"))
+    # Only users with several pieces are sent to all tasks, so vectors aren't dealt by user, and no user is one task.
+    placed = rows.join(F.broadcast(counts.filter("pieces > 1")), ["user_id", "dim"], "left").withColumn("pieces", F.coalesce("pieces", F.lit(1)))
+    placed = placed.withColumn("piece", F.pmod(F.xxhash64("id"), "pieces").cast("int"))
 
     def pack(key: tuple, t: pa.Table) -> pa.Table:
         v = t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype("<f8")
@@ -162,7 +165,7 @@ def _joined(shelf: list[_Piece], piece: _Piece, threshold: float) -> Iterator[tu
     """(smaller id, larger id, score) of pairs over the threshold, of ``piece`` and the ones held or within it."""
     # Rounding to 6 decimals, that of the components and that of their sum.
     least = np.float32(threshold - 6e-7 - (piece.v.shape[1] + 8) * 1.3e-7)
-    step, found, size = max(1, PRODUCTS // max(1, len(piece.v))), [], 0
+    found, size = [], 0
 
     def joined() -> tuple[pa.Array, pa.Array, np.ndarray]:
         x, y = (pa.concat_arrays([f[k] for f in found]) for k in (0, 1))
@@ -170,9 +173,10 @@ def _joined(shelf: list[_Piece], piece: _Piece, threshold: float) -> Iterator[tu
         return pc.if_else(first, x, y), pc.if_else(first, y, x), np.concatenate([f[2] for f in found])
 
     for p in shelf:
-        for s in range(0, len(p.v), step):
-            i, j = np.nonzero(p.unit[s : s + step] @ piece.unit.T >= least)
-            i += s
+        for s, t in itertools.product(range(0, len(p.v), TILE), range(0, len(piece.v), TILE)):
+            left, right = p.unit[s : s + TILE], piece.unit[t : t + TILE]
+            i, j = np.divmod(np.flatnonzero(left @ right.T >= least), len(right))
+            i, j = i + s, j + t
             if p.number == piece.number:
                 i, j = i[i < j], j[i < j]
             for c in range(0, len(i), CHECKED):
